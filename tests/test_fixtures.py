@@ -1,0 +1,326 @@
+"""Micro-fixtures with hand-computed answers, one per edge case."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import d, m, make_panel
+from tillroll.functions.labels import income_band, is_private_label
+from tillroll.functions.stats import corr_matrix, pearson
+from tillroll.operators import chartdata, gaps, loyalty, monthly, private_label, profile
+
+
+def rows(df, *cols):
+    """Rows as tuples, sorted with NULLs first."""
+    out = [tuple(r[c] for c in cols) for r in df.collect()]
+    return sorted(out, key=lambda t: tuple((v is not None, v) for v in t))
+
+
+# ---------------------------------------------------------------- profile
+
+PRODUCTS = [
+    (1, "DEPT_A", "G1", "M1", "CTL BR"),
+    (2, "DEPT_A", "G1", "M2", "B2"),
+    (3, None, "G2", "M3", "B3"),
+    (4, "DEPT_B", None, "M4", "CTL BR"),
+    (5, "DEPT_B", "G3", "M4", "B5"),
+]
+
+
+def test_null_department_and_category(spark):
+    p = make_panel(spark, products=PRODUCTS)
+    by_group = rows(profile.products_per_group(p.products), "group_at_prod_id", "n_products")
+    assert by_group == [(None, 1), ("G1", 2), ("G2", 1), ("G3", 1)]
+    assert rows(profile.department_profile(p.products), "department", "products", "module") == [
+        ("DEPT_A", 2, 2),
+        ("DEPT_B", 2, 1),
+    ]
+    share = private_label.private_label_share_by_group(p.products, "CTL BR")
+    assert rows(share, "group_at_prod_id", "count_pl", "count_all", "proportion") == [("G1", 1, 2, 50.0)]
+
+
+def test_null_household_trip(spark):
+    trips = [
+        (10, 1, d("2004-01-05"), "R1", m(10)),
+        (11, None, d("2004-02-01"), "R1", m(5)),
+        (12, 2, d("2003-12-31"), "R2", m(7)),
+    ]
+    p = make_panel(spark, trips=trips)
+    assert profile.trip_count(p.trips, 2004).first()["n_trips"] == 1
+    assert profile.retailer_count(p.trips, 2004).first()["n_retailers"] == 1
+    active = loyalty.monthly_active_households(p.trips, 1)
+    assert rows(active, "hh_id", "months") == [(1, 1), (2, 1)]
+
+
+def test_purchase_counts(spark):
+    purchases = [(1, 1, 2, m(3), 1), (1, 2, 1, m(4), 0), (2, 1, 5, m(1), 1), (None, 3, 1, m(1), 1)]
+    p = make_panel(spark, purchases=purchases)
+    assert profile.purchase_count(p.purchases).first()["n_purchases"] == 3
+    assert profile.deal_purchase_count(p.purchases).first()["n_deal_purchases"] == 2
+
+
+# ---------------------------------------------------------------- gaps
+
+GAP_TRIPS = [
+    (2, 1, d("2004-01-01"), "R1", m(1)),
+    (1, 1, d("2004-01-01"), "R1", m(1)),  # same day: order by trip id
+    (3, 1, d("2004-04-01"), "R1", m(1)),  # 91 days later
+    (4, 1, d("2004-06-30"), "R1", m(1)),  # 90 days later
+    (5, 2, d("2004-04-10"), "R2", m(1)),  # single trip: no pair
+    (6, 1, d("2005-01-01"), "R1", m(1)),  # other year
+]
+
+
+def test_next_trip_pairs_and_gaps(spark):
+    p = make_panel(spark, trips=GAP_TRIPS)
+    pairs = gaps.next_trip_pairs(p.trips, 2004, num_slices=3)
+    assert rows(pairs, "tc_id_0", "tc_id_1", "time_window") == [(1, 2, 0), (2, 3, 91), (3, 4, 90)]
+    counted = gaps.inactive_gap_count(pairs).first()
+    assert (counted["gaps"], counted["households"]) == (1, 1)
+    avg = gaps.avg_gap_per_household(pairs).collect()
+    assert len(avg) == 1 and avg[0]["household"] == 1
+    assert avg[0]["days"] == pytest.approx(181 / 3)
+    # dates Jan 1, Apr 1, Apr 10, Jun 30: gaps 91, 9, 81
+    assert gaps.global_gap_count(p.trips, 2004).first()["gaps"] == 1
+
+
+def test_trip_sequence_orders(spark):
+    p = make_panel(spark, trips=GAP_TRIPS)
+    by_date = rows(gaps.trip_sequence(p.trips, 2004, "date", num_slices=4), "id", "tc_id")
+    assert by_date == [(1, 1), (2, 2), (3, 3), (4, 5), (5, 4)]
+    by_hh = rows(gaps.trip_sequence(p.trips, 2004, "household", num_slices=4), "id", "tc_id")
+    assert by_hh == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+
+
+# ---------------------------------------------------------------- loyalty
+
+def _months(hh, months, year=2004, start_id=0):
+    return [(start_id + i, hh, d(f"{year}-{mm:02d}-15"), "R1", m(1)) for i, mm in enumerate(months)]
+
+
+def test_monthly_active_boundary(spark):
+    trips = (
+        _months(100, range(1, 12), start_id=0)  # 11 months
+        + _months(101, range(1, 13), start_id=100)  # 12 months
+        + _months(102, range(1, 7), 2003, start_id=200)  # 12 months over two years
+        + _months(102, range(7, 13), 2004, start_id=300)
+    )
+    p = make_panel(spark, trips=trips)
+    active = loyalty.monthly_active_households(p.trips, 12)
+    assert rows(active, "hh_id", "months") == [(101, 12), (102, 12)]
+    assert loyalty.monthly_active_trips(p.trips, active).count() == 24
+
+
+SHARE_TRIPS = [
+    # hh 1: 80 / 20 -> single at exactly 80, pair 100
+    (1, 1, d("2004-01-01"), "R1", m(80)),
+    (2, 1, d("2004-01-02"), "R2", m(20)),
+    # hh 2: 40 / 40 / 20 -> best pair exactly 80 (not > 80)
+    (3, 2, d("2004-01-01"), "R1", m(24)),
+    (4, 2, d("2004-01-02"), "R2", m(24)),
+    (5, 2, d("2004-01-03"), "R3", m(12)),
+    # hh 3: one retailer -> single, never a pair
+    (6, 3, d("2004-01-01"), "R1", m(100)),
+    # hh 4: 50 / 35 / 10 / 5 -> one pair (R1, R2)
+    (7, 4, d("2004-01-01"), "R1", m(50)),
+    (8, 4, d("2004-01-02"), "R2", m(35)),
+    (9, 4, d("2004-01-03"), "R3", m(10)),
+    (10, 4, d("2004-01-04"), "R4", m(5)),
+]
+
+
+def test_retailer_share_and_loyalty(spark):
+    p = make_panel(spark, trips=SHARE_TRIPS)
+    share = loyalty.retailer_share(p.trips, 12)
+    got = {(r["hh_id"], r["tc_retailer_code"]): r["percentage_of_spent"] for r in share.collect()}
+    assert got[(1, "R1")] == 80.0 and got[(1, "R2")] == 20.0
+    totals = share.groupBy("hh_id").agg(F.sum("percentage_of_spent").alias("t")).collect()
+    assert all(abs(r["t"] - 100) < 1e-9 for r in totals)
+
+    single = loyalty.loyal_single(share, 80)
+    assert rows(single, "hh_id", "tc_retailer_code") == [(1, "R1"), (3, "R1")]
+    pair = loyalty.loyal_pair(share, 80)
+    assert rows(pair, "hh_id", "retailer_1", "retailer_2") == [(1, "R1", "R2"), (4, "R1", "R2")]
+    r = pair.filter("hh_id = 4").first()
+    assert r["percentage_of_spent"] == pytest.approx(85.0)
+    assert r["avg_spent_both"] == pytest.approx(85 / 12)
+
+    loyal = loyalty.loyal_households(single, pair)
+    assert rows(loyal, "kind", "hh_id") == [("pair", 1), ("pair", 4), ("single", 1), ("single", 3)]
+    assert rows(loyalty.loyalists_by_retailer(single), "tc_retailer_code", "households") == [("R1", 2)]
+
+
+def test_loyal_pair_triangle(spark):
+    trips = [
+        (1, 5, d("2004-01-01"), "A", m(34)),
+        (2, 5, d("2004-01-01"), "B", m(33)),
+        (3, 5, d("2004-01-01"), "C", m(33)),
+    ]
+    p = make_panel(spark, trips=trips)
+    pair = loyalty.loyal_pair(loyalty.retailer_share(p.trips, 12), 60)
+    assert rows(pair, "retailer_1", "retailer_2") == [("A", "B"), ("A", "C"), ("B", "C")]
+
+
+def test_top_retailer_tie_break(spark):
+    trips = [(1, 1, d("2004-01-01"), "R_B", m(50)), (2, 2, d("2004-01-01"), "R_A", m(50)),
+             (3, 3, d("2004-01-01"), "R_C", m(10))]
+    p = make_panel(spark, trips=trips)
+    assert rows(loyalty.top_retailer_by_spend(p.trips), "tc_retailer_code", "total_spent") == [("R_A", m(50))]
+
+
+def test_income_and_state_of_loyal(spark):
+    households = [(1, 10, "CA"), (2, 20, "NY"), (3, 30, "CA"), (4, None, None)]
+    p = make_panel(spark, households=households, trips=SHARE_TRIPS)
+    share = loyalty.retailer_share(p.trips, 12)
+    loyal = loyalty.loyal_households(loyalty.loyal_single(share, 80), loyalty.loyal_pair(share, 80))
+    inc = loyalty.loyal_household_income(loyal, p.households)
+    assert rows(inc.filter("kind = 'pair'"), "hh_id", "hh_income") == [(1, 10), (4, None)]
+    cmp = {r["segment"]: (r["n"], r["avg_income"]) for r in loyalty.loyal_income_comparison(loyal, p.households).collect()}
+    assert cmp == {"loyal": (2, 10.0), "other": (2, 25.0)}
+    states = loyalty.loyal_household_state(loyal, p.households)
+    dist = rows(loyalty.loyal_state_distribution(states), "kind", "hh_state", "n")
+    assert dist == [("pair", None, 1), ("pair", "CA", 1), ("single", "CA", 2)]
+
+
+# ---------------------------------------------------------------- monthly, price
+
+def test_items_and_trips_by_month(spark):
+    households = [(1, 5, "CA"), (2, 5, "NY")]
+    trips = [
+        (1, 1, d("2004-01-03"), "R", m(1)),
+        (2, 1, d("2004-01-20"), "R", m(1)),
+        (3, 2, d("2004-01-05"), "R", m(1)),
+        (4, 3, d("2004-01-05"), "R", m(1)),  # unknown household: ignored
+        (5, 1, d("2004-02-01"), "R", m(1)),
+    ]
+    purchases = [(1, 1, 2, m(1), 0), (1, 2, 4, m(1), 0), (2, 1, 6, m(1), 0), (3, 1, 1, m(1), 0),
+                 (4, 1, 100, m(1), 0), (5, 1, 3, m(1), 0)]
+    p = make_panel(spark, households=households, trips=trips, purchases=purchases)
+    items = monthly.avg_items_by_month(p.trips, p.households, p.purchases, 2004)
+    # Jan: hh1 lines 2,4,6 -> 4; hh2 -> 1; mean 2.5. Feb: hh1 -> 3
+    assert rows(items, "month", "num_items") == [(1, 2.5), (2, 3.0)]
+    trips_m = monthly.avg_trips_by_month(p.trips, p.households, 2004)
+    assert rows(trips_m, "month", "num_trips") == [(1, 1.5), (2, 1.0)]
+    ivt = monthly.items_vs_trips_by_month(items, trips_m)
+    assert rows(ivt, "month", "num_items", "num_trips") == [(1, 2.5, 1.5), (2, 3.0, 1.0)]
+
+
+def test_price_per_item_zero_quantity(spark):
+    p = make_panel(spark, purchases=[(1, 1, 0, m(5), 0), (1, 2, 4, m(10), 0)])
+    got = rows(monthly.price_per_item(p.purchases), "quantity_at_tc_prod_id", "avg_price_paid_per_item")
+    assert got == [(0, None), (4, 2.5)]
+
+
+def test_pearson_guards(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (1.0, 4.0)], "x double, y double")
+    assert df.agg(pearson("x", "y").alias("c")).first()["c"] is None
+    one = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
+    assert one.agg(pearson("x", "y").alias("c")).first()["c"] is None
+    lin = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 7.0), (None, 1.0)], "x double, y double")
+    mat = {(r["var_x"], r["var_y"]): r["corr"] for r in corr_matrix(lin, ["x", "y"]).collect()}
+    assert mat[("x", "x")] == 1.0 and mat[("x", "y")] == mat[("y", "x")]
+    assert mat[("x", "y")] == pytest.approx(0.993399, abs=1e-6)
+
+
+# ---------------------------------------------------------------- private label
+
+def test_brand_matching(spark):
+    df = spark.createDataFrame([("CTL BR",), ("XCTL BR2",), ("ctl br",), (None,)], "b string")
+
+    def count(**kw):
+        return df.filter(is_private_label("b", "CTL BR", **kw)).count()
+
+    assert count(match="equals") == 1
+    assert count(match="regex") == 2
+    assert count(match="equals", case_insensitive=True) == 2
+    assert count(match="regex", case_insensitive=True) == 3
+
+
+def test_income_band_edges(spark):
+    df = spark.createDataFrame([(v,) for v in (2, 3, 15, 16, 21, 22, None)], "i int")
+    got = [(r["i"], r["band"]) for r in df.select("i", income_band("i").alias("band")).collect()]
+    assert got == [(2, None), (3, "low"), (15, "low"), (16, "mid"), (21, "mid"), (22, "high"), (None, None)]
+
+
+PL_PRODUCTS = [
+    (1, "D", "G", "M", "CTL BR"),
+    (1, "D", "G", "M", "CTL BR"),  # duplicate product row
+    (2, "D", "G", "M", "OTHER"),
+]
+PL_HOUSEHOLDS = [(1, 5, "CA"), (2, 18, "NY")]
+PL_TRIPS = [
+    (1, 1, d("2004-01-10"), "R", m(0)),
+    (2, 1, d("2004-02-10"), "R", m(0)),
+    (3, 2, d("2004-01-11"), "R", m(0)),
+]
+PL_PURCHASES = [
+    (1, 1, 1, m(10), 0),  # private label, Jan, low
+    (1, 2, 1, m(30), 0),
+    (1, 999, 1, m(60), 0),  # unknown product
+    (2, 2, 1, m(50), 0),  # Feb, low: no private label
+    (3, 1, 1, m(5), 0),  # Jan, mid
+    (3, 2, 1, m(15), 0),
+]
+
+
+def test_private_label_spend_by_month(spark):
+    p = make_panel(spark, households=PL_HOUSEHOLDS, products=PL_PRODUCTS, trips=PL_TRIPS, purchases=PL_PURCHASES)
+    mon = private_label.monthly_private_label_spend(p.trips, p.purchases, p.products, 2004, "CTL BR")
+    # unknown product left out of monthly totals; duplicate product row does not double
+    assert rows(private_label.spend_by_month(mon), "month1", "all_prods") == [(1, m(60)), (2, m(50))]
+    assert rows(private_label.private_label_spend_by_month(mon), "month2", "pl_prods") == [(1, m(15))]
+    share = private_label.private_label_expenditure_share(mon)
+    assert rows(share, "month", "share") == [(1, 0.25)]
+
+
+def test_private_label_by_income(spark):
+    p = make_panel(spark, households=PL_HOUSEHOLDS, products=PL_PRODUCTS, trips=PL_TRIPS, purchases=PL_PURCHASES)
+    bm = private_label.private_label_share_by_income_month(p.households, p.trips, p.purchases, p.products, "CTL BR")
+    # the unknown product stays in the totals; Feb (no private label) drops out
+    assert rows(bm, "band", "year_month", "total", "private") == [
+        ("low", "2004-01", m(100), m(10)),
+        ("mid", "2004-01", m(20), m(5)),
+    ]
+    res = rows(private_label.private_label_by_income(bm), "band", "months", "avg_total", "avg_private", "percentage")
+    assert res == [("low", 1, 100.0, 10.0, 0.1), ("mid", 1, 20.0, 5.0, 0.25)]
+
+
+# ---------------------------------------------------------------- chart data
+
+def test_histogram_edges(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(11)], "v double")
+    h = rows(chartdata.histogram(df, "v", 5), "bin", "lo", "hi", "n")
+    assert h == [(0, 0.0, 2.0, 2), (1, 2.0, 4.0, 2), (2, 4.0, 6.0, 2), (3, 6.0, 8.0, 2), (4, 8.0, 10.0, 3)]
+    same = spark.createDataFrame([(3.0,), (3.0,), (None,)], "v double")
+    assert rows(chartdata.histogram(same, "v", 10), "bin", "lo", "hi", "n") == [(0, 3.0, 3.0, 2)]
+    ranged = rows(chartdata.histogram(df, "v", 2, value_range=(0, 4)), "bin", "n")
+    assert ranged == [(0, 2), (1, 3)]
+
+
+def test_scatter_bins_bounded(spark):
+    df = spark.range(1000).select((F.col("id") % 37).alias("x"), (F.col("id") % 11).alias("y"))
+    out = chartdata.scatter_frame(df, "x", "y", bins=(4, 4))
+    got = out.collect()
+    assert len(got) <= 16 and sum(r["n"] for r in got) == 1000
+
+
+def test_bar_and_line_frames(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 5), ("c", 5)], "k string, v int")
+    assert [tuple(r) for r in chartdata.bar_frame(df, "k", "v", max_bars=2).collect()] == [("b", 5), ("c", 5)]
+    assert [tuple(r) for r in chartdata.line_frame(df, "k", "v").collect()] == [("a", 3), ("b", 5), ("c", 5)]
+
+
+# ---------------------------------------------------------------- empty input
+
+def test_empty_panel_everywhere(spark):
+    from tillroll.plans.catalog import panel_queries
+
+    p = make_panel(spark)
+    for name, fn in panel_queries().items():
+        out = fn(p).collect()  # must not fail
+        if name in ("trip_count", "household_count", "retailer_count", "purchase_count",
+                    "deal_purchase_count", "inactive_gap_count", "global_gap_count"):
+            assert len(out) == 1 and all(v == 0 for v in out[0]), name
+        elif name not in ("items_trips_corr", "price_quantity_corr"):
+            assert out == [], name
