@@ -98,9 +98,15 @@ def loyal_pair(share: DataFrame, threshold: float = 80) -> DataFrame:
     ranked = s.withColumn("_rank", F.row_number().over(by_share))
 
     margin = 1e-9 * (1 + F.abs(F.col("_p")) + abs(threshold))
-    points = ranked.select("hh_id", F.col("_p").alias("_v"), F.lit(1).alias("_kind"), "_rank")
+    none = {c: F.lit(None).cast(t) for c, t in (("_r", "string"), ("_a", "double"), ("_total", "double"))}
+    points = ranked.select(
+        "hh_id", F.col("_p").alias("_v"), F.lit(1).alias("_kind"), "_rank",
+        *[v.alias(c) for c, v in none.items()],
+    )
+    # threshold rows carry retailer i's attributes, so no join back for i is needed
     queries = ranked.select(
-        "hh_id", (F.lit(threshold) - F.col("_p") - margin).alias("_v"), F.lit(0).alias("_kind"), "_rank"
+        "hh_id", (F.lit(threshold) - F.col("_p") - margin).alias("_v"), F.lit(0).alias("_kind"), "_rank",
+        "_r", "_a", "_total",
     )
     # Sorted by value descending; at equal values a threshold sorts before the shares
     # (the test is strict), so the running count of shares is the prefix length k_i.
@@ -113,22 +119,19 @@ def loyal_pair(share: DataFrame, threshold: float = 80) -> DataFrame:
         points.unionByName(queries)
         .withColumn("_k", F.sum("_kind").over(running))
         .filter(F.col("_kind") == 0)
-        .select("hh_id", "_rank", F.least(F.col("_k"), F.col("_rank") - 1).alias("_m"))
+        .withColumn("_m", F.least(F.col("_k"), F.col("_rank") - 1))
         .filter(F.col("_m") >= 1)
     )
-    candidates = prefix.select(
+    pairs = prefix.select(
         "hh_id",
-        F.col("_rank").alias("_rank_i"),
+        F.col("_r").alias("_ri"),
+        F.col("_a").alias("_ai"),
+        "_total",
         F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))).alias("_rank_j"),
+    ).join(
+        ranked.select("hh_id", F.col("_rank").alias("_rank_j"), F.col("_r").alias("_rj"), F.col("_a").alias("_aj")),
+        ["hh_id", "_rank_j"],
     )
-    i = ranked.select(
-        "hh_id", F.col("_rank").alias("_rank_i"), F.col("_r").alias("_ri"),
-        F.col("_a").alias("_ai"), "_total",
-    )
-    j = ranked.select(
-        "hh_id", F.col("_rank").alias("_rank_j"), F.col("_r").alias("_rj"), F.col("_a").alias("_aj")
-    )
-    pairs = candidates.join(i, ["hh_id", "_rank_i"]).join(j, ["hh_id", "_rank_j"])
     first = F.col("_ri") < F.col("_rj")
     a1 = F.when(first, F.col("_ai")).otherwise(F.col("_aj"))
     a2 = F.when(first, F.col("_aj")).otherwise(F.col("_ai"))

@@ -39,14 +39,17 @@ def sequence_number(
 ) -> DataFrame:
     """Add ``id_col`` = 1..n in the (ascending) order of ``order``."""
     n = _slices(df, num_slices)
-    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tagged = ordered.withColumn(_PART, F.spark_partition_id()).withColumn(
-        _POS, F.monotonically_increasing_id()
-    )
-    sizes = tagged.groupBy(_PART).agg(F.count(F.lit(1)).alias(_N))
+    ranged = df.repartitionByRange(n, *order)
+    # slice sizes need no sort: count rows per slice of the same (reused) range exchange
+    sizes = ranged.groupBy(F.spark_partition_id().alias(_PART)).agg(F.count(F.lit(1)).alias(_N))
     # one row per slice: bounded by n, so the window and the broadcast are small
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(_PART, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF))
+    tagged = (
+        ranged.sortWithinPartitions(*order)
+        .withColumn(_PART, F.spark_partition_id())
+        .withColumn(_POS, F.monotonically_increasing_id())
+    )
     local = F.col(_POS) - F.shiftleft(F.col(_PART).cast("long"), 33)
     return (
         tagged.join(F.broadcast(offsets), _PART)
@@ -67,21 +70,26 @@ def next_in_sequence(
     Output: each column ``c`` of keys + order + carry as ``c_0`` (this row) and ``c_1``
     (the next row). Rows without a successor in their key are not emitted. Equivalent to
     ``lead(...) OVER (PARTITION BY keys ORDER BY order)`` restricted to non-NULL leads,
-    but the work is spread by sequence number, not by key: number the rows globally in
-    (keys, order), then equi-join row i to row i+1 (a unique key, so both sides hash
-    evenly) and keep pairs whose keys agree.
+    but the work is spread by sequence number, not by key.
+
+    Number the rows globally in (keys, order); every row is then sent to two slots, as
+    "this" to slot id and as "next" to slot id - 1, and one aggregation per slot joins the
+    two. Rows i and i + 1 almost always sit in the same range slice, so the map-side
+    partial aggregation already completes the pair and the shuffle carries about one row
+    per pair, whatever the key skew. Fixed-width columns keep the hash aggregation.
     """
     cols = list(dict.fromkeys([*keys, *order, *(carry or [])]))
     numbered = sequence_number(df.select(*cols), [*keys, *order], "_pair_id", num_slices)
-    this = numbered.select("_pair_id", *[F.col(c).alias(f"{c}_0") for c in cols])
-    nxt = numbered.select(
-        (F.col("_pair_id") - 1).alias("_pair_id"), *[F.col(c).alias(f"{c}_1") for c in cols]
-    )
-    same_key = None
+    slot = F.explode(
+        F.array(
+            F.struct(F.col("_pair_id").alias("_slot"), F.lit(0).alias("_role")),
+            F.struct((F.col("_pair_id") - 1).alias("_slot"), F.lit(1).alias("_role")),
+        )
+    ).alias("_s")
+    sent = numbered.select(slot, *cols).select("_s._slot", "_s._role", *cols)
+    aggs = [F.max(F.when(F.col("_role") == r, F.lit(1))).alias(f"_has_{r}") for r in (0, 1)]
+    aggs += [F.max(F.when(F.col("_role") == r, F.col(c))).alias(f"{c}_{r}") for r in (0, 1) for c in cols]
+    pairs = sent.groupBy("_slot").agg(*aggs).filter((F.col("_has_0") == 1) & (F.col("_has_1") == 1))
     for k in keys:
-        cond = F.col(f"{k}_0") == F.col(f"{k}_1")
-        same_key = cond if same_key is None else same_key & cond
-    pairs = this.join(nxt, "_pair_id")
-    if same_key is not None:
-        pairs = pairs.filter(same_key)
-    return pairs.drop("_pair_id")
+        pairs = pairs.filter(F.col(f"{k}_0") == F.col(f"{k}_1"))
+    return pairs.select(*[f"{c}_0" for c in cols], *[f"{c}_1" for c in cols])
