@@ -4,16 +4,19 @@ the hot path, scans that read every column)."""
 
 from __future__ import annotations
 
+import contextlib
+import io
 import re
 
 from pyspark.sql import DataFrame
 
 
-def physical_plan(df: DataFrame) -> str:
-    """The formatted physical plan (before AQE re-planning)."""
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.FormattedMode$.MODULE$
-    )
+def physical_plan(df: DataFrame, mode: str = "formatted") -> str:
+    """What ``df.explain(mode)`` prints, as a string."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode=mode)
+    return buf.getvalue()
 
 
 def plan_text(df: DataFrame) -> str:
@@ -35,8 +38,8 @@ def single_partition_exchanges(df: DataFrame) -> int:
 
 
 def pushed_filters(df: DataFrame) -> list[str]:
-    return re.findall(r"PushedFilters: \[([^\]]*)\]", plan_text(df))
+    return re.findall(r"PushedFilters: \[([^\]]*)\]", physical_plan(df))
 
 
 def read_schemas(df: DataFrame) -> list[str]:
-    return re.findall(r"ReadSchema: (struct<[^>]*>)", plan_text(df))
+    return re.findall(r"ReadSchema: (struct<[^>]*>)", physical_plan(df))
