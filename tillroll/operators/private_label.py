@@ -18,12 +18,12 @@ PAID = "total_price_paid_at_tc_prod_id"
 
 
 def private_label_share_by_group(
-    products: DataFrame, brand: str = PRIVATE_LABEL_BRAND, match: str = "equals"
+    products: DataFrame, brand: str = PRIVATE_LABEL_BRAND, match: str = "equals", case_insensitive: bool = False
 ) -> DataFrame:
     """Per category: private-label brand count, brand count, and their ratio in percent.
     One conditional aggregation; categories without private label (and a NULL category)
     are left out. Output (group_at_prod_id, count_pl, count_all, proportion)."""
-    pl = is_private_label(BRAND, brand, match)
+    pl = is_private_label(BRAND, brand, match, case_insensitive)
     return (
         products.filter(F.col(GROUP).isNotNull())
         .groupBy(GROUP)
@@ -36,11 +36,13 @@ def private_label_share_by_group(
     )
 
 
-def product_flags(products: DataFrame, brand: str = PRIVATE_LABEL_BRAND, match: str = "equals") -> DataFrame:
+def product_flags(
+    products: DataFrame, brand: str = PRIVATE_LABEL_BRAND, match: str = "equals", case_insensitive: bool = False
+) -> DataFrame:
     """One row per product id: (prod_id, _pl). Duplicate product rows collapse, so joins
     on it never multiply purchase lines."""
     return products.groupBy("prod_id").agg(
-        F.max(F.coalesce(is_private_label(BRAND, brand, match), F.lit(False))).alias("_pl")
+        F.max(F.coalesce(is_private_label(BRAND, brand, match, case_insensitive), F.lit(False))).alias("_pl")
     )
 
 
@@ -51,13 +53,14 @@ def monthly_private_label_spend(
     year: int | None,
     brand: str = PRIVATE_LABEL_BRAND,
     match: str = "equals",
+    case_insensitive: bool = False,
 ) -> DataFrame:
     """Per month: total spend on known products, private-label spend and private-label
     line count, in one pass. Lines are reduced per trip before meeting the trips, and the
     monthly sums are combined map-side. Output (month, all_prods, pl_prods, pl_lines)."""
     per_trip = (
         purchases.select("tc_id", "prod_id", PAID)
-        .join(product_flags(products, brand, match), "prod_id")
+        .join(product_flags(products, brand, match, case_insensitive), "prod_id")
         .groupBy("tc_id")
         .agg(
             F.sum(PAID).alias("_all"),
@@ -102,6 +105,7 @@ def private_label_share_by_income_month(
     brand: str = PRIVATE_LABEL_BRAND,
     match: str = "regex",
     bands=INCOME_BANDS,
+    case_insensitive: bool = False,
 ) -> DataFrame:
     """Per income band and year-month: total spend, private-label spend and their ratio,
     for the months in which the band bought private label.
@@ -111,7 +115,7 @@ def private_label_share_by_income_month(
     per household and year-month -> household band -> per band and year-month. Every
     shuffle carries rows already reduced by the previous aggregation."""
     pl_ids = (
-        products.filter(is_private_label(BRAND, brand, match))
+        products.filter(is_private_label(BRAND, brand, match, case_insensitive))
         .select("prod_id")
         .distinct()
         .withColumn("_pl", F.lit(True))

@@ -46,25 +46,31 @@ def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
     return raw.select(*cols)
 
 
-def read_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One panel CSV: header row, a leading unnamed index column (dropped), every other
-    column typed by ``SCHEMAS[name]``. Without a schema Spark reads all columns as strings,
-    so the header is the only thing it looks at before the typed projection."""
+def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A CSV with a header row, typed by ``schema`` (columns matched by name, any order;
+    a leading unnamed index column is dropped). Without a schema Spark reads every column
+    as a string, so the header is all it looks at before the typed projection."""
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     index_cols = [c for c in raw.columns if c in ("", "_c0", "Unnamed: 0")]
-    return _typed(raw.drop(*index_cols), SCHEMAS[name])
+    return _typed(raw.drop(*index_cols), schema)
+
+
+def read_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One panel CSV (households, products, trips or purchases)."""
+    return read_typed_csv(spark, path, SCHEMAS[name])
 
 
 def read_panel(spark: SparkSession, paths: dict[str, str], fmt: str = "csv") -> Panel:
     """Read the four panel tables. ``paths`` maps households/products/trips/purchases to
-    files or folders."""
+    files or folders (``fmt`` = csv, parquet, orc, ...) or, with ``fmt="table"``, to
+    catalog table names."""
     frames = {}
     for name, schema in SCHEMAS.items():
         if fmt == "csv":
             frames[name] = read_csv_table(spark, paths[name], name)
-        else:
-            df = spark.read.format(fmt).load(paths[name])
-            frames[name] = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+            continue
+        df = spark.table(paths[name]) if fmt == "table" else spark.read.format(fmt).load(paths[name])
+        frames[name] = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
     return Panel(**frames)
 
 
