@@ -17,6 +17,7 @@ from tillroll.plans.inspect import (
     plan_text,
     pushed_filters,
     read_schemas,
+    single_partition_children,
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables not present")
@@ -24,22 +25,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tabl
 NAMES = sorted(entry.queries())
 
 
-def _single_partition_children(text: str) -> list[str]:
-    """For each 'Exchange SinglePartition' node, the operator right below it."""
-    lines = text.splitlines()
-    out = []
-    for i, line in enumerate(lines):
-        if "Exchange SinglePartition" in line and i + 1 < len(lines):
-            out.append(lines[i + 1].strip())
-    return out
-
-
 @pytest.mark.parametrize("name", NAMES)
 def test_plan_scales(spark, name):
     df = entry.queries()[name](spark, SF_SMALL)
     assert not has_cartesian(df), name
     assert not has_python_udf(df), name
-    for child in _single_partition_children(plan_text(df)):
+    for child in single_partition_children(df):
         # only already-aggregated rows (global aggregates, per-slice counts, distinct
         # dates) may be gathered into one task
         assert "Aggregate" in child, (name, child)

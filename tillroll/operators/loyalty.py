@@ -16,16 +16,16 @@ RETAILER = "tc_retailer_code"
 
 def monthly_active_households(trips: DataFrame, min_months: int = 12) -> DataFrame:
     """Households seen in at least ``min_months`` distinct calendar months (months of
-    different years collapse). Output (hh_id, months). Two aggregations, each combined
-    map-side, so a household with very many trips costs at most 12 rows per task."""
-    hm = (
-        trips.filter(F.col("hh_id").isNotNull() & F.col("tc_date").isNotNull())
-        .select("hh_id", month_of("tc_date").alias("month"))
-        .distinct()
-    )
+    different years collapse). Output (hh_id, months).
+
+    One aggregation: each trip sets bit month-1 of a 12-bit mask, masks are OR-ed per
+    household (combined map-side, so a household with very many trips costs one small row
+    per task) and the set bits are counted."""
+    mask = F.call_function("shiftleft", F.lit(1), month_of("tc_date") - 1)
     return (
-        hm.groupBy("hh_id")
-        .agg(F.count(F.lit(1)).alias("months"))
+        trips.filter(F.col("hh_id").isNotNull() & F.col("tc_date").isNotNull())
+        .groupBy("hh_id")
+        .agg(F.bit_count(F.bit_or(mask)).cast("long").alias("months"))
         .filter(F.col("months") >= min_months)
     )
 

@@ -20,7 +20,14 @@ def physical_plan(df: DataFrame, mode: str = "formatted") -> str:
 
 
 def plan_text(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan as ``df.explain()`` prints it (the initial plan under AQE)."""
+    return physical_plan(df, "simple")
+
+
+def single_partition_children(df: DataFrame) -> list[str]:
+    """For each 'Exchange SinglePartition' in the plan, the operator right below it."""
+    lines = plan_text(df).splitlines()
+    return [lines[i + 1].strip() for i, line in enumerate(lines[:-1]) if "Exchange SinglePartition" in line]
 
 
 def has_cartesian(df: DataFrame) -> bool:
