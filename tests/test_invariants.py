@@ -142,3 +142,24 @@ def test_income_study_equals_literal_per_band_sql(spark):
         assert r["avg_total"] == pytest.approx(float(avg_total), rel=1e-12)
         assert r["avg_private"] == pytest.approx(float(avg_private), rel=1e-12)
         assert r["percentage"] == pytest.approx(float(ratio), rel=1e-12)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables not present")
+def test_histogram_counts_cover_input(spark):
+    from tillroll.operators.chartdata import histogram
+
+    pairs = gaps.next_trip_pairs(panel_from_tpch(spark, SF_SMALL).trips, P.year)
+    h = histogram(pairs, "time_window", 500).collect()
+    assert sum(r["n"] for r in h) == pairs.count()
+    assert all(0 <= r["bin"] < 500 and r["lo"] <= r["hi"] for r in h)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables not present")
+def test_private_never_exceeds_total(spark):
+    panel = panel_from_tpch(spark, SF_SMALL)
+    bm = private_label.private_label_share_by_income_month(
+        panel.households, panel.trips, panel.purchases, panel.products, P.brand, "regex"
+    )
+    assert bm.filter((F.col("private") > F.col("total")) | (F.col("percentage") > 1)).count() == 0
+    mon = private_label.monthly_private_label_spend(panel.trips, panel.purchases, panel.products, P.year, P.brand)
+    assert mon.filter(F.col("pl_prods") > F.col("all_prods")).count() == 0
