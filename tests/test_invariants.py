@@ -121,21 +121,24 @@ def test_income_study_equals_literal_per_band_sql(spark):
     got = {r["band"]: r for r in private_label.private_label_by_income(bm).collect()}
     con = duck_connection(SF_SMALL)
     for band, cond in (("low", "BETWEEN 3 AND 15"), ("mid", "BETWEEN 16 AND 21"), ("high", "> 21")):
-        hh = f"(SELECT c_custkey AS hh_id FROM customer WHERE CAST(FLOOR((c_acctbal + 1000) / 440) + 3 AS INTEGER) {cond})"
-        tc = "(SELECT o_custkey AS hh_id, strftime(CAST(o_orderdate AS DATE), '%Y-%m') AS ym, o_orderkey AS tc_id FROM orders)"
-        lines = "(SELECT l_orderkey AS tc_id, l_partkey AS prod_id, CAST(l_extendedprice AS DECIMAL(18,2)) AS paid FROM lineitem)"
-        pl = f"(SELECT p_partkey AS prod_id FROM part WHERE regexp_matches(p_brand, '{P.brand}'))"
         sql = f"""
-        SELECT AVG(total), AVG(private), SUM(private) / SUM(total), COUNT(*) FROM
-          (SELECT b1.ym, SUM(b2.paid) AS total FROM
-             (SELECT a2.ym, a2.tc_id FROM {hh} a1 JOIN {tc} a2 ON a1.hh_id = a2.hh_id) b1
-             JOIN {lines} b2 ON b1.tc_id = b2.tc_id GROUP BY b1.ym) y1
-          JOIN
-          (SELECT b1.ym, SUM(w.paid) AS private FROM
-             (SELECT a2.ym, a2.tc_id FROM {hh} a1 JOIN {tc} a2 ON a1.hh_id = a2.hh_id) b1
-             JOIN (SELECT w2.tc_id, w2.paid FROM {lines} w2 JOIN {pl} w1 ON w1.prod_id = w2.prod_id) w
-             ON b1.tc_id = w.tc_id GROUP BY b1.ym) y2
-          ON y1.ym = y2.ym"""
+        WITH band_trips AS (
+            SELECT o.o_orderkey AS tc_id, strftime(CAST(o.o_orderdate AS DATE), '%Y-%m') AS ym
+            FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+            WHERE CAST(FLOOR((c.c_acctbal + 1000) / 440) + 3 AS INTEGER) {cond}),
+        line_paid AS (
+            SELECT l_orderkey AS tc_id, l_partkey AS prod_id, CAST(l_extendedprice AS DECIMAL(18,2)) AS paid
+            FROM lineitem),
+        all_spend AS (
+            SELECT bt.ym, SUM(lp.paid) AS spend FROM band_trips bt JOIN line_paid lp ON bt.tc_id = lp.tc_id
+            GROUP BY bt.ym),
+        own_brand_spend AS (
+            SELECT bt.ym, SUM(lp.paid) AS spend
+            FROM band_trips bt JOIN line_paid lp ON bt.tc_id = lp.tc_id
+            JOIN part p ON p.p_partkey = lp.prod_id AND regexp_matches(p.p_brand, '{P.brand}')
+            GROUP BY bt.ym)
+        SELECT AVG(t.spend), AVG(o.spend), SUM(o.spend) / SUM(t.spend), COUNT(*)
+        FROM all_spend t JOIN own_brand_spend o ON t.ym = o.ym"""
         avg_total, avg_private, ratio, months = con.execute(sql).fetchall()[0]
         r = got[band]
         assert r["months"] == months

@@ -9,6 +9,7 @@ from tillroll.functions.dates import day_gap
 from tillroll.functions.stats import exact_avg
 from tillroll.operators.profile import trips_in_year
 from tillroll.operators.sequence import next_in_sequence, sequence_number
+from tillroll.sources.schema import DAYS_PER_MONTH, INACTIVE_MONTHS
 
 
 def trip_sequence(
@@ -32,7 +33,9 @@ def next_trip_pairs(trips: DataFrame, year: int | None = None, num_slices: int |
     return pairs.withColumn("time_window", day_gap("tc_date_1", "tc_date_0"))
 
 
-def inactive_gap_count(pairs: DataFrame, months: int = 3, days_per_month: int = 30) -> DataFrame:
+def inactive_gap_count(
+    pairs: DataFrame, months: int = INACTIVE_MONTHS, days_per_month: int = DAYS_PER_MONTH
+) -> DataFrame:
     """Gaps longer than ``months`` months of ``days_per_month`` days (gap/30 > 3, i.e.
     more than 90 days), and the number of households with such a gap."""
     long_gaps = pairs.filter(F.col("time_window") > months * days_per_month)
@@ -42,7 +45,10 @@ def inactive_gap_count(pairs: DataFrame, months: int = 3, days_per_month: int =
 
 
 def global_gap_count(
-    trips: DataFrame, year: int | None = None, months: int = 3, days_per_month: int = 30
+    trips: DataFrame,
+    year: int | None = None,
+    months: int = INACTIVE_MONTHS,
+    days_per_month: int = DAYS_PER_MONTH,
 ) -> DataFrame:
     """Gaps over ``months`` months between neighbouring trips of *any* households, trips
     ordered by date alone. Neighbours on the same day have gap 0, so only consecutive

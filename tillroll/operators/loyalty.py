@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from tillroll.functions.dates import month_of
 from tillroll.functions.stats import exact_avg, money_sum, ratio
 from tillroll.operators.profile import trips_in_year
+from tillroll.sources.schema import ACTIVE_MONTHS, PAIR_LOYAL_SHARE, SINGLE_LOYAL_SHARE, SPEND_MONTHS
 
 SPENT = "tc_total_spent"
 RETAILER = "tc_retailer_code"
 
 
-def monthly_active_households(trips: DataFrame, min_months: int = 12) -> DataFrame:
+def monthly_active_households(trips: DataFrame, min_months: int = ACTIVE_MONTHS) -> DataFrame:
     """Households seen in at least ``min_months`` distinct calendar months (months of
     different years collapse). Output (hh_id, months).
 
@@ -35,18 +36,18 @@ def monthly_active_trips(trips: DataFrame, active: DataFrame) -> DataFrame:
     return trips.join(active.select("hh_id"), "hh_id", "left_semi")
 
 
-def household_avg_spend(active_trips: DataFrame, months: int = 12) -> DataFrame:
+def household_avg_spend(active_trips: DataFrame, months: int = SPEND_MONTHS) -> DataFrame:
     """Total spend / ``months`` per household: (hh_id, avg_spent)."""
     return active_trips.groupBy("hh_id").agg(ratio(F.sum(SPENT), F.lit(months)).alias("avg_spent"))
 
 
-def household_retailer_avg_spend(active_trips: DataFrame, months: int = 12) -> DataFrame:
+def household_retailer_avg_spend(active_trips: DataFrame, months: int = SPEND_MONTHS) -> DataFrame:
     return active_trips.groupBy("hh_id", RETAILER).agg(
         ratio(F.sum(SPENT), F.lit(months)).alias("avg_spent_per_retailer")
     )
 
 
-def retailer_share(active_trips: DataFrame, months: int = 12) -> DataFrame:
+def retailer_share(active_trips: DataFrame, months: int = SPEND_MONTHS) -> DataFrame:
     """Share of each retailer in a household's spend, in percent.
 
     Output (hh_id, tc_retailer_code, avg_spent_per_retailer, avg_spent, percentage_of_spent).
@@ -69,12 +70,12 @@ def retailer_share(active_trips: DataFrame, months: int = 12) -> DataFrame:
     )
 
 
-def loyal_single(share: DataFrame, threshold: float = 80) -> DataFrame:
+def loyal_single(share: DataFrame, threshold: float = SINGLE_LOYAL_SHARE) -> DataFrame:
     """Household-retailer rows with a share of at least ``threshold`` percent."""
     return share.filter(F.col("percentage_of_spent") >= threshold)
 
 
-def loyal_pair(share: DataFrame, threshold: float = 80) -> DataFrame:
+def loyal_pair(share: DataFrame, threshold: float = PAIR_LOYAL_SHARE) -> DataFrame:
     """Pairs of different retailers of one household whose shares together exceed
     ``threshold`` percent. Output (hh_id, retailer_1, retailer_2, avg_spent_1, avg_spent_2,
     avg_spent_both, percentage_of_spent) with retailer_1 < retailer_2.

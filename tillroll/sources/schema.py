@@ -55,7 +55,17 @@ SCHEMAS: dict[str, T.StructType] = {
     "purchases": PURCHASES,
 }
 
-# The private-label brand code of the panel, and the household income
-# bands used by the income study (inclusive code ranges; None = open upper end).
+# Fixed values of the panel study:
+# - private-label brand code
+# - household income bands (inclusive income-code ranges; None = open upper end)
+# - a "month" of trip gaps is 30 days; a gap of more than 3 such months marks inactivity
+# - households active in all 12 calendar months; spend averaged over a fixed 12 months
+# - loyalty thresholds: one retailer with at least 80 %, two retailers together above 80 %
 PRIVATE_LABEL_BRAND = "CTL BR"
 INCOME_BANDS = (("low", 3, 15), ("mid", 16, 21), ("high", 22, None))
+DAYS_PER_MONTH = 30
+INACTIVE_MONTHS = 3
+ACTIVE_MONTHS = 12
+SPEND_MONTHS = 12
+SINGLE_LOYAL_SHARE = 80
+PAIR_LOYAL_SHARE = 80
