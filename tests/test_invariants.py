@@ -166,3 +166,15 @@ def test_private_never_exceeds_total(spark):
     assert bm.filter((F.col("private") > F.col("total")) | (F.col("percentage") > 1)).count() == 0
     mon = private_label.monthly_private_label_spend(panel.trips, panel.purchases, panel.products, P.year, P.brand)
     assert mon.filter(F.col("pl_prods") > F.col("all_prods")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables not present")
+def test_ordered_pairs_are_twice_the_unordered(spark):
+    panel = panel_from_tpch(spark, SF_SMALL)
+    active = loyalty.monthly_active_households(panel.trips, P.min_months)
+    share = loyalty.retailer_share(loyalty.monthly_active_trips(panel.trips, active), P.months)
+    unordered = loyalty.loyal_pair(share, P.pair_threshold)
+    ordered = loyalty.loyal_pair(share, P.pair_threshold, both_orders=True)
+    n = unordered.count()
+    assert n > 0 and ordered.count() == 2 * n
+    assert ordered.filter(F.col("retailer_1") > F.col("retailer_2")).count() == n

@@ -100,3 +100,12 @@ def test_streaming_append_is_exactly_once(spark):
     append_panel_files(spark, "trips", src, TRIPS_HEADER, target, ckpt, keys=keys, key="hh_id")
     got = {r["tc_id"]: r["tc_date"] for r in spark.read.parquet(target).collect()}
     assert got == {1: d("2004-01-01"), 2: d("2004-01-02"), 4: None}
+
+
+def test_sample_panel_with_product_keys(spark):
+    panel = read_panel(spark, _panel_csvs(_scratch()))
+    keys = spark.createDataFrame([(8034573,)], "hh_id long")
+    prods = spark.createDataFrame([(1,)], "prod_id long")
+    sub = sample_panel(panel, keys, product_keys=prods)
+    assert sorted(r["tc_id"] for r in sub.trips.collect()) == [2, 3]
+    assert sub.products.count() == 0 and sub.purchases.count() == 0

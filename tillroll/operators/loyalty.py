@@ -75,10 +75,12 @@ def loyal_single(share: DataFrame, threshold: float = SINGLE_LOYAL_SHARE) -> Dat
     return share.filter(F.col("percentage_of_spent") >= threshold)
 
 
-def loyal_pair(share: DataFrame, threshold: float = PAIR_LOYAL_SHARE) -> DataFrame:
+def loyal_pair(share: DataFrame, threshold: float = PAIR_LOYAL_SHARE, both_orders: bool = False) -> DataFrame:
     """Pairs of different retailers of one household whose shares together exceed
     ``threshold`` percent. Output (hh_id, retailer_1, retailer_2, avg_spent_1, avg_spent_2,
-    avg_spent_both, percentage_of_spent) with retailer_1 < retailer_2.
+    avg_spent_both, percentage_of_spent) with retailer_1 < retailer_2; with
+    ``both_orders`` each pair is also listed the other way round (the literal reading of
+    a self-join on "different retailer").
 
     Output-sensitive, without listing all pairs of a household. Rank the household's
     retailers by share (descending). For retailer i the qualifying partners are those with
@@ -138,7 +140,7 @@ def loyal_pair(share: DataFrame, threshold: float = PAIR_LOYAL_SHARE) -> DataFra
     a2 = F.when(first, F.col("_aj")).otherwise(F.col("_ai"))
     both = a1 + a2
     pct = F.try_divide(both, F.col("_total")) * 100
-    return pairs.filter(F.col("_ri") != F.col("_rj")).select(
+    out = pairs.filter(F.col("_ri") != F.col("_rj")).select(
         "hh_id",
         F.least("_ri", "_rj").alias("retailer_1"),
         F.greatest("_ri", "_rj").alias("retailer_2"),
@@ -147,6 +149,18 @@ def loyal_pair(share: DataFrame, threshold: float = PAIR_LOYAL_SHARE) -> DataFra
         both.alias("avg_spent_both"),
         pct.alias("percentage_of_spent"),
     ).filter(F.col("percentage_of_spent") > threshold)
+    if not both_orders:
+        return out
+    swapped = out.select(
+        "hh_id",
+        F.col("retailer_2").alias("retailer_1"),
+        F.col("retailer_1").alias("retailer_2"),
+        F.col("avg_spent_2").alias("avg_spent_1"),
+        F.col("avg_spent_1").alias("avg_spent_2"),
+        "avg_spent_both",
+        "percentage_of_spent",
+    )
+    return out.unionByName(swapped)
 
 
 def loyal_households(single: DataFrame, pair: DataFrame) -> DataFrame:

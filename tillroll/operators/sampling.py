@@ -16,10 +16,13 @@ def sample_by_keys(df: DataFrame, keys: DataFrame, key: str, keys_key: str | Non
     return df.join(k, key, "left_semi")
 
 
-def sample_panel(panel: Panel, household_keys: DataFrame, key: str = "hh_id") -> Panel:
+def sample_panel(
+    panel: Panel, household_keys: DataFrame, key: str = "hh_id", product_keys: DataFrame | None = None
+) -> Panel:
     """Referential sample: the listed households, their trips and those trips' purchases.
-    Products stay whole (a purchase may reference any product)."""
+    Products are sampled by ``product_keys`` when given and stay whole otherwise."""
     households = sample_by_keys(panel.households, household_keys, "hh_id", key)
     trips = sample_by_keys(panel.trips, household_keys, "hh_id", key)
     purchases = sample_by_keys(panel.purchases, trips.select("tc_id"), "tc_id")
-    return Panel(households, panel.products, trips, purchases)
+    products = panel.products if product_keys is None else sample_by_keys(panel.products, product_keys, "prod_id")
+    return Panel(households, products, trips, purchases)

@@ -12,6 +12,7 @@ from tillroll.operators import chartdata as chart
 from tillroll.operators import gaps, loyalty, monthly, private_label, profile
 from tillroll.operators.sampling import sample_panel
 from tillroll.sources.panel import Panel, panel_from_tpch
+from tillroll.sources.schema import INCOME_BANDS
 
 
 @dataclass(frozen=True)
@@ -132,6 +133,7 @@ _q("household_retailer_avg_spend")(lambda p: loyalty.household_retailer_avg_spen
 _q("retailer_share")(_share)
 _q("loyal_single")(_single)
 _q("loyal_pair")(_pair)
+_q("loyal_pair_ordered")(lambda p: loyalty.loyal_pair(_share(p), P.pair_threshold, both_orders=True))
 _q("loyal_households")(_loyal)
 _q("loyal_household_income")(lambda p: loyalty.loyal_household_income(_loyal(p), p.households))
 _q("loyal_income_comparison")(lambda p: loyalty.loyal_income_comparison(_loyal(p), p.households, "pair"))
@@ -158,15 +160,10 @@ _q("spend_by_month")(lambda p: private_label.spend_by_month(_pl_monthly(p)))
 _q("private_label_spend_by_month")(lambda p: private_label.private_label_spend_by_month(_pl_monthly(p)))
 _q("private_label_expenditure_share")(lambda p: private_label.private_label_expenditure_share(_pl_monthly(p)))
 _q("private_label_by_income")(lambda p: private_label.private_label_by_income(_band_months(p)))
-_q("private_label_by_income_low")(
-    lambda p: private_label.private_label_by_income(_band_months(p, (("low", 3, 15),)))
-)
-_q("private_label_by_income_mid")(
-    lambda p: private_label.private_label_by_income(_band_months(p, (("mid", 16, 21),)))
-)
-_q("private_label_by_income_high")(
-    lambda p: private_label.private_label_by_income(_band_months(p, (("high", 22, None),)))
-)
+for _band in INCOME_BANDS:
+    _q(f"private_label_by_income_{_band[0]}")(
+        lambda p, b=_band: private_label.private_label_by_income(_band_months(p, (b,)))
+    )
 _q("private_label_share_by_income_month")(_band_months)
 
 # ---- chart data ----

@@ -280,6 +280,15 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
     "retailer_share": (["share"], "SELECT * FROM share"),
     "loyal_single": (["single"], "SELECT * FROM single"),
     "loyal_pair": (["pair"], "SELECT * FROM pair"),
+    "loyal_pair_ordered": (
+        ["share"],
+        f"""SELECT a.hh_id, a.tc_retailer_code AS retailer_1, b.tc_retailer_code AS retailer_2,
+         a.avg_spent_per_retailer AS avg_spent_1, b.avg_spent_per_retailer AS avg_spent_2,
+         a.avg_spent_per_retailer + b.avg_spent_per_retailer AS avg_spent_both,
+         (a.avg_spent_per_retailer + b.avg_spent_per_retailer) / NULLIF(a.avg_spent, 0) * 100 AS percentage_of_spent
+  FROM share a JOIN share b ON a.hh_id = b.hh_id AND a.tc_retailer_code <> b.tc_retailer_code
+  WHERE (a.avg_spent_per_retailer + b.avg_spent_per_retailer) / NULLIF(a.avg_spent, 0) * 100 > {P.pair_threshold}""",
+    ),
     "loyal_households": (["loyal"], "SELECT * FROM loyal"),
     "loyal_household_income": (
         ["loyal", "households"],
