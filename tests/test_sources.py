@@ -109,3 +109,17 @@ def test_sample_panel_with_product_keys(spark):
     sub = sample_panel(panel, keys, product_keys=prods)
     assert sorted(r["tc_id"] for r in sub.trips.collect()) == [2, 3]
     assert sub.products.count() == 0 and sub.purchases.count() == 0
+
+
+def test_cli_runs_an_analysis_on_panel_csvs(spark, capsys):
+    from tillroll.__main__ import main
+
+    root = _scratch()
+    _panel_csvs(root)
+    assert main(["--list"]) == 0
+    assert "loyal_pair" in capsys.readouterr().out.split()
+    out = os.path.join(root, "result")
+    assert main(["trip_count", "--panel", root, "--year", "2004", "--out", out]) == 0
+    back = spark.read.option("header", True).csv(out).collect()
+    assert [int(r["n_trips"]) for r in back] == [2]  # the malformed date is not in 2004
+    assert main(["no_such_analysis", "--panel", root]) == 2

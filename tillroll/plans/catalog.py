@@ -1,5 +1,9 @@
-"""The query catalog: every analysis wired to the driver's tables with the fixture
-parameters. Each entry maps (spark, sf_dir) to a lazy DataFrame."""
+"""The query catalog: every analysis as a function of a panel, for a set of parameters.
+
+``analyses(params)`` maps each analysis name to ``Panel -> DataFrame``. ``STUDY`` holds
+the panel study's own parameters (for real panels); ``P`` the parameters used on the
+driver's tables; ``queries()`` binds the catalog to the driver's tables.
+"""
 
 from __future__ import annotations
 
@@ -12,193 +16,181 @@ from tillroll.operators import chartdata as chart
 from tillroll.operators import gaps, loyalty, monthly, private_label, profile
 from tillroll.operators.sampling import sample_panel
 from tillroll.sources.panel import Panel, panel_from_tpch
-from tillroll.sources.schema import INCOME_BANDS
+from tillroll.sources.schema import (
+    ACTIVE_MONTHS,
+    INACTIVE_MONTHS,
+    INCOME_BANDS,
+    PAIR_LOYAL_SHARE,
+    PRIVATE_LABEL_BRAND,
+    SINGLE_LOYAL_SHARE,
+    SPEND_MONTHS,
+)
 
 
 @dataclass(frozen=True)
 class Params:
-    """Parameters for the driver's tables (their data spans 1995-2001; only two customers
-    shop in all twelve months, and the highest single-retailer share is below 80%, so
-    the active-month and single-loyalty thresholds are lowered to give non-empty answers)."""
-
-    year: int = 1998
-    min_months: int = 8
-    months: int = 12
-    single_threshold: float = 50
-    pair_threshold: float = 80
-    brand: str = "Brand#1"
-    gap_months: int = 3
+    year: int = 2004
+    min_months: int = ACTIVE_MONTHS
+    months: int = SPEND_MONTHS
+    single_threshold: float = SINGLE_LOYAL_SHARE
+    pair_threshold: float = PAIR_LOYAL_SHARE
+    brand: str = PRIVATE_LABEL_BRAND
+    gap_months: int = INACTIVE_MONTHS
     gap_bins: int = 500
     share_bins: int = 10
     scatter_bins: tuple[int, int] = (50, 50)
 
 
-P = Params()
-
-_REGISTRY: dict[str, Callable[[Panel], DataFrame]] = {}
-
-
-def _q(name: str):
-    def register(fn: Callable[[Panel], DataFrame]):
-        _REGISTRY[name] = fn
-        return fn
-
-    return register
-
-
-# ---- shared intermediate frames (lazy; each query builds the plan it needs) ----
-
-def _active(p: Panel) -> DataFrame:
-    return loyalty.monthly_active_households(p.trips, P.min_months)
-
-
-def _active_trips(p: Panel) -> DataFrame:
-    return loyalty.monthly_active_trips(p.trips, _active(p))
-
-
-def _share(p: Panel) -> DataFrame:
-    return loyalty.retailer_share(_active_trips(p), P.months)
-
-
-def _single(p: Panel) -> DataFrame:
-    return loyalty.loyal_single(_share(p), P.single_threshold)
-
-
-def _pair(p: Panel) -> DataFrame:
-    return loyalty.loyal_pair(_share(p), P.pair_threshold)
-
-
-def _loyal(p: Panel) -> DataFrame:
-    return loyalty.loyal_households(_single(p), _pair(p))
-
-
-def _pairs(p: Panel) -> DataFrame:
-    return gaps.next_trip_pairs(p.trips, P.year)
-
-
-def _items(p: Panel) -> DataFrame:
-    return monthly.avg_items_by_month(p.trips, p.households, p.purchases, P.year)
-
-
-def _trips_by_month(p: Panel) -> DataFrame:
-    return monthly.avg_trips_by_month(p.trips, p.households, P.year)
-
-
-def _ivt(p: Panel) -> DataFrame:
-    return monthly.items_vs_trips_by_month(_items(p), _trips_by_month(p))
-
-
-def _pl_monthly(p: Panel) -> DataFrame:
-    return private_label.monthly_private_label_spend(p.trips, p.purchases, p.products, P.year, P.brand, "equals")
-
-
-def _band_months(p: Panel, bands=None) -> DataFrame:
-    kw = {} if bands is None else {"bands": bands}
-    return private_label.private_label_share_by_income_month(
-        p.households, p.trips, p.purchases, p.products, P.brand, "regex", **kw
-    )
-
-
-# ---- ingest ----
-_q("panel_households")(lambda p: p.households)
-_q("panel_products")(lambda p: p.products)
-_q("panel_trips")(lambda p: p.trips)
-_q("panel_purchases")(lambda p: p.purchases)
-_q("sample_by_keys")(lambda p: sample_panel(p, _active(p)).purchases)
-
-# ---- profile ----
-_q("trips_in_year")(lambda p: profile.trips_in_year(p.trips, P.year))
-_q("trip_count")(lambda p: profile.trip_count(p.trips, P.year))
-_q("household_count")(lambda p: profile.household_count(p.households))
-_q("retailer_count")(lambda p: profile.retailer_count(p.trips, P.year))
-_q("products_per_group")(lambda p: profile.products_per_group(p.products))
-_q("products_per_module")(lambda p: profile.products_per_module(p.products))
-_q("department_profile")(lambda p: profile.department_profile(p.products))
-_q("purchase_count")(lambda p: profile.purchase_count(p.purchases))
-_q("deal_purchase_count")(lambda p: profile.deal_purchase_count(p.purchases))
-
-# ---- gaps ----
-_q("trip_sequence_by_date")(lambda p: gaps.trip_sequence(p.trips, P.year, by="date"))
-_q("trip_sequence_by_household")(lambda p: gaps.trip_sequence(p.trips, P.year, by="household"))
-_q("next_trip_pairs")(_pairs)
-_q("inactive_gap_count")(lambda p: gaps.inactive_gap_count(_pairs(p), P.gap_months))
-_q("global_gap_count")(lambda p: gaps.global_gap_count(p.trips, P.year, P.gap_months))
-_q("avg_gap_per_household")(lambda p: gaps.avg_gap_per_household(_pairs(p)))
-
-# ---- loyalty ----
-_q("monthly_active_households")(_active)
-_q("monthly_active_trips")(_active_trips)
-_q("household_avg_spend")(lambda p: loyalty.household_avg_spend(_active_trips(p), P.months))
-_q("household_retailer_avg_spend")(lambda p: loyalty.household_retailer_avg_spend(_active_trips(p), P.months))
-_q("retailer_share")(_share)
-_q("loyal_single")(_single)
-_q("loyal_pair")(_pair)
-_q("loyal_pair_ordered")(lambda p: loyalty.loyal_pair(_share(p), P.pair_threshold, both_orders=True))
-_q("loyal_households")(_loyal)
-_q("loyal_household_income")(lambda p: loyalty.loyal_household_income(_loyal(p), p.households))
-_q("loyal_income_comparison")(lambda p: loyalty.loyal_income_comparison(_loyal(p), p.households, "pair"))
-_q("top_retailer_by_spend")(lambda p: loyalty.top_retailer_by_spend(p.trips))
-_q("loyalists_by_retailer")(lambda p: loyalty.loyalists_by_retailer(_single(p)))
-_q("loyal_household_state")(lambda p: loyalty.loyal_household_state(_loyal(p), p.households))
-_q("loyal_state_distribution")(
-    lambda p: loyalty.loyal_state_distribution(loyalty.loyal_household_state(_loyal(p), p.households))
-)
-
-# ---- monthly behaviour, price ----
-_q("avg_items_by_month")(_items)
-_q("avg_trips_by_month")(_trips_by_month)
-_q("items_vs_trips_by_month")(_ivt)
-_q("items_trips_corr")(lambda p: monthly.items_trips_corr(_ivt(p)))
-_q("price_per_item")(lambda p: monthly.price_per_item(p.purchases))
-_q("price_quantity_corr")(lambda p: monthly.price_quantity_corr(monthly.price_per_item(p.purchases)))
-
-# ---- private label ----
-_q("private_label_share_by_group")(
-    lambda p: private_label.private_label_share_by_group(p.products, P.brand, "equals")
-)
-_q("spend_by_month")(lambda p: private_label.spend_by_month(_pl_monthly(p)))
-_q("private_label_spend_by_month")(lambda p: private_label.private_label_spend_by_month(_pl_monthly(p)))
-_q("private_label_expenditure_share")(lambda p: private_label.private_label_expenditure_share(_pl_monthly(p)))
-_q("private_label_by_income")(lambda p: private_label.private_label_by_income(_band_months(p)))
-for _band in INCOME_BANDS:
-    _q(f"private_label_by_income_{_band[0]}")(
-        lambda p, b=_band: private_label.private_label_by_income(_band_months(p, (b,)))
-    )
-_q("private_label_share_by_income_month")(_band_months)
-
-# ---- chart data ----
-_q("bar_department_products")(
-    lambda p: chart.bar_frame(profile.department_profile(p.products), "department", "products")
-)
-_q("bar_department_modules")(
-    lambda p: chart.bar_frame(profile.department_profile(p.products), "department", "module")
-)
-_q("bar_group_proportion")(
-    lambda p: chart.bar_frame(
-        private_label.private_label_share_by_group(p.products, P.brand, "equals"), "group_at_prod_id", "proportion"
-    )
-)
-_q("bar_month_share")(
-    lambda p: chart.bar_frame(private_label.private_label_expenditure_share(_pl_monthly(p)), "month", "share")
-)
-_q("line_items_by_month")(lambda p: chart.line_frame(_items(p), "month", "num_items"))
-_q("line_trips_by_month")(lambda p: chart.line_frame(_trips_by_month(p), "month", "num_trips"))
-_q("gap_histogram")(lambda p: chart.histogram(_pairs(p), "time_window", P.gap_bins))
-_q("income_share_histogram")(lambda p: chart.histogram(_band_months(p), "percentage", P.share_bins))
-_q("scatter_items_trips")(lambda p: chart.scatter_frame(_ivt(p), "num_items", "num_trips"))
-_q("scatter_price_quantity")(
-    lambda p: chart.scatter_frame(
-        monthly.price_per_item(p.purchases), "avg_price_paid_per_item", "quantity_at_tc_prod_id", P.scatter_bins
-    )
-)
-
-
-def panel_queries() -> dict[str, Callable[[Panel], DataFrame]]:
-    return dict(_REGISTRY)
+# The study's own parameters (the year its trip analyses look at is 2004).
+STUDY = Params()
+
+# Parameters for the driver's tables: their data spans 1995-2001, only two customers shop
+# in all twelve months and no single-retailer share reaches 80 %, so the year, the
+# active-month and the single-loyalty thresholds are moved to give non-empty answers.
+P = Params(year=1998, min_months=8, single_threshold=50, brand="Brand#1")
+
+PanelQuery = Callable[[Panel], DataFrame]
+
+
+def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
+    """Every analysis, bound to ``params``."""
+    q = params
+
+    # shared intermediate frames (lazy; each query builds the plan it needs)
+    def active(p: Panel) -> DataFrame:
+        return loyalty.monthly_active_households(p.trips, q.min_months)
+
+    def active_trips(p: Panel) -> DataFrame:
+        return loyalty.monthly_active_trips(p.trips, active(p))
+
+    def share(p: Panel) -> DataFrame:
+        return loyalty.retailer_share(active_trips(p), q.months)
+
+    def single(p: Panel) -> DataFrame:
+        return loyalty.loyal_single(share(p), q.single_threshold)
+
+    def pair(p: Panel) -> DataFrame:
+        return loyalty.loyal_pair(share(p), q.pair_threshold)
+
+    def loyal(p: Panel) -> DataFrame:
+        return loyalty.loyal_households(single(p), pair(p))
+
+    def pairs(p: Panel) -> DataFrame:
+        return gaps.next_trip_pairs(p.trips, q.year)
+
+    def items(p: Panel) -> DataFrame:
+        return monthly.avg_items_by_month(p.trips, p.households, p.purchases, q.year)
+
+    def trips_by_month(p: Panel) -> DataFrame:
+        return monthly.avg_trips_by_month(p.trips, p.households, q.year)
+
+    def ivt(p: Panel) -> DataFrame:
+        return monthly.items_vs_trips_by_month(items(p), trips_by_month(p))
+
+    def pl_monthly(p: Panel) -> DataFrame:
+        return private_label.monthly_private_label_spend(p.trips, p.purchases, p.products, q.year, q.brand, "equals")
+
+    def band_months(p: Panel, bands=INCOME_BANDS) -> DataFrame:
+        return private_label.private_label_share_by_income_month(
+            p.households, p.trips, p.purchases, p.products, q.brand, "regex", bands
+        )
+
+    def pl_group(p: Panel) -> DataFrame:
+        return private_label.private_label_share_by_group(p.products, q.brand, "equals")
+
+    out: dict[str, PanelQuery] = {
+        # ---- ingest ----
+        "panel_households": lambda p: p.households,
+        "panel_products": lambda p: p.products,
+        "panel_trips": lambda p: p.trips,
+        "panel_purchases": lambda p: p.purchases,
+        "sample_by_keys": lambda p: sample_panel(p, active(p)).purchases,
+        # ---- profile ----
+        "trips_in_year": lambda p: profile.trips_in_year(p.trips, q.year),
+        "trip_count": lambda p: profile.trip_count(p.trips, q.year),
+        "household_count": lambda p: profile.household_count(p.households),
+        "retailer_count": lambda p: profile.retailer_count(p.trips, q.year),
+        "products_per_group": lambda p: profile.products_per_group(p.products),
+        "products_per_module": lambda p: profile.products_per_module(p.products),
+        "department_profile": lambda p: profile.department_profile(p.products),
+        "purchase_count": lambda p: profile.purchase_count(p.purchases),
+        "deal_purchase_count": lambda p: profile.deal_purchase_count(p.purchases),
+        # ---- gaps ----
+        "trip_sequence_by_date": lambda p: gaps.trip_sequence(p.trips, q.year, by="date"),
+        "trip_sequence_by_household": lambda p: gaps.trip_sequence(p.trips, q.year, by="household"),
+        "next_trip_pairs": pairs,
+        "inactive_gap_count": lambda p: gaps.inactive_gap_count(pairs(p), q.gap_months),
+        "global_gap_count": lambda p: gaps.global_gap_count(p.trips, q.year, q.gap_months),
+        "avg_gap_per_household": lambda p: gaps.avg_gap_per_household(pairs(p)),
+        # ---- loyalty ----
+        "monthly_active_households": active,
+        "monthly_active_trips": active_trips,
+        "household_avg_spend": lambda p: loyalty.household_avg_spend(active_trips(p), q.months),
+        "household_retailer_avg_spend": lambda p: loyalty.household_retailer_avg_spend(active_trips(p), q.months),
+        "retailer_share": share,
+        "loyal_single": single,
+        "loyal_pair": pair,
+        "loyal_pair_ordered": lambda p: loyalty.loyal_pair(share(p), q.pair_threshold, both_orders=True),
+        "loyal_households": loyal,
+        "loyal_household_income": lambda p: loyalty.loyal_household_income(loyal(p), p.households),
+        "loyal_income_comparison": lambda p: loyalty.loyal_income_comparison(loyal(p), p.households, "pair"),
+        "top_retailer_by_spend": lambda p: loyalty.top_retailer_by_spend(p.trips),
+        "loyalists_by_retailer": lambda p: loyalty.loyalists_by_retailer(single(p)),
+        "loyal_household_state": lambda p: loyalty.loyal_household_state(loyal(p), p.households),
+        "loyal_state_distribution": lambda p: loyalty.loyal_state_distribution(
+            loyalty.loyal_household_state(loyal(p), p.households)
+        ),
+        # ---- monthly behaviour, price ----
+        "avg_items_by_month": items,
+        "avg_trips_by_month": trips_by_month,
+        "items_vs_trips_by_month": ivt,
+        "items_trips_corr": lambda p: monthly.items_trips_corr(ivt(p)),
+        "price_per_item": lambda p: monthly.price_per_item(p.purchases),
+        "price_quantity_corr": lambda p: monthly.price_quantity_corr(monthly.price_per_item(p.purchases)),
+        # ---- private label ----
+        "private_label_share_by_group": pl_group,
+        "spend_by_month": lambda p: private_label.spend_by_month(pl_monthly(p)),
+        "private_label_spend_by_month": lambda p: private_label.private_label_spend_by_month(pl_monthly(p)),
+        "private_label_expenditure_share": lambda p: private_label.private_label_expenditure_share(pl_monthly(p)),
+        "private_label_by_income": lambda p: private_label.private_label_by_income(band_months(p)),
+    }
+    for band in INCOME_BANDS:
+        out[f"private_label_by_income_{band[0]}"] = (
+            lambda p, b=band: private_label.private_label_by_income(band_months(p, (b,)))
+        )
+    out.update({
+        "private_label_share_by_income_month": band_months,
+        # ---- chart data ----
+        "bar_department_products": lambda p: chart.bar_frame(
+            profile.department_profile(p.products), "department", "products"
+        ),
+        "bar_department_modules": lambda p: chart.bar_frame(
+            profile.department_profile(p.products), "department", "module"
+        ),
+        "bar_group_proportion": lambda p: chart.bar_frame(pl_group(p), "group_at_prod_id", "proportion"),
+        "bar_month_share": lambda p: chart.bar_frame(
+            private_label.private_label_expenditure_share(pl_monthly(p)), "month", "share"
+        ),
+        "line_items_by_month": lambda p: chart.line_frame(items(p), "month", "num_items"),
+        "line_trips_by_month": lambda p: chart.line_frame(trips_by_month(p), "month", "num_trips"),
+        "gap_histogram": lambda p: chart.histogram(pairs(p), "time_window", q.gap_bins),
+        "income_share_histogram": lambda p: chart.histogram(band_months(p), "percentage", q.share_bins),
+        "scatter_items_trips": lambda p: chart.scatter_frame(ivt(p), "num_items", "num_trips"),
+        "scatter_price_quantity": lambda p: chart.scatter_frame(
+            monthly.price_per_item(p.purchases), "avg_price_paid_per_item", "quantity_at_tc_prod_id", q.scatter_bins
+        ),
+    })
+    return out
+
+
+def panel_queries(params: Params = P) -> dict[str, PanelQuery]:
+    return analyses(params)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(fn: Callable[[Panel], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The catalog with the driver-table parameters, each entry taking (spark, sf_dir)."""
+
+    def bind(fn: PanelQuery) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: fn(panel_from_tpch(spark, sf_dir))
 
-    return {name: bind(fn) for name, fn in _REGISTRY.items()}
+    return {name: bind(fn) for name, fn in analyses(P).items()}
