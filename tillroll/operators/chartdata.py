@@ -38,6 +38,19 @@ def _bin_index(value: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(hi == lo, F.lit(0).cast("long")).otherwise(F.least(raw, F.lit(bins - 1).cast("long")))
 
 
+def _with_range(data: DataFrame, cols: list[str]) -> DataFrame:
+    """Attach min and max of each column as constant columns ``<c>_lo`` / ``<c>_hi``.
+
+    The range is one aggregation over ``data``, planned as a single scalar subquery (its
+    one-row result is the only thing that passes the driver; no join). Each value is
+    referenced once and then carried as a column."""
+    stats = data.agg(F.struct(*[x for c in cols for x in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))]))
+    r = stats.scalar()
+    return data.withColumn("_range", r).select(
+        *data.columns, *[F.col(f"_range.{c}_{e}").alias(f"{c}_{e}") for c in cols for e in ("lo", "hi")]
+    )
+
+
 def histogram(
     df: DataFrame,
     column: str | Column,
@@ -46,24 +59,22 @@ def histogram(
 ) -> DataFrame:
     """Equal-width histogram of a numeric column: (bin, lo, hi, n) for non-empty bins.
 
-    The range is the column's min..max (one extra aggregation pass, planned as a scalar
-    subquery, so no row of data goes to the driver) unless ``value_range`` is given, in
-    which case values outside it are not counted."""
+    The range is the column's min..max (one extra aggregation pass) unless
+    ``value_range`` is given, in which case values outside it are not counted. Counting
+    is one aggregation on the bin index, combined map-side."""
     x = _col(column).cast("double")
     data = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
     if value_range is None:
-        stats = data.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-        lo = stats.select("lo").scalar()
-        hi = stats.select("hi").scalar()
+        data = _with_range(data, ["_x"])
     else:
-        lo, hi = F.lit(float(value_range[0])), F.lit(float(value_range[1]))
-        data = data.filter((F.col("_x") >= lo) & (F.col("_x") <= hi))
+        data = data.select(
+            "_x", F.lit(float(value_range[0])).alias("_x_lo"), F.lit(float(value_range[1])).alias("_x_hi")
+        ).filter((F.col("_x") >= F.col("_x_lo")) & (F.col("_x") <= F.col("_x_hi")))
+    lo, hi = F.col("_x_lo"), F.col("_x_hi")
     width = (hi - lo) / bins
-    # bin in a projection first: the range may come from a subquery over a
-    # non-deterministic plan, which a grouping expression may not contain
     counted = (
-        data.select(_bin_index(F.col("_x"), lo, hi, bins).alias("bin"))
-        .groupBy("bin")
+        data.select(_bin_index(F.col("_x"), lo, hi, bins).alias("bin"), "_x_lo", "_x_hi")
+        .groupBy("bin", "_x_lo", "_x_hi")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return counted.select(
@@ -87,20 +98,18 @@ def scatter_frame(
     pts = df.select(xc.alias("_x"), yc.alias("_y"))
     if bins is None:
         return pts.select(F.col("_x").alias("x"), F.col("_y").alias("y"))
-    pts = pts.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    pts = _with_range(pts.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull()), ["_x", "_y"])
     bx, by = bins
-    stats = pts.agg(
-        F.min("_x").alias("x_lo"), F.max("_x").alias("x_hi"), F.min("_y").alias("y_lo"), F.max("_y").alias("y_hi")
-    )
-    x_lo, x_hi = stats.select("x_lo").scalar(), stats.select("x_hi").scalar()
-    y_lo, y_hi = stats.select("y_lo").scalar(), stats.select("y_hi").scalar()
+    x_lo, x_hi, y_lo, y_hi = (F.col(c) for c in ("_x_lo", "_x_hi", "_y_lo", "_y_hi"))
     wx, wy = (x_hi - x_lo) / bx, (y_hi - y_lo) / by
+    ranges = ["_x_lo", "_x_hi", "_y_lo", "_y_hi"]
     counted = (
         pts.select(
             _bin_index(F.col("_x"), x_lo, x_hi, bx).alias("bin_x"),
             _bin_index(F.col("_y"), y_lo, y_hi, by).alias("bin_y"),
+            *ranges,
         )
-        .groupBy("bin_x", "bin_y")
+        .groupBy("bin_x", "bin_y", *ranges)
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return counted.select(

@@ -101,15 +101,19 @@ def loyal_pair(share: DataFrame, threshold: float = PAIR_LOYAL_SHARE, both_order
     ranked = s.withColumn("_rank", F.row_number().over(by_share))
 
     margin = 1e-9 * (1 + F.abs(F.col("_p")) + abs(threshold))
-    none = {c: F.lit(None).cast(t) for c, t in (("_r", "string"), ("_a", "double"), ("_total", "double"))}
-    points = ranked.select(
-        "hh_id", F.col("_p").alias("_v"), F.lit(1).alias("_kind"), "_rank",
-        *[v.alias(c) for c, v in none.items()],
+    # one pass over the ranking emits, per retailer, its share (kind 1) and its threshold
+    # (kind 0); threshold rows carry retailer i's attributes, so no join back for i
+    point = F.struct(
+        F.col("_p").alias("_v"), F.lit(1).alias("_kind"),
+        F.lit(None).cast("string").alias("_r"), F.lit(None).cast("double").alias("_a"),
+        F.lit(None).cast("double").alias("_total"),
     )
-    # threshold rows carry retailer i's attributes, so no join back for i is needed
-    queries = ranked.select(
-        "hh_id", (F.lit(threshold) - F.col("_p") - margin).alias("_v"), F.lit(0).alias("_kind"), "_rank",
-        "_r", "_a", "_total",
+    query = F.struct(
+        (F.lit(threshold) - F.col("_p") - margin).alias("_v"), F.lit(0).alias("_kind"),
+        F.col("_r").alias("_r"), F.col("_a").alias("_a"), F.col("_total").alias("_total"),
+    )
+    rows = ranked.select("hh_id", "_rank", F.explode(F.array(point, query)).alias("_e")).select(
+        "hh_id", "_rank", "_e.*"
     )
     # Sorted by value descending; at equal values a threshold sorts before the shares
     # (the test is strict), so the running count of shares is the prefix length k_i.
@@ -119,8 +123,7 @@ def loyal_pair(share: DataFrame, threshold: float = PAIR_LOYAL_SHARE, both_order
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     prefix = (
-        points.unionByName(queries)
-        .withColumn("_k", F.sum("_kind").over(running))
+        rows.withColumn("_k", F.sum("_kind").over(running))
         .filter(F.col("_kind") == 0)
         .withColumn("_m", F.least(F.col("_k"), F.col("_rank") - 1))
         .filter(F.col("_m") >= 1)
@@ -151,16 +154,12 @@ def loyal_pair(share: DataFrame, threshold: float = PAIR_LOYAL_SHARE, both_order
     ).filter(F.col("percentage_of_spent") > threshold)
     if not both_orders:
         return out
-    swapped = out.select(
-        "hh_id",
-        F.col("retailer_2").alias("retailer_1"),
-        F.col("retailer_1").alias("retailer_2"),
-        F.col("avg_spent_2").alias("avg_spent_1"),
-        F.col("avg_spent_1").alias("avg_spent_2"),
-        "avg_spent_both",
-        "percentage_of_spent",
-    )
-    return out.unionByName(swapped)
+    cols = ["retailer_1", "retailer_2", "avg_spent_1", "avg_spent_2"]
+    as_is = F.struct(*[F.col(c).alias(c) for c in cols])
+    swapped = F.struct(*[F.col(c).alias(t) for c, t in zip(["retailer_2", "retailer_1", "avg_spent_2", "avg_spent_1"], cols)])
+    return out.select(
+        "hh_id", F.explode(F.array(as_is, swapped)).alias("_o"), "avg_spent_both", "percentage_of_spent"
+    ).select("hh_id", *[f"_o.{c}" for c in cols], "avg_spent_both", "percentage_of_spent")
 
 
 def loyal_households(single: DataFrame, pair: DataFrame) -> DataFrame:
