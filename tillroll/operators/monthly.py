@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.dates import month_of
 from tillroll.functions.stats import corr_matrix, exact_avg, ratio
 from tillroll.operators.profile import trips_in_year
+from tillroll.sources.layout import in_trip_year
 
 QTY = "quantity_at_tc_prod_id"
 PAID = "total_price_paid_at_tc_prod_id"
@@ -26,7 +27,11 @@ def avg_items_by_month(
     Purchases are reduced to (quantity sum, line count) per trip before the join with the
     year's trips, and trips to one row per household-month before the household filter, so
     each shuffle carries pre-aggregated rows."""
-    per_trip = purchases.groupBy("tc_id").agg(F.sum(QTY).alias("_q"), F.count(QTY).alias("_lines"))
+    per_trip = (
+        in_trip_year(purchases, year)
+        .groupBy("tc_id")
+        .agg(F.sum(QTY).alias("_q"), F.count(QTY).alias("_lines"))
+    )
     t = trips_in_year(trips, year).select("tc_id", "hh_id", month_of("tc_date").alias("month"))
     per_hm = (
         t.join(per_trip, "tc_id")

@@ -10,6 +10,7 @@ from tillroll.functions.dates import month_of, year_month
 from tillroll.functions.labels import income_band, is_private_label
 from tillroll.functions.stats import exact_avg, money_sum, ratio
 from tillroll.operators.profile import trips_in_year
+from tillroll.sources.layout import in_trip_year
 from tillroll.sources.schema import INCOME_BANDS, PRIVATE_LABEL_BRAND
 
 BRAND = "brand_at_prod_id"
@@ -59,7 +60,8 @@ def monthly_private_label_spend(
     line count, in one pass. Lines are reduced per trip before meeting the trips, and the
     monthly sums are combined map-side. Output (month, all_prods, pl_prods, pl_lines)."""
     per_trip = (
-        purchases.select("tc_id", "prod_id", PAID)
+        in_trip_year(purchases, year)
+        .select("tc_id", "prod_id", PAID)
         .join(product_flags(products, brand, match, case_insensitive), "prod_id")
         .groupBy("tc_id")
         .agg(

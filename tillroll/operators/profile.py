@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.dates import in_year
+from tillroll.sources.layout import in_trip_year
 
 
 def trips_in_year(trips: DataFrame, year: int | None) -> DataFrame:
-    """Trips dated in ``year`` (all trips when ``year`` is None). The range predicate
-    reaches the Parquet scan as pushed filters."""
-    return trips if year is None else trips.filter(in_year("tc_date", year))
+    """Trips dated in ``year`` (all trips when ``year`` is None). The date range reaches
+    the Parquet scan as pushed filters; on the year-partitioned layout the partition
+    column also prunes whole folders."""
+    if year is None:
+        return trips
+    return in_trip_year(trips, year).filter(in_year("tc_date", year))
 
 
 def trip_count(trips: DataFrame, year: int | None = None) -> DataFrame:

@@ -70,7 +70,10 @@ def read_panel(spark: SparkSession, paths: dict[str, str], fmt: str = "csv") ->
             frames[name] = read_csv_table(spark, paths[name], name)
             continue
         df = spark.table(paths[name]) if fmt == "table" else spark.read.format(fmt).load(paths[name])
-        frames[name] = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        cols = [F.col(f.name).cast(f.dataType) for f in schema.fields]
+        if "tc_year" in df.columns:  # partition column of the year layout (sources.layout)
+            cols.append(F.col("tc_year"))
+        frames[name] = df.select(*cols)
     return Panel(**frames)
 
 
