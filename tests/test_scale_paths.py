@@ -76,3 +76,15 @@ def test_hot_key_slices_stay_balanced(spark):
     sizes = [r["n"] for r in numbered.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     # one household holds a third of the rows, yet no slice is far above the mean
     assert max(sizes) <= 2 * (len(rows) / 12), sizes
+
+
+def test_cluster_profile_settings_apply(spark, duck):
+    from tillroll.session import cluster_conf
+
+    settings = cluster_conf(shuffle_bytes=4 * 256 * 1024 * 1024, executors_cores=8)
+    assert settings["spark.sql.shuffle.partitions"] == "16"
+    with conf(spark, settings):
+        for name in ("next_trip_pairs", "private_label_by_income"):
+            df = entry.queries()[name](spark, SF_SMALL)
+            res = compare(spark_result(df), duck_result(duck, entry.oracle_sql()[name]))
+            assert res["ok"], (name, res)

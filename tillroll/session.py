@@ -21,6 +21,30 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(shuffle_bytes: float = 20e12, executors_cores: int = 8000) -> dict[str, str]:
+    """Settings for a large cluster, sized from the expected shuffle volume of the
+    biggest stage (default 20 TB: purchase lines projected to a few columns).
+
+    - shuffle partitions start at ~256 MiB each (AQE merges small ones, splits skewed
+      ones), and never below two waves of the cluster's cores; the sequence operators use
+      the same number of range slices;
+    - scans split at 512 MiB (Parquet row groups permitting);
+    - joins broadcast only what AQE measures under 64 MiB, everything else sort-merges.
+    """
+    target = 256 * 1024 * 1024
+    partitions = max(2 * executors_cores, int(shuffle_bytes // target))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
+
+
 def build_session(
     master: str = "local[*]",
     shuffle_partitions: int = 8,
