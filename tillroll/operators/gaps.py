@@ -39,8 +39,10 @@ def inactive_gap_count(
     """Gaps longer than ``months`` months of ``days_per_month`` days (gap/30 > 3, i.e.
     more than 90 days), and the number of households with such a gap."""
     long_gaps = pairs.filter(F.col("time_window") > months * days_per_month)
-    return long_gaps.agg(
-        F.count(F.lit(1)).alias("gaps"), F.countDistinct("hh_id_0").alias("households")
+    # per household first (combined map-side), then one row: no distinct-aggregate Expand
+    per_household = long_gaps.groupBy("hh_id_0").agg(F.count(F.lit(1)).alias("_n"))
+    return per_household.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("gaps"), F.count(F.lit(1)).alias("households")
     )
 
 
