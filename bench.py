@@ -1,7 +1,7 @@
 """Benchmark the headline analyses.
 
 Runs each query of ``HEADLINE`` on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
-``local[$BENCH_CPUS]``: one warm-up, then the median of ``$BENCH_REPEATS`` (default 3)
+``local[$BENCH_CPUS]``: one warm-up, then the median of ``$BENCH_REPEATS`` (default 5)
 timed runs. Each run executes the whole plan into Spark's no-op sink (nothing is
 collected). Prints one JSON line:
 {"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}
@@ -48,7 +48,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="tillroll-bench",
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     catalog = queries()
