@@ -324,3 +324,11 @@ def test_empty_panel_everywhere(spark):
             assert len(out) == 1 and all(v == 0 for v in out[0]), name
         elif name not in ("items_trips_corr", "price_quantity_corr"):
             assert out == [], name
+
+
+def test_scatter_sample_is_seeded(spark):
+    df = spark.range(20000).select(F.col("id").alias("x"), (F.col("id") % 7).alias("y")).repartition(4)
+    a = chartdata.scatter_frame(df, "x", "y", fraction=0.05, seed=7)
+    b = chartdata.scatter_frame(df, "x", "y", fraction=0.05, seed=7)
+    n = a.count()
+    assert 600 < n < 1400 and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

@@ -90,13 +90,19 @@ def scatter_frame(
     x: str | Column,
     y: str | Column,
     bins: tuple[int, int] | None = None,
+    fraction: float | None = None,
+    seed: int = 42,
 ) -> DataFrame:
-    """Scatter data. Without ``bins``: the (x, y) points, for inputs known to be small.
-    With ``bins=(bx, by)``: a 2-D equal-width binned count (bin_x, bin_y, x, y, n), where
-    x, y are bin centres; the output is bounded by bx * by whatever the input size."""
+    """Scatter data. Without ``bins``: the (x, y) points, for inputs known to be small,
+    or a seeded Bernoulli sample of them with ``fraction`` (reproducible for a given input
+    partitioning). With ``bins=(bx, by)``: a 2-D equal-width binned count
+    (bin_x, bin_y, x, y, n), where x, y are bin centres; the output is bounded by
+    bx * by whatever the input size."""
     xc, yc = _col(x).cast("double"), _col(y).cast("double")
     pts = df.select(xc.alias("_x"), yc.alias("_y"))
     if bins is None:
+        if fraction is not None:
+            pts = pts.sample(withReplacement=False, fraction=fraction, seed=seed)
         return pts.select(F.col("_x").alias("x"), F.col("_y").alias("y"))
     pts = _with_range(pts.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull()), ["_x", "_y"])
     bx, by = bins
