@@ -123,3 +123,13 @@ def test_cli_runs_an_analysis_on_panel_csvs(spark, capsys):
     back = spark.read.option("header", True).csv(out).collect()
     assert [int(r["n_trips"]) for r in back] == [2]  # the malformed date is not in 2004
     assert main(["no_such_analysis", "--panel", root]) == 2
+
+
+def test_write_table_passes_options(spark):
+    root = _scratch()
+    panel = read_panel(spark, _panel_csvs(root))
+    target = os.path.join(root, "trips_zstd")
+    write_table(panel.trips, target, "overwrite", options={"compression": "zstd"})
+    files = [f for f in os.listdir(target) if f.endswith(".parquet")]
+    assert files and all(".zstd." in f for f in files)
+    assert spark.read.parquet(target).count() == 3

@@ -15,19 +15,25 @@ def write_table(
     fmt: str = "parquet",
     partition_by: list[str] | None = None,
     as_table: bool = False,
+    options: dict[str, str] | None = None,
 ) -> None:
-    """Write ``df`` to a path (default) or a catalog table (``as_table=True``).
+    """Write ``df`` to a path (default), a catalog table (``as_table=True``) or, with
+    ``fmt="jdbc"``, a database table named ``target`` (connection settings such as
+    ``url``, ``user``, ``password`` go in ``options``; nothing is hard-coded).
 
-    ``mode`` is append / overwrite (``replace`` is an alias). A JDBC target is the same
-    writer with ``fmt="jdbc"`` and connection options set by the caller on ``df.write``.
-    Reloads should use ``overwrite``: repeated appends duplicate rows.
+    ``mode`` is append / overwrite (``replace`` is an alias). Reloads should use
+    ``overwrite``: repeated appends duplicate rows.
     """
     if mode not in _MODES:
         raise ValueError(f"mode must be one of {sorted(_MODES)}")
     writer = df.write.mode("overwrite" if mode == "replace" else mode).format(fmt)
+    for key, value in (options or {}).items():
+        writer = writer.option(key, value)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    if as_table:
+    if fmt == "jdbc":
+        writer.option("dbtable", target).save()
+    elif as_table:
         writer.saveAsTable(target)
     else:
         writer.save(target)
