@@ -178,3 +178,21 @@ def test_ordered_pairs_are_twice_the_unordered(spark):
     n = unordered.count()
     assert n > 0 and ordered.count() == 2 * n
     assert ordered.filter(F.col("retailer_1") > F.col("retailer_2")).count() == n
+
+
+def test_one_pass_share_equals_step_by_step(spark):
+    extra = [
+        (900, 7, None, "R1", m(5)),  # undated trip of an active household: spend counts
+        (901, None, d("2004-05-01"), "R1", m(5)),  # no household
+        (902, 8, None, "R2", m(5)),  # household with undated trips only: never active
+    ]
+    trips = [(i, 7, d(f"2004-{mm:02d}-03"), "R1" if mm % 2 else "R2", m(10 + mm)) for i, mm in enumerate(range(1, 13))]
+    for panel in (make_panel(spark, trips=trips + extra), panel_from_tpch(spark, SF_SMALL)):
+        for min_months in (1, 8, 12):
+            active = loyalty.monthly_active_households(panel.trips, min_months)
+            want = loyalty.retailer_share(loyalty.monthly_active_trips(panel.trips, active), 12)
+            got = loyalty.active_retailer_share(panel.trips, min_months, 12)
+            cols = want.columns
+            assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(
+                map(tuple, want.select(*cols).collect()), key=str
+            )

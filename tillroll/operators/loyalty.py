@@ -15,6 +15,11 @@ SPENT = "tc_total_spent"
 RETAILER = "tc_retailer_code"
 
 
+def _month_bit(date_col: str = "tc_date"):
+    """Bit month-1 set for a dated trip (NULL for an undated one)."""
+    return F.when(F.col(date_col).isNotNull(), F.call_function("shiftleft", F.lit(1), month_of(date_col) - 1))
+
+
 def monthly_active_households(trips: DataFrame, min_months: int = ACTIVE_MONTHS) -> DataFrame:
     """Households seen in at least ``min_months`` distinct calendar months (months of
     different years collapse). Output (hh_id, months).
@@ -22,11 +27,10 @@ def monthly_active_households(trips: DataFrame, min_months: int = ACTIVE_MONTHS)
     One aggregation: each trip sets bit month-1 of a 12-bit mask, masks are OR-ed per
     household (combined map-side, so a household with very many trips costs one small row
     per task) and the set bits are counted."""
-    mask = F.call_function("shiftleft", F.lit(1), month_of("tc_date") - 1)
     return (
         trips.filter(F.col("hh_id").isNotNull() & F.col("tc_date").isNotNull())
         .groupBy("hh_id")
-        .agg(F.bit_count(F.bit_or(mask)).cast("long").alias("months"))
+        .agg(F.bit_count(F.bit_or(_month_bit())).cast("long").alias("months"))
         .filter(F.col("months") >= min_months)
     )
 
@@ -47,6 +51,21 @@ def household_retailer_avg_spend(active_trips: DataFrame, months: int = SPEND_MO
     )
 
 
+def _shares(per: DataFrame, months: int) -> DataFrame:
+    """(hh_id, retailer, _spent[, _hh_spent]) -> the share columns."""
+    household = Window.partitionBy("hh_id")
+    hh_spent = F.col("_hh_spent") if "_hh_spent" in per.columns else F.sum("_spent").over(household)
+    return per.select(
+        "hh_id",
+        RETAILER,
+        ratio(F.col("_spent"), F.lit(months)).alias("avg_spent_per_retailer"),
+        ratio(hh_spent, F.lit(months)).alias("avg_spent"),
+    ).withColumn(
+        "percentage_of_spent",
+        F.try_divide(F.col("avg_spent_per_retailer"), F.col("avg_spent")) * 100,
+    )
+
+
 def retailer_share(active_trips: DataFrame, months: int = SPEND_MONTHS) -> DataFrame:
     """Share of each retailer in a household's spend, in percent.
 
@@ -55,19 +74,37 @@ def retailer_share(active_trips: DataFrame, months: int = SPEND_MONTHS) -> DataF
     household total is a window sum over those few rows (one per retailer used), which
     equals the household's exact total."""
     per = active_trips.groupBy("hh_id", RETAILER).agg(F.sum(SPENT).alias("_spent"))
+    return _shares(per, months)
+
+
+def active_retailer_share(
+    trips: DataFrame, min_months: int = ACTIVE_MONTHS, months: int = SPEND_MONTHS
+) -> DataFrame:
+    """``retailer_share`` of the households active in at least ``min_months`` calendar
+    months, straight from all trips: equal to
+    ``retailer_share(monthly_active_trips(trips, monthly_active_households(trips)))``.
+
+    One scan and one aggregation per household and retailer (spend sum and an OR of
+    month bits, combined map-side), then one window per household over those few rows
+    gives both the household's active months and its total: no second scan of the trips
+    and no semi-join of the trips against the active households."""
+    per = (
+        trips.filter(F.col("hh_id").isNotNull())
+        .groupBy("hh_id", RETAILER)
+        .agg(F.sum(SPENT).alias("_spent"), F.bit_or(_month_bit()).alias("_mask"))
+    )
     household = Window.partitionBy("hh_id")
-    return (
+    active = (
         per.select(
             "hh_id",
             RETAILER,
-            ratio(F.col("_spent"), F.lit(months)).alias("avg_spent_per_retailer"),
-            ratio(F.sum("_spent").over(household), F.lit(months)).alias("avg_spent"),
-        )
-        .withColumn(
-            "percentage_of_spent",
-            F.try_divide(F.col("avg_spent_per_retailer"), F.col("avg_spent")) * 100,
+            "_spent",
+            F.sum("_spent").over(household).alias("_hh_spent"),
+            F.bit_count(F.bit_or("_mask").over(household)).alias("_months"),
         )
+        .filter(F.col("_months") >= min_months)
     )
+    return _shares(active, months)
 
 
 def loyal_single(share: DataFrame, threshold: float = SINGLE_LOYAL_SHARE) -> DataFrame:

@@ -64,7 +64,7 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
         return loyalty.monthly_active_trips(p.trips, active(p))
 
     def share(p: Panel) -> DataFrame:
-        return loyalty.retailer_share(active_trips(p), q.months)
+        return loyalty.active_retailer_share(p.trips, q.min_months, q.months)
 
     def single(p: Panel) -> DataFrame:
         return loyalty.loyal_single(share(p), q.single_threshold)
