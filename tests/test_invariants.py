@@ -192,7 +192,16 @@ def test_one_pass_share_equals_step_by_step(spark):
             active = loyalty.monthly_active_households(panel.trips, min_months)
             want = loyalty.retailer_share(loyalty.monthly_active_trips(panel.trips, active), 12)
             got = loyalty.active_retailer_share(panel.trips, min_months, 12)
-            cols = want.columns
-            assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(
-                map(tuple, want.select(*cols).collect()), key=str
-            )
+            at = loyalty.monthly_active_trips(panel.trips, active)
+            for g, w in (
+                (got, want),
+                (loyalty.active_household_avg_spend(panel.trips, min_months, 12), loyalty.household_avg_spend(at, 12)),
+                (
+                    loyalty.active_household_retailer_avg_spend(panel.trips, min_months, 12),
+                    loyalty.household_retailer_avg_spend(at, 12),
+                ),
+            ):
+                cols = w.columns
+                assert sorted(map(tuple, g.select(*cols).collect()), key=str) == sorted(
+                    map(tuple, w.select(*cols).collect()), key=str
+                )

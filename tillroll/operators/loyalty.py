@@ -107,6 +107,28 @@ def active_retailer_share(
     return _shares(active, months)
 
 
+def active_household_avg_spend(
+    trips: DataFrame, min_months: int = ACTIVE_MONTHS, months: int = SPEND_MONTHS
+) -> DataFrame:
+    """``household_avg_spend`` of the active households, in one aggregation per household
+    (spend sum and month bits together)."""
+    per = (
+        trips.filter(F.col("hh_id").isNotNull())
+        .groupBy("hh_id")
+        .agg(F.sum(SPENT).alias("_spent"), F.bit_count(F.bit_or(_month_bit())).alias("_months"))
+    )
+    return per.filter(F.col("_months") >= min_months).select(
+        "hh_id", ratio(F.col("_spent"), F.lit(months)).alias("avg_spent")
+    )
+
+
+def active_household_retailer_avg_spend(
+    trips: DataFrame, min_months: int = ACTIVE_MONTHS, months: int = SPEND_MONTHS
+) -> DataFrame:
+    """``household_retailer_avg_spend`` of the active households (see ``active_retailer_share``)."""
+    return active_retailer_share(trips, min_months, months).select("hh_id", RETAILER, "avg_spent_per_retailer")
+
+
 def loyal_single(share: DataFrame, threshold: float = SINGLE_LOYAL_SHARE) -> DataFrame:
     """Household-retailer rows with a share of at least ``threshold`` percent."""
     return share.filter(F.col("percentage_of_spent") >= threshold)

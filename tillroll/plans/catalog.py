@@ -125,8 +125,10 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
         # ---- loyalty ----
         "monthly_active_households": active,
         "monthly_active_trips": active_trips,
-        "household_avg_spend": lambda p: loyalty.household_avg_spend(active_trips(p), q.months),
-        "household_retailer_avg_spend": lambda p: loyalty.household_retailer_avg_spend(active_trips(p), q.months),
+        "household_avg_spend": lambda p: loyalty.active_household_avg_spend(p.trips, q.min_months, q.months),
+        "household_retailer_avg_spend": lambda p: loyalty.active_household_retailer_avg_spend(
+            p.trips, q.min_months, q.months
+        ),
         "retailer_share": share,
         "loyal_single": single,
         "loyal_pair": pair,
