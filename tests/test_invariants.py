@@ -205,3 +205,26 @@ def test_one_pass_share_equals_step_by_step(spark):
                 assert sorted(map(tuple, g.select(*cols).collect()), key=str) == sorted(
                     map(tuple, w.select(*cols).collect()), key=str
                 )
+
+
+def test_one_pass_items_and_trips_equals_join(spark):
+    from tillroll.operators import monthly
+
+    households = [(1, 5, "CA"), (2, 5, "NY")]
+    trips = [
+        (1, 1, d("2004-01-03"), "R", m(1)), (2, 1, d("2004-01-20"), "R", m(1)),  # trip 2: no purchases
+        (3, 2, d("2004-02-05"), "R", m(1)),  # February: trips but no purchases at all
+        (4, 3, d("2004-01-05"), "R", m(1)), (5, 1, d("2004-03-01"), "R", m(1)),
+    ]
+    purchases = [(1, 1, 2, m(1), 0), (1, 2, 5, m(1), 0), (4, 1, 9, m(1), 0), (5, 1, None, m(1), 0)]
+    for panel, year in ((make_panel(spark, households, [], trips, purchases), 2004),
+                        (panel_from_tpch(spark, SF_SMALL), P.year)):
+        want = monthly.items_vs_trips_by_month(
+            monthly.avg_items_by_month(panel.trips, panel.households, panel.purchases, year),
+            monthly.avg_trips_by_month(panel.trips, panel.households, year),
+        )
+        got = monthly.monthly_items_and_trips(panel.trips, panel.households, panel.purchases, year)
+        cols = ["month", "num_items", "num_trips"]
+        assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(
+            map(tuple, want.select(*cols).collect()), key=str
+        )

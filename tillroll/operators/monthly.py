@@ -63,6 +63,44 @@ def items_vs_trips_by_month(items: DataFrame, trips_by_month: DataFrame) -> Data
     return trips_by_month.join(F.broadcast(items), "month").select("month", "num_items", "num_trips")
 
 
+def monthly_items_and_trips(
+    trips: DataFrame, households: DataFrame, purchases: DataFrame, year: int | None, digits: int = 6
+) -> DataFrame:
+    """``items_vs_trips_by_month`` in one pass: (month, num_items, num_trips).
+
+    The year's trips are left-joined to per-trip purchase aggregates, and one aggregation
+    per household-month carries both the trip count (every trip) and the line statistics
+    (trips with purchases only), so neither pipeline runs twice. A month appears when it
+    has both averages, as in the join of the two separate results."""
+    per_trip = (
+        in_trip_year(purchases, year)
+        .groupBy("tc_id")
+        .agg(F.sum(QTY).alias("_q"), F.count(QTY).alias("_lines"), F.count(F.lit(1)).alias("_rows"))
+    )
+    t = trips_in_year(trips, year).select("tc_id", "hh_id", month_of("tc_date").alias("month"))
+    per_hm = (
+        t.join(per_trip, "tc_id", "left")
+        .groupBy("hh_id", "month")
+        .agg(
+            F.count("tc_id").alias("_trips"),
+            ratio(F.sum("_q"), F.sum("_lines")).alias("_items"),
+            F.sum("_rows").alias("_purchased"),
+        )
+    )
+    items = F.when(F.col("_purchased") > 0, F.col("_items"))
+    return (
+        _known_households(per_hm, households)
+        .groupBy("month")
+        .agg(
+            F.round(exact_avg(items), digits).alias("num_items"),
+            exact_avg("_trips").alias("num_trips"),
+            F.count(F.when(F.col("_purchased") > 0, F.lit(1))).alias("_n_purchased"),
+        )
+        .filter(F.col("_n_purchased") > 0)
+        .select("month", "num_items", "num_trips")
+    )
+
+
 def items_trips_corr(items_vs_trips: DataFrame) -> DataFrame:
     """Correlation matrix of month, num_items and num_trips: (var_x, var_y, corr)."""
     return corr_matrix(items_vs_trips, ["month", "num_items", "num_trips"])

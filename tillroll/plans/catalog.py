@@ -85,7 +85,7 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
         return monthly.avg_trips_by_month(p.trips, p.households, q.year)
 
     def ivt(p: Panel) -> DataFrame:
-        return monthly.items_vs_trips_by_month(items(p), trips_by_month(p))
+        return monthly.monthly_items_and_trips(p.trips, p.households, p.purchases, q.year)
 
     def pl_monthly(p: Panel) -> DataFrame:
         return private_label.monthly_private_label_spend(p.trips, p.purchases, p.products, q.year, q.brand, "equals")
