@@ -133,3 +133,17 @@ def test_write_table_passes_options(spark):
     files = [f for f in os.listdir(target) if f.endswith(".parquet")]
     assert files and all(".zstd." in f for f in files)
     assert spark.read.parquet(target).count() == 3
+
+
+def test_cli_writes_and_reads_the_year_layout(spark):
+    from tillroll.__main__ import main
+
+    root = _scratch()
+    _panel_csvs(root)
+    stored = os.path.join(root, "stored")
+    assert main(["--panel", root, "--write-layout", stored]) == 0
+    folders = sorted(f for f in os.listdir(os.path.join(stored, "trips")) if f.startswith("tc_year="))
+    assert folders == ["tc_year=2004", "tc_year=__HIVE_DEFAULT_PARTITION__"]  # the undated trip has no year
+    out = os.path.join(root, "count")
+    assert main(["trip_count", "--panel", stored, "--format", "parquet", "--year", "2004", "--out", out]) == 0
+    assert [int(r["n_trips"]) for r in spark.read.option("header", True).csv(out).collect()] == [2]

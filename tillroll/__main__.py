@@ -3,6 +3,10 @@
     python -m tillroll <analysis> --panel DIR [--format csv|parquet|table]
                        [--out PATH] [--out-format csv|parquet] [--year 2004 ...]
     python -m tillroll --list
+    python -m tillroll --panel DIR [--format csv] --write-layout OUT
+
+``--write-layout OUT`` stores the panel as Parquet with trips and purchases partitioned
+by trip year (read it back with ``--panel OUT --format parquet``).
 
 ``--panel DIR`` holds households, products, trips and purchases (``<name>.csv`` files or
 folders, or ``<name>`` Parquet folders); with ``--format table`` the names are catalog
@@ -20,6 +24,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from tillroll.plans.catalog import STUDY, analyses
+from tillroll.sources.layout import write_panel
 from tillroll.sources.panel import read_panel
 from tillroll.sources.sinks import export_csv, write_table
 
@@ -44,11 +49,18 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--format", default="csv", choices=["csv", "parquet", "orc", "table"])
     ap.add_argument("--out")
     ap.add_argument("--out-format", default="csv", choices=["csv", "parquet"])
+    ap.add_argument("--write-layout", metavar="OUT", help="store the panel in the year-partitioned layout")
     for field in dataclasses.fields(STUDY):
         if field.type in ("int", "float", "str", int, float, str):
             ap.add_argument(f"--{field.name.replace('_', '-')}", type=type(getattr(STUDY, field.name)))
     args = ap.parse_args(argv)
 
+    if args.write_layout:
+        spark = SparkSession.builder.appName("tillroll-layout").getOrCreate()
+        panel = read_panel(spark, _panel_paths(args.panel, args.format), args.format)
+        for name, path in write_panel(panel, args.write_layout).items():
+            print(f"{name}\t{path}")
+        return 0
     if args.list or not args.analysis:
         print("\n".join(sorted(analyses(STUDY))))
         return 0
