@@ -147,3 +147,15 @@ def test_cli_writes_and_reads_the_year_layout(spark):
     out = os.path.join(root, "count")
     assert main(["trip_count", "--panel", stored, "--format", "parquet", "--year", "2004", "--out", out]) == 0
     assert [int(r["n_trips"]) for r in spark.read.option("header", True).csv(out).collect()] == [2]
+
+
+def test_cli_runs_sql_over_views(spark):
+    from tillroll.__main__ import main
+
+    root = _scratch()
+    _panel_csvs(root)
+    out = os.path.join(root, "sql_out")
+    sql = "SELECT tc_retailer_code, count(*) AS n FROM trips WHERE year(tc_date) = 2004 GROUP BY tc_retailer_code"
+    assert main(["--panel", root, "--sql", sql, "--out", out]) == 0
+    got = sorted((r["tc_retailer_code"], int(r["n"])) for r in spark.read.option("header", True).csv(out).collect())
+    assert got == [("R1", 1), ("R2", 1)]

@@ -4,6 +4,7 @@
                        [--out PATH] [--out-format csv|parquet] [--year 2004 ...]
     python -m tillroll --list
     python -m tillroll --panel DIR [--format csv] --write-layout OUT
+    python -m tillroll --panel DIR --sql "SELECT ... FROM trips / loyal_pair / ..."
 
 ``--write-layout OUT`` stores the panel as Parquet with trips and purchases partitioned
 by trip year (read it back with ``--panel OUT --format parquet``).
@@ -23,7 +24,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from tillroll.plans.catalog import STUDY, analyses
+from tillroll.plans.catalog import STUDY, analyses, register_views
 from tillroll.sources.layout import write_panel
 from tillroll.sources.panel import read_panel
 from tillroll.sources.sinks import export_csv, write_table
@@ -50,20 +51,12 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--out")
     ap.add_argument("--out-format", default="csv", choices=["csv", "parquet"])
     ap.add_argument("--write-layout", metavar="OUT", help="store the panel in the year-partitioned layout")
+    ap.add_argument("--sql", help="run a Spark SQL statement over the panel tables and analysis views")
     for field in dataclasses.fields(STUDY):
         if field.type in ("int", "float", "str", int, float, str):
             ap.add_argument(f"--{field.name.replace('_', '-')}", type=type(getattr(STUDY, field.name)))
     args = ap.parse_args(argv)
 
-    if args.write_layout:
-        spark = SparkSession.builder.appName("tillroll-layout").getOrCreate()
-        panel = read_panel(spark, _panel_paths(args.panel, args.format), args.format)
-        for name, path in write_panel(panel, args.write_layout).items():
-            print(f"{name}\t{path}")
-        return 0
-    if args.list or not args.analysis:
-        print("\n".join(sorted(analyses(STUDY))))
-        return 0
     overrides = {
         f.name: getattr(args, f.name)
         for f in dataclasses.fields(STUDY)
@@ -71,13 +64,24 @@ def main(argv: list[str] | None = None) -> int:
     }
     params = dataclasses.replace(STUDY, **overrides)
     queries = analyses(params)
-    if args.analysis not in queries:
+    if args.write_layout is None and args.sql is None and (args.list or not args.analysis):
+        print("\n".join(sorted(queries)))
+        return 0
+    if args.analysis and args.analysis not in queries:
         print(f"unknown analysis {args.analysis!r}; see --list", file=sys.stderr)
         return 2
 
-    spark = SparkSession.builder.appName(f"tillroll-{args.analysis}").getOrCreate()
+    spark = SparkSession.builder.appName("tillroll").getOrCreate()
     panel = read_panel(spark, _panel_paths(args.panel, args.format), args.format)
-    result = queries[args.analysis](panel)
+    if args.write_layout:
+        for name, path in write_panel(panel, args.write_layout).items():
+            print(f"{name}\t{path}")
+        return 0
+    if args.sql:
+        register_views(panel, params)
+        result = spark.sql(args.sql)
+    else:
+        result = queries[args.analysis](panel)
     if args.out is None:
         result.show(50, truncate=False)
     elif args.out_format == "csv":
@@ -86,6 +90,5 @@ def main(argv: list[str] | None = None) -> int:
         write_table(result, args.out, "overwrite")
     return 0
 
-
 if __name__ == "__main__":
     sys.exit(main())

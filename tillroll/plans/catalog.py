@@ -185,6 +185,18 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
     return out
 
 
+def register_views(panel: Panel, params: Params = STUDY, prefix: str = "") -> list[str]:
+    """Register the panel tables and every analysis as temporary views, so the whole
+    catalog can be queried with ``spark.sql`` (views stay lazy: a query over one runs only
+    the plan it needs)."""
+    names = panel.register_views(prefix)
+    for name, fn in analyses(params).items():
+        if not name.startswith("panel_"):
+            fn(panel).createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+    return names
+
+
 def panel_queries(params: Params = P) -> dict[str, PanelQuery]:
     return analyses(params)
 

@@ -26,6 +26,15 @@ class Panel:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Expose the four tables to Spark SQL as temporary views
+        (``households``, ``products``, ``trips``, ``purchases``, optionally prefixed)."""
+        names = []
+        for name in ("households", "products", "trips", "purchases"):
+            self.table(name).createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        return names
+
 
 def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the schema's columns from an all-string frame, by case-insensitive name,
