@@ -159,3 +159,15 @@ def test_cli_runs_sql_over_views(spark):
     assert main(["--panel", root, "--sql", sql, "--out", out]) == 0
     got = sorted((r["tc_retailer_code"], int(r["n"])) for r in spark.read.option("header", True).csv(out).collect())
     assert got == [("R1", 1), ("R2", 1)]
+
+
+def test_cut_lineage_uses_the_configured_checkpoint_folder(spark):
+    from tillroll.session import checkpoint_dir, cut_lineage
+
+    folder = checkpoint_dir(spark)
+    assert folder  # set once by the test session (ensure_checkpoint_dir), never assumed
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k").groupBy("k").count()
+    cut = cut_lineage(df)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, df.collect()))
+    written = [p for p, _, files in os.walk(folder.replace("file:", "")) if files]
+    assert written  # the checkpoint landed in the configured folder
