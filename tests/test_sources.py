@@ -171,3 +171,17 @@ def test_cut_lineage_uses_the_configured_checkpoint_folder(spark):
     assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, df.collect()))
     written = [p for p, _, files in os.walk(folder.replace("file:", "")) if files]
     assert written  # the checkpoint landed in the configured folder
+
+
+def test_csv_columns_by_name_any_order(spark):
+    from tillroll.sources.panel import read_typed_csv
+    from tillroll.sources.schema import PRODUCTS
+
+    path = os.path.join(_scratch(), "products.csv")
+    with open(path, "w") as f:
+        f.write(",brand_at_prod_id,extra,prod_id,module_at_prod_id,department_at_prod_id,group_at_prod_id\n")
+        f.write('0,"CTL BR",x, 17 ,"MILK, 2%",DAIRY,MILK\n')
+        f.write("1,OTHER,y,not-a-number,EGGS,DAIRY,EGGS\n")
+    rows = {r["module_at_prod_id"]: r for r in read_typed_csv(spark, path, PRODUCTS).collect()}
+    assert rows["MILK, 2%"]["prod_id"] == 17 and rows["MILK, 2%"]["brand_at_prod_id"] == "CTL BR"
+    assert rows["EGGS"]["prod_id"] is None  # malformed key -> NULL, the row is kept
