@@ -228,3 +228,27 @@ def test_one_pass_items_and_trips_equals_join(spark):
         assert sorted(map(tuple, got.select(*cols).collect()), key=str) == sorted(
             map(tuple, want.select(*cols).collect()), key=str
         )
+
+
+def test_large_dimension_plans_equal_broadcast_plans(spark):
+    """The plans used when the product dimension is too large to broadcast give the same
+    answers as the broadcast plans (forced with a zero row bound)."""
+    from test_fixtures import PL_HOUSEHOLDS, PL_PRODUCTS, PL_PURCHASES, PL_TRIPS
+
+    cases = [
+        (make_panel(spark, PL_HOUSEHOLDS, PL_PRODUCTS, PL_TRIPS, PL_PURCHASES), 2004, "CTL BR"),
+        (panel_from_tpch(spark, SF_SMALL), P.year, P.brand),
+    ]
+    for panel, year, brand in cases:
+        for bound in (0, 10**9):
+            mon = private_label.monthly_private_label_spend(
+                panel.trips, panel.purchases, panel.products, year, brand, broadcast_max_rows=bound
+            )
+            bm = private_label.private_label_share_by_income_month(
+                panel.households, panel.trips, panel.purchases, panel.products, brand, broadcast_max_rows=bound
+            )
+            got = (sorted(map(tuple, mon.collect()), key=str), sorted(map(tuple, bm.collect()), key=str))
+            if bound == 0:
+                large = got
+            else:
+                assert got == large

@@ -1,0 +1,21 @@
+"""Size checks that decide between a broadcast plan and a shuffle plan.
+
+AQE can turn a sort-merge join into a broadcast join once it has measured a side, but it
+cannot change the shape of the plan around the join. Where the best plan shape depends on
+whether a dimension fits in a broadcast, the operator counts the dimension first (a
+distributed count: partial counts per task, one number to the driver) and builds the
+plan for that case.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# Rows of (key, flag) pairs that may be broadcast: ~1M rows is a few tens of MiB as a
+# hashed relation, well under executor memory.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows."""
+    return df.count() <= max_rows
