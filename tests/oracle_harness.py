@@ -6,6 +6,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+from collections import Counter
 
 import duckdb
 
@@ -85,9 +86,10 @@ def compare(spark_res, duck_res) -> dict:
     if not out["types"]:
         out["type_detail"] = {"spark": dict(zip(sn, st)), "oracle": dict(zip(dn, dtp))}
     if out["names"] and not out["values"]:
-        a, b = _rows_by_name(sn, sr), _rows_by_name(dn, dr)
-        diff_a = [r for r in a if r not in b][:3]
-        diff_b = [r for r in b if r not in a][:3]
-        out["value_detail"] = {"spark_only": diff_a, "oracle_only": diff_b}
+        a, b = Counter(_rows_by_name(sn, sr)), Counter(_rows_by_name(dn, dr))
+        out["value_detail"] = {
+            "spark_only": list((a - b).elements())[:3],
+            "oracle_only": list((b - a).elements())[:3],
+        }
     out["ok"] = out["names"] and out["types"] and out["rows"] and out["values"]
     return out

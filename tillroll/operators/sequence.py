@@ -7,14 +7,15 @@ range partitioning instead:
 
 1. ``repartitionByRange(n, order)`` + ``sortWithinPartitions(order)``: n balanced,
    contiguous, sorted slices (the range bounds come from a sample of the keys, and the
-   order is total, so even a single hot key value is split across slices);
+   order is total, so even a single hot key value is split across slices), each row
+   tagged with its slice and position, written once to the checkpoint folder;
 2. per-slice row counts (n rows) -> running offsets (a window over n rows) -> broadcast;
 3. id = offset of the slice + position inside the slice.
 
-The slice count is fixed explicitly, so AQE does not coalesce the range exchange and the
-slice ids seen by the count branch and the numbering branch are the same. The order
-columns must form a total order (end with a unique key), which also makes recomputation
-after an executor loss reproduce the same ids.
+Counts and numbering read the same checkpointed slices: a second range exchange would
+draw its own sample and could cut the slices elsewhere. The slice count is fixed
+explicitly, so AQE never coalesces the range exchange. The order columns must form a
+total order (end with a unique key).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.session import cut_lineage
+
 _PART, _POS, _N, _OFF = "_seq_part", "_seq_pos", "_seq_n", "_seq_offset"
 
 
@@ -39,17 +42,21 @@ def sequence_number(
 ) -> DataFrame:
     """Add ``id_col`` = 1..n in the (ascending) order of ``order``."""
     n = _slices(df, num_slices)
-    ranged = df.repartitionByRange(n, *order)
-    # slice sizes need no sort: count rows per slice of the same (reused) range exchange
-    sizes = ranged.groupBy(F.spark_partition_id().alias(_PART)).agg(F.count(F.lit(1)).alias(_N))
-    # one row per slice: bounded by n, so the window and the broadcast are small
-    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(_PART, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF))
     tagged = (
-        ranged.sortWithinPartitions(*order)
+        df.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
         .withColumn(_PART, F.spark_partition_id())
         .withColumn(_POS, F.monotonically_increasing_id())
     )
+    # The slice sizes and the numbering must see the same slices. Range bounds come from
+    # a sample drawn by each range exchange, and two readers of this plan may each plan
+    # their own exchange, so the tagged slices are written once to the checkpoint folder
+    # and both readers use that copy (which also outlives any executor).
+    tagged = cut_lineage(tagged)
+    sizes = tagged.groupBy(_PART).agg(F.count(F.lit(1)).alias(_N))
+    # one row per slice: bounded by n, so the window and the broadcast are small
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(_PART, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF))
     local = F.col(_POS) - F.shiftleft(F.col(_PART).cast("long"), 33)
     return (
         tagged.join(F.broadcast(offsets), _PART)

@@ -85,14 +85,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the reliable checkpoint folder and return a frame that reads
-    it back (survives executor loss, unlike a local checkpoint)."""
-    if not checkpoint_dir(df.sparkSession):
-        raise RuntimeError(
-            "no checkpoint folder: set spark.checkpoint.dir to shared storage "
-            "(or call ensure_checkpoint_dir in local runs)"
-        )
-    ensure_checkpoint_dir(df.sparkSession)
+    """Materialise ``df`` in the reliable checkpoint folder and return a frame that reads
+    it back (survives executor loss, unlike a local checkpoint).
+
+    The folder is the one the session names (``spark.checkpoint.dir``). Only in local
+    mode, when none is named, a private folder is created (as tests do); on a cluster an
+    unset folder is an error, never a machine-local temporary folder."""
+    spark = df.sparkSession
+    if not checkpoint_dir(spark):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
+    ensure_checkpoint_dir(spark)
     return df.checkpoint(eager=True)
 
 
