@@ -185,3 +185,14 @@ def test_csv_columns_by_name_any_order(spark):
     rows = {r["module_at_prod_id"]: r for r in read_typed_csv(spark, path, PRODUCTS).collect()}
     assert rows["MILK, 2%"]["prod_id"] == 17 and rows["MILK, 2%"]["brand_at_prod_id"] == "CTL BR"
     assert rows["EGGS"]["prod_id"] is None  # malformed key -> NULL, the row is kept
+
+
+def test_cut_lineage_refuses_local_folders_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from tillroll import session
+
+    monkeypatch.setattr(session, "checkpoint_dir", lambda s: None)
+    monkeypatch.setattr(session, "_is_local", lambda s: False)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.cut_lineage(spark.range(3))

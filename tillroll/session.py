@@ -65,24 +65,41 @@ def build_session(
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session (None under Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names, if any."""
-    configured = spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    return spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    configured = sc.getCheckpointDir() if sc is not None else None
+    return configured or spark.conf.get("spark.checkpoint.dir", None)
+
+
+def _is_local(spark: SparkSession) -> bool:
+    sc = _context(spark)
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    return master.startswith("local")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the session's checkpoint folder; create a private one only when none is set
     (tests and local runs). On a cluster ``spark.checkpoint.dir`` must name shared storage."""
+    sc = _context(spark)
     existing = checkpoint_dir(spark)
     if existing:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(existing)
-        return spark.sparkContext.getCheckpointDir() or existing
+        if sc is not None and not sc.getCheckpointDir():
+            sc.setCheckpointDir(existing)
+        return existing
     local = tempfile.mkdtemp(prefix="tillroll-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
+    else:
+        spark.conf.set("spark.checkpoint.dir", local)
     return local
 
 
@@ -94,9 +111,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     mode, when none is named, a private folder is created (as tests do); on a cluster an
     unset folder is an error, never a machine-local temporary folder."""
     spark = df.sparkSession
-    if not checkpoint_dir(spark):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
+    if not checkpoint_dir(spark) and not _is_local(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
     ensure_checkpoint_dir(spark)
     return df.checkpoint(eager=True)
 
