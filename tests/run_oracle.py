@@ -1,6 +1,9 @@
 """Run every catalog query in Spark and its oracle SQL in DuckDB; print one line each.
 
-usage: python tests/run_oracle.py [sf_dir] [name ...]
+usage: python tests/run_oracle.py [--cluster] [sf_dir] [name ...]
+
+--cluster runs the Spark side as a large cluster would plan it: no broadcast joins,
+32 shuffle partitions, skew splitting forced on (see tests/test_scale_paths.py).
 """
 
 from __future__ import annotations
@@ -20,9 +23,17 @@ from tillroll.session import build_session  # noqa: E402
 
 
 def main() -> int:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    only = set(sys.argv[2:])
-    spark = build_session("local[8]", 8)
+    args = sys.argv[1:]
+    cluster = "--cluster" in args
+    args = [a for a in args if a != "--cluster"]
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    only = set(args[1:])
+    if cluster:
+        from test_scale_paths import SCALE_CONF
+
+        spark = build_session("local[8]", 32, extra=SCALE_CONF)
+    else:
+        spark = build_session("local[8]", 8)
     con = duck_connection(sf_dir)
     qs, sqls = entry.queries(), entry.oracle_sql()
     bad = 0
