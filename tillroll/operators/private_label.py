@@ -38,6 +38,11 @@ def private_label_share_by_group(
     )
 
 
+def top_private_label_groups(share_by_group: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` categories with the highest private-label proportion (ties by category)."""
+    return share_by_group.orderBy(F.col("proportion").desc_nulls_last(), F.col(GROUP).asc()).limit(k)
+
+
 def product_flags(
     products: DataFrame, brand: str = PRIVATE_LABEL_BRAND, match: str = "equals", case_insensitive: bool = False
 ) -> DataFrame:

@@ -39,6 +39,7 @@ class Params:
     gap_bins: int = 500
     share_bins: int = 10
     scatter_bins: tuple[int, int] = (50, 50)
+    top_groups: int = 5
 
 
 # The study's own parameters (the year its trip analyses look at is 2004).
@@ -151,6 +152,7 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
         "price_quantity_corr": lambda p: monthly.price_quantity_corr(monthly.price_per_item(p.purchases)),
         # ---- private label ----
         "private_label_share_by_group": pl_group,
+        "top_private_label_groups": lambda p: private_label.top_private_label_groups(pl_group(p), q.top_groups),
         "spend_by_month": lambda p: private_label.spend_by_month(pl_monthly(p)),
         "private_label_spend_by_month": lambda p: private_label.private_label_spend_by_month(pl_monthly(p)),
         "private_label_expenditure_share": lambda p: private_label.private_label_expenditure_share(pl_monthly(p)),

@@ -323,6 +323,10 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
     "price_per_item": (["ppi"], "SELECT * FROM ppi"),
     "price_quantity_corr": (["ppi"], _corr("ppi", ["avg_price_paid_per_item", "quantity_at_tc_prod_id"])),
     "private_label_share_by_group": (["plgroup"], "SELECT * FROM plgroup"),
+    "top_private_label_groups": (
+        ["plgroup"],
+        f"SELECT * FROM plgroup ORDER BY proportion DESC NULLS LAST, group_at_prod_id ASC LIMIT {P.top_groups}",
+    ),
     "spend_by_month": (["plm"], "SELECT month AS month1, all_prods FROM plm"),
     "private_label_spend_by_month": (["plm"], "SELECT month AS month2, pl_prods FROM plm WHERE pl_lines > 0"),
     "private_label_expenditure_share": (["plshare"], "SELECT * FROM plshare"),
