@@ -269,6 +269,11 @@ def loyalists_by_retailer(single: DataFrame) -> DataFrame:
     return single.groupBy(RETAILER).agg(F.countDistinct("hh_id").alias("households"))
 
 
+def top_loyalist_retailer(loyalists: DataFrame, k: int = 1) -> DataFrame:
+    """The ``k`` retailers with the most single-retailer loyal households (ties by code)."""
+    return loyalists.orderBy(F.col("households").desc(), F.col(RETAILER).asc_nulls_last()).limit(k)
+
+
 def loyal_state_distribution(loyal_states: DataFrame) -> DataFrame:
     """Loyal households per state and kind: (kind, hh_state, n)."""
     return loyal_states.groupBy("kind", "hh_state").agg(F.count(F.lit(1)).alias("n"))

@@ -139,6 +139,7 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
         "loyal_income_comparison": lambda p: loyalty.loyal_income_comparison(loyal(p), p.households, "pair"),
         "top_retailer_by_spend": lambda p: loyalty.top_retailer_by_spend(p.trips),
         "loyalists_by_retailer": lambda p: loyalty.loyalists_by_retailer(single(p)),
+        "top_loyalist_retailer": lambda p: loyalty.top_loyalist_retailer(loyalty.loyalists_by_retailer(single(p))),
         "loyal_household_state": lambda p: loyalty.loyal_household_state(loyal(p), p.households),
         "loyal_state_distribution": lambda p: loyalty.loyal_state_distribution(
             loyalty.loyal_household_state(loyal(p), p.households)

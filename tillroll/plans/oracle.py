@@ -311,6 +311,11 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
         ["single"],
         "SELECT tc_retailer_code, COUNT(DISTINCT hh_id) AS households FROM single GROUP BY tc_retailer_code",
     ),
+    "top_loyalist_retailer": (
+        ["single"],
+        """SELECT tc_retailer_code, COUNT(DISTINCT hh_id) AS households FROM single GROUP BY tc_retailer_code
+  ORDER BY households DESC, tc_retailer_code ASC NULLS LAST LIMIT 1""",
+    ),
     "loyal_household_state": (["loyal_state"], "SELECT * FROM loyal_state"),
     "loyal_state_distribution": (
         ["loyal_state"],
