@@ -5,7 +5,8 @@ Runs each query of ``HEADLINE`` on ``$BENCH_SF_DIR`` (default /root/testdata/sf0
 timed runs. Each run executes the whole plan into Spark's no-op sink (nothing is
 collected). Prints one JSON line:
 {"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}
-Set BENCH_ALL=1 to time every catalog query instead of the headline set.
+Set BENCH_ALL=1 to time every catalog query instead of the headline set. The line also
+carries a machine-speed calibration (a fixed Python loop and a fixed Spark job).
 """
 
 from __future__ import annotations
@@ -45,12 +46,36 @@ HEADLINE = [
 ]
 
 
+def _calibrate(spark) -> dict[str, float]:
+    """Machine speed in this run (the VM's speed varies over time): a fixed pure-Python
+    loop and a fixed Spark job, median of 3 each. Divide query times by these to compare
+    runs made at different times."""
+    def loop() -> float:
+        t0 = time.perf_counter()
+        total = 0
+        for i in range(3_000_000):
+            total += i
+        return time.perf_counter() - t0
+
+    def job() -> float:
+        t0 = time.perf_counter()
+        spark.range(20_000_000).selectExpr("sum(id % 7) AS s").collect()
+        return time.perf_counter() - t0
+
+    job()  # warm-up
+    return {
+        "python_loop_sec": round(statistics.median(loop() for _ in range(3)), 4),
+        "spark_range_sum_sec": round(statistics.median(job() for _ in range(3)), 4),
+    }
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="tillroll-bench",
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+    calibration = _calibrate(spark)
     catalog = queries()
     names = list(catalog) if os.environ.get("BENCH_ALL") else HEADLINE
     timings: dict[str, float] = {}
@@ -71,6 +96,7 @@ def main() -> None:
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
         "spark": spark.version,
+        "calibration": calibration,
     }))
     spark.stop()
 
