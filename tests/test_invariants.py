@@ -264,3 +264,26 @@ def test_sequence_numbers_are_exact_on_many_rows(spark):
         rows = gaps.trip_sequence(trips, P.year, by=by).collect()
         ranked = sorted(rows, key=lambda r: tuple(r[c] for c in order))
         assert [r["id"] for r in ranked] == list(range(1, len(rows) + 1)), by
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables not present")
+def test_pairs_exact_on_many_rows_without_exchange_reuse(spark):
+    """Pairs equal lead() per household on sf0.1, also with exchange reuse switched off
+    (the numbering must not depend on two readers sharing one exchange)."""
+    trips = panel_from_tpch(spark, "/root/testdata/sf0.1").trips
+    w = Window.partitionBy("hh_id").orderBy("tc_date", "tc_id")
+    want = sorted(
+        (r["tc_id"], r["nxt"])
+        for r in trips.filter(F.year("tc_date") == P.year)
+        .select("tc_id", F.lead("tc_id").over(w).alias("nxt"))
+        .filter(F.col("nxt").isNotNull())
+        .collect()
+    )
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    try:
+        for reuse in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", reuse)
+            got = sorted((r["tc_id_0"], r["tc_id_1"]) for r in gaps.next_trip_pairs(trips, P.year).collect())
+            assert got == want, reuse
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
