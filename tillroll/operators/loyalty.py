@@ -228,16 +228,21 @@ def loyal_households(single: DataFrame, pair: DataFrame) -> DataFrame:
     return one.unionByName(two).distinct()
 
 
+def _household_attribute(loyal: DataFrame, households: DataFrame, column: str) -> DataFrame:
+    """``loyal LEFT JOIN households`` for one attribute, without shuffling the households:
+    the household rows are first reduced to the loyal keys by a semi-join (the small key
+    set is the build side, so the planner can broadcast it), then two small frames meet."""
+    keys = loyal.select("hh_id").distinct()
+    found = households.select("hh_id", column).join(keys, "hh_id", "left_semi")
+    return loyal.join(found, "hh_id", "left").select("kind", "hh_id", column)
+
+
 def loyal_household_income(loyal: DataFrame, households: DataFrame) -> DataFrame:
-    return loyal.join(households.select("hh_id", "hh_income"), "hh_id", "left").select(
-        "kind", "hh_id", "hh_income"
-    )
+    return _household_attribute(loyal, households, "hh_income")
 
 
 def loyal_household_state(loyal: DataFrame, households: DataFrame) -> DataFrame:
-    return loyal.join(households.select("hh_id", "hh_state"), "hh_id", "left").select(
-        "kind", "hh_id", "hh_state"
-    )
+    return _household_attribute(loyal, households, "hh_state")
 
 
 def loyal_income_comparison(loyal: DataFrame, households: DataFrame, kind: str = "pair") -> DataFrame:
