@@ -332,3 +332,14 @@ def test_scatter_sample_is_seeded(spark):
     b = chartdata.scatter_frame(df, "x", "y", fraction=0.05, seed=7)
     n = a.count()
     assert 600 < n < 1400 and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_top_k_reports_break_ties_by_name(spark):
+    shares = spark.createDataFrame(
+        [("B", 1, 2, 50.0), ("A", 1, 2, 50.0), ("C", 1, 4, 25.0)],
+        "group_at_prod_id string, count_pl long, count_all long, proportion double",
+    )
+    top = private_label.top_private_label_groups(shares, 2)
+    assert [r["group_at_prod_id"] for r in top.collect()] == ["A", "B"]
+    loyalists = spark.createDataFrame([("R2", 3), ("R1", 3), ("R3", 1)], "tc_retailer_code string, households long")
+    assert [tuple(r) for r in loyalty.top_loyalist_retailer(loyalists).collect()] == [("R1", 3)]
