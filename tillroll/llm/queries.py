@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import bpe_codec, packing, token_counts
+from tillroll.llm import bpe_codec, ngram_jaccard, packing, token_counts
 from tillroll.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,13 +21,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(documents(spark, sf_dir), BYTE_BPE))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(documents(spark, sf_dir), BYTE_BPE, limit=512, keep_counts=False)
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_codec, op4_packing, op7_token_counts)}
+    return {f.__name__: f for f in (op2_bpe_codec, op4_packing, op6_ngram_jaccard, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
