@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import regex
@@ -186,6 +187,17 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
 
 
+def known(index: dict[str, int], words: list[str], learn: Callable[[list[str]], None]) -> np.ndarray:
+    """The index of each word; ``learn`` adds those that aren't there to it."""
+    which = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+    at = np.flatnonzero(which < 0)
+    if len(at):
+        new = [words[i] for i in at.tolist()]
+        learn(list(dict.fromkeys(new)))
+        which[at] = np.fromiter(map(index.__getitem__, new), np.int64, len(new))
+    return which
+
+
 class Codec:
     """Encodes batches of texts, remembering the ids of words it has met.
 
@@ -226,9 +238,7 @@ class Codec:
             ends.append(len(words))
         if len(self.index) > self.remember:
             self._forget()
-        if fresh := list(set(words).difference(self.index)):
-            self._learn(fresh)
-        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        which = known(self.index, words, self._learn)
         sizes = self.size[which]
         ids = gather(self.flat, self.start[which], sizes)
         upto = np.r_[0, np.cumsum(sizes)][np.array([0, *ends], np.int64)]
@@ -270,12 +280,3 @@ def codec(path: str) -> Codec:
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
     return _CODECS[path]
-
-
-def encoded_texts(path: str, texts: Iterable[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """(texts, flat ids, counts) in pieces of bounded size."""
-    texts = list(texts)
-    c = codec(path)
-    for a, b in slices(texts):
-        ids, counts = c.encode(texts[a:b])
-        yield texts[a:b], ids, counts

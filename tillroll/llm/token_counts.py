@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tillroll.llm.bpe import NO_RANK, ByteBPE, gather, slices
+from tillroll.llm.bpe import NO_RANK, ByteBPE, gather, known, slices
 from tillroll.llm.common import id_and_text, use_package
 
 FITS_SLOTS = 1 << 20  # remembered pairs of tokens (a direct-mapped table)
@@ -196,9 +196,7 @@ class PrefixCounter:
         self.index.update(zip(words, range(n, n + m), strict=True))
 
     def _known(self, words: list[str]) -> np.ndarray:
-        if fresh := list(set(words).difference(self.index)):
-            self._learn(fresh)
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        return known(self.index, words, self._learn)
 
     def _total(self, words: list[str]) -> int:
         which = self._known(words)
