@@ -49,5 +49,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def ascii_lower(col):
-    """Lower-case A-Z only."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-case A-Z only. Texts of ASCII alone take lower(), which is the same there and
+    much cheaper than translate()."""
+    plain = F.octet_length(col) == F.char_length(col)
+    return F.when(plain, F.lower(col)).otherwise(F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fold(id_col: str = "doc_id"):
+    """crc32 of the id as text, modulo 5: 0 marks the held-out fold."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
