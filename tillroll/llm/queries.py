@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.llm import bpe_codec, exact_dedup, ngram_jaccard, packing, token_counts, toxicity
+from tillroll.llm import bpe_codec, exact_dedup, language_id, ngram_jaccard, packing, span_dedup, token_counts, toxicity
 from tillroll.llm.common import documents, fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +37,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(documents(spark, sf_dir), BYTE_BPE))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.predict(docs, language_id.fit(docs)).withColumn("held_out", fold() == 0)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
 
@@ -45,6 +51,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within")
 
 
+def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = span_dedup.dedup_spans(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_sentences", "n_removed", "spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -52,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_exact_dedup, op2_bpe_codec, op4_packing, op6_ngram_jaccard, op7_token_counts, op10_toxicity)
+    listed = (op1_exact_dedup, op2_bpe_codec, op4_packing, op5_language_id, op6_ngram_jaccard, op7_token_counts, op9_span_dedup, op10_toxicity)
     return {f.__name__: f for f in listed}
 
 
