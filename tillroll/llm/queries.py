@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe_codec, exact_dedup, language_id, ngram_jaccard, packing, span_dedup, token_counts, toxicity
+from tillroll.llm import bpe_codec, cover_tree, exact_dedup, language_id, ngram_jaccard, packing, span_dedup, token_counts, toxicity
 from tillroll.llm.common import documents, fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,6 +51,28 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within")
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = cover_tree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0, k=5)
+    return best.withColumnRenamed("id", "vec_id")
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, p.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, p.e), z -> z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = span_dedup.dedup_spans(documents(spark, sf_dir))
     return cut.select("doc_id", "n_sentences", "n_removed", "spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -63,9 +85,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_exact_dedup, op2_bpe_codec, op4_packing, op5_language_id, op6_ngram_jaccard, op7_token_counts, op9_span_dedup, op10_toxicity)
+    listed = (op1_exact_dedup, op2_bpe_codec, op4_packing, op5_language_id, op6_ngram_jaccard, op7_token_counts, op8_topk_search, op9_span_dedup, op10_toxicity)
     return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op8_topk_search": OP8_SQL}
