@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe_codec, cover_tree, exact_dedup, language_id, ngram_jaccard, packing, span_dedup, token_counts, toxicity
+from tillroll.llm import bpe_codec, cover_tree, exact_dedup, language_id, ngram_jaccard, packing, span_dedup, suffix_dedup, token_counts, toxicity
 from tillroll.llm.common import documents, fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,10 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode_decode(documents(spark, sf_dir), BYTE_BPE))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.suffix_dedup(documents(spark, sf_dir), width=50))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(documents(spark, sf_dir), BYTE_BPE))
 
@@ -58,12 +62,12 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, p.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.e, p.e), z -> z[1] * z[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.e, p.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
   FROM v q JOIN v p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
@@ -85,7 +89,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_exact_dedup, op2_bpe_codec, op4_packing, op5_language_id, op6_ngram_jaccard, op7_token_counts, op8_topk_search, op9_span_dedup, op10_toxicity)
+    listed = (op1_exact_dedup, op2_bpe_codec, op3_suffix_dedup, op4_packing, op5_language_id, op6_ngram_jaccard, op7_token_counts, op8_topk_search, op9_span_dedup, op10_toxicity)
     return {f.__name__: f for f in listed}
 
 
