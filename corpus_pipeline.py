@@ -1,24 +1,68 @@
-"""The corpus pipeline: its stages in order, each over all that the one before has kept."""
+"""The corpus pipeline: its stages in order, each over all that the one before has kept.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents`` (the last:
+the packed pieces); its result is written as Parquet and read again for the next one.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import packing
+from tillroll.llm import exact_dedup, ngram_jaccard, packing, span_dedup, toxicity
+from tillroll.llm.common import checkpoint_folder
 from tillroll.llm.queries import BYTE_BPE
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from ``labels``."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased) the document with the largest id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles the one
+    with the smallest id stays."""
+    groups = ngram_jaccard.jaccard_components(docs, words=5, num=80, den=100)
+    others = groups.where("doc_id <> component_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sentences that a repeated span covers go, but for its first occurrence."""
+    return span_dedup.drop_repeats(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack(docs, BYTE_BPE))
+    """What is left, packed into windows of 1024 tokens."""
+    return packing.digests(packing.pack(docs, BYTE_BPE, window=1024))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", drop_repeats),
+    ("packing", pack),
+]
 
+# The stages have a trained model and packing in them, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, with what each keeps written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
     return docs

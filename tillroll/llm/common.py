@@ -20,18 +20,24 @@ def use_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder named by ``spark.checkpoint.dir`` and read back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
     Only where the setting is unset (tests, local runs) is a private folder made."""
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
-            if not sc.master.startswith("local["):
+            if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
             named = tempfile.mkdtemp(prefix="llm-checkpoint-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
