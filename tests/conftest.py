@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
+import tempfile
 from decimal import Decimal
 
 import pytest
@@ -11,7 +12,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tillroll.session import build_session, ensure_checkpoint_dir  # noqa: E402
+from tillroll.session import build_session, checkpoint_dir  # noqa: E402
 from tillroll.sources.panel import Panel  # noqa: E402
 from tillroll.sources.schema import SCHEMAS  # noqa: E402
 
@@ -21,7 +22,8 @@ SF_SMALL = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[*]", 8, app_name="tillroll-tests")
-    ensure_checkpoint_dir(s)  # only creates a private folder when none is configured
+    if not checkpoint_dir(s):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-tests-"))
     yield s
     s.stop()
 

@@ -30,17 +30,17 @@ def _scratch() -> str:
 def _panel_csvs(root: str) -> dict[str, str]:
     paths = {n: os.path.join(root, f"{n}.csv") for n in ("households", "products", "trips", "purchases")}
     _write(paths["households"], ["", "hh_id", "hh_income", "hh_state"],
-           [["0", "2070841", "12", "CA"], ["1", "8034573", "19", "NY"], ["2", "9001556", "", "TX"]])
+           [["0", "501", "12", "CA"], ["1", "502", "19", "NY"], ["2", "503", "", "TX"]])
     _write(paths["products"], ["", "prod_id", "department_at_prod_id", "group_at_prod_id", "module_at_prod_id",
                                "brand_at_prod_id"],
-           [["0", "100001087957081", "DAIRY", "MILK", "MILK-2%", "CTL BR"]])
+           [["0", "7000000001", "DAIRY", "MILK", "MILK-2%", "CTL BR"]])
     _write(paths["trips"], TRIPS_HEADER,
-           [["0", "1", "2070841", "2004-01-05", "R1", "12.50"],
-            ["1", "2", "8034573", "not-a-date", "R2", "7.25"],
-            ["2", "3", "8034573", "2004-02-01", "R2", "abc"]])
+           [["0", "1", "501", "2004-01-05", "R1", "12.50"],
+            ["1", "2", "502", "not-a-date", "R2", "7.25"],
+            ["2", "3", "502", "2004-02-01", "R2", "abc"]])
     _write(paths["purchases"], ["", "TC_id", "prod_id", "quantity_at_TC_prod_id", "total_price_paid_at_TC_prod_id",
                                 "deal_flag_at_TC_prod_id"],
-           [["0", "1", "100001087957081", "2", "3.98", "1"]])
+           [["0", "1", "7000000001", "2", "3.98", "1"]])
     return paths
 
 
@@ -52,16 +52,16 @@ def test_read_panel_csv(spark):
     assert trips[3]["tc_total_spent"] is None
     assert panel.trips.columns == ["tc_id", "hh_id", "tc_date", "tc_retailer_code", "tc_total_spent"]
     hh = {r["hh_id"]: r["hh_income"] for r in panel.households.collect()}
-    assert hh == {2070841: 12, 8034573: 19, 9001556: None}
+    assert hh == {501: 12, 502: 19, 503: None}
     prod = panel.products.first()
-    assert prod["prod_id"] == 100001087957081 and prod["brand_at_prod_id"] == "CTL BR"
+    assert prod["prod_id"] == 7000000001 and prod["brand_at_prod_id"] == "CTL BR"
     buy = panel.purchases.first()
     assert (buy["quantity_at_tc_prod_id"], buy["deal_flag_at_tc_prod_id"]) == (2, 1)
 
 
 def test_sample_by_keys_is_referential(spark):
     panel = read_panel(spark, _panel_csvs(_scratch()))
-    keys = spark.createDataFrame([(2070841,), (2070841,), (5,)], "hh_id long")
+    keys = spark.createDataFrame([(501,), (501,), (5,)], "hh_id long")
     assert sample_by_keys(panel.households, keys, "hh_id").count() == 1  # no duplication
     sub = sample_panel(panel, keys)
     assert [r["tc_id"] for r in sub.trips.collect()] == [1]
@@ -104,7 +104,7 @@ def test_streaming_append_is_exactly_once(spark):
 
 def test_sample_panel_with_product_keys(spark):
     panel = read_panel(spark, _panel_csvs(_scratch()))
-    keys = spark.createDataFrame([(8034573,)], "hh_id long")
+    keys = spark.createDataFrame([(502,)], "hh_id long")
     prods = spark.createDataFrame([(1,)], "prod_id long")
     sub = sample_panel(panel, keys, product_keys=prods)
     assert sorted(r["tc_id"] for r in sub.trips.collect()) == [2, 3]
@@ -187,12 +187,46 @@ def test_csv_columns_by_name_any_order(spark):
     assert rows["EGGS"]["prod_id"] is None  # malformed key -> NULL, the row is kept
 
 
-def test_cut_lineage_refuses_local_folders_on_a_cluster(spark, monkeypatch):
+def test_csv_folder_matches_each_file_by_its_header(spark):
+    from tillroll.sources.panel import read_typed_csv
+    from tillroll.sources.schema import HOUSEHOLDS
+
+    root = _scratch()
+    _write(os.path.join(root, "a.csv"), ["hh_id", "hh_income", "hh_state"], [["1", "10", "AL"]])
+    _write(os.path.join(root, "b.csv"), ["hh_income", "hh_id", "hh_state"], [["20", "2", "TX"]])
+    _write(os.path.join(root, "c.csv"), ["", "HH_ID", "hh_state", "hh_income"], [["0", "3", "NY", "30"]])
+    got = sorted(map(tuple, read_typed_csv(spark, root, HOUSEHOLDS).select("hh_id", "hh_income", "hh_state").collect()))
+    assert got == [(1, 10, "AL"), (2, 20, "TX"), (3, 30, "NY")]
+
+
+def test_stream_stops_at_a_differing_header(spark):
     import pytest
 
+    from pyspark.errors import StreamingQueryException
+
+    from tillroll.streaming.append import append_panel_files
+
+    root = _scratch()
+    src, out, ckpt = (os.path.join(root, x) for x in ("src", "out", "ckpt"))
+    os.makedirs(src)
+    _write(os.path.join(src, "a.csv"), ["hh_income", "hh_id", "hh_state"], [["20", "2", "TX"]])
+    with pytest.raises(StreamingQueryException):
+        append_panel_files(spark, "households", src, ["hh_id", "hh_income", "hh_state"], out, ckpt)
+
+
+def test_checkpoints_go_to_the_warehouse_where_no_folder_is_named(spark, monkeypatch):
     from tillroll import session
 
+    asked = []
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, folder):
+            asked.append(folder)
+
+    monkeypatch.setattr(session, "_context", lambda s: Context())
     monkeypatch.setattr(session, "checkpoint_dir", lambda s: None)
-    monkeypatch.setattr(session, "_is_local", lambda s: False)
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.cut_lineage(spark.range(3))
+    folder = session.ensure_checkpoint_dir(spark)
+    assert asked == [folder] and folder.startswith(spark.conf.get("spark.sql.warehouse.dir").rstrip("/"))

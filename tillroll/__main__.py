@@ -11,15 +11,15 @@ by trip year (read it back with ``--panel OUT --format parquet``).
 
 ``--panel DIR`` holds households, products, trips and purchases (``<name>.csv`` files or
 folders, or ``<name>`` Parquet folders); with ``--format table`` the names are catalog
-tables. The session comes from ``spark-submit`` / the environment; the result is written
-in parallel by the executors (CSV with a header row, the hand-off format of the study).
+tables. The session comes from ``spark-submit`` / the environment; with ``--out`` the
+result is written in parallel by the executors (CSV with a header row, the hand-off format
+of the study), without it the first 50 rows are shown.
 """
 
 from __future__ import annotations
 
 import argparse
 import dataclasses
-import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -32,14 +32,18 @@ from tillroll.sources.sinks import export_csv, write_table
 TABLES = ("households", "products", "trips", "purchases")
 
 
-def _panel_paths(root: str, fmt: str) -> dict[str, str]:
+def _panel_paths(spark: SparkSession, root: str, fmt: str) -> dict[str, str]:
+    """Where each table lies, on whatever file system ``root`` names."""
     if fmt == "table":
         return {t: t for t in TABLES}
-    paths = {}
-    for t in TABLES:
-        candidates = [os.path.join(root, f"{t}.{fmt}"), os.path.join(root, t)]
-        paths[t] = next((c for c in candidates if os.path.exists(c)), candidates[-1])
-    return paths
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def exists(path: str) -> bool:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(conf).exists(at)
+
+    root = root.rstrip("/")
+    return {t: next((c for c in (f"{root}/{t}.{fmt}",) if exists(c)), f"{root}/{t}") for t in TABLES}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -72,13 +76,13 @@ def main(argv: list[str] | None = None) -> int:
         return 2
 
     spark = SparkSession.builder.appName("tillroll").getOrCreate()
-    panel = read_panel(spark, _panel_paths(args.panel, args.format), args.format)
+    panel = read_panel(spark, _panel_paths(spark, args.panel, args.format), args.format)
     if args.write_layout:
         for name, path in write_panel(panel, args.write_layout).items():
             print(f"{name}\t{path}")
         return 0
     if args.sql:
-        register_views(panel, params)
+        register_views(panel, params, numbered="trip_sequence_" in args.sql)
         result = spark.sql(args.sql)
     else:
         result = queries[args.analysis](panel)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,40 +79,22 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return configured or spark.conf.get("spark.checkpoint.dir", None)
 
 
-def _is_local(spark: SparkSession) -> bool:
-    sc = _context(spark)
-    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
-    return master.startswith("local")
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; create a private one only when none is set
-    (tests and local runs). On a cluster ``spark.checkpoint.dir`` must name shared storage."""
+    """The session's checkpoint folder; where ``spark.checkpoint.dir`` is unset, a folder in
+    the SQL warehouse, which all executors share as well."""
     sc = _context(spark)
-    existing = checkpoint_dir(spark)
-    if existing:
-        if sc is not None and not sc.getCheckpointDir():
-            sc.setCheckpointDir(existing)
-        return existing
-    local = tempfile.mkdtemp(prefix="tillroll-ckpt-")
-    if sc is not None:
-        sc.setCheckpointDir(local)
-    else:
-        spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    folder = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if sc is None:
+        spark.conf.set("spark.checkpoint.dir", folder)
+    elif not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder and return a frame that reads
-    it back (survives executor loss, unlike a local checkpoint).
-
-    The folder is the one the session names (``spark.checkpoint.dir``). Only in local
-    mode, when none is named, a private folder is created (as tests do); on a cluster an
-    unset folder is an error, never a machine-local temporary folder."""
-    spark = df.sparkSession
-    if not checkpoint_dir(spark) and not _is_local(spark):
-        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
-    ensure_checkpoint_dir(spark)
+    it back (survives executor loss, unlike a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

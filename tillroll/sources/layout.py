@@ -14,17 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.sources.panel import Panel
+from tillroll.sources.schema import YEAR_COL
 from tillroll.sources.sinks import write_table
 
-YEAR_COL = "tc_year"
-
 
 def trips_with_year(trips: DataFrame) -> DataFrame:
     return trips.withColumn(YEAR_COL, F.year("tc_date"))
 
 
 def purchases_with_year(purchases: DataFrame, trips: DataFrame) -> DataFrame:
-    years = trips.select("tc_id", F.year("tc_date").alias(YEAR_COL))
+    """Purchases with the year of their trip. A trip id that occurs several times, as after
+    a repeated append, does not multiply lines; should its dates differ, its first year is
+    taken."""
+    years = trips.groupBy("tc_id").agg(F.min(F.year("tc_date")).alias(YEAR_COL))
     return purchases.join(years, "tc_id", "left")
 
 
@@ -43,7 +45,12 @@ def write_panel(panel: Panel, root: str, mode: str = "overwrite") -> dict[str, s
 
 def in_trip_year(df: DataFrame, year: int | None) -> DataFrame:
     """Restrict a trips or purchases frame to one trip year through its partition column,
-    when the frame has one (a no-op otherwise)."""
-    if year is None or YEAR_COL not in df.columns:
-        return df
-    return df.filter(F.col(YEAR_COL) == year)
+    when the frame has one (a no-op otherwise). The column itself goes."""
+    if year is not None and YEAR_COL in df.columns:
+        df = df.filter(F.col(YEAR_COL) == year)
+    return without_year(df)
+
+
+def without_year(df: DataFrame) -> DataFrame:
+    """A frame without the layout's partition column."""
+    return df.drop(YEAR_COL)

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.sources.schema import SCHEMAS
+from tillroll.sources.schema import SCHEMAS, YEAR_COL
+
+INDEX_COLUMNS = ("", "_c0", "unnamed: 0")
 
 
 @dataclass(frozen=True)
@@ -55,13 +57,45 @@ def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
     return raw.select(*cols)
 
 
+def without_index(raw: DataFrame) -> DataFrame:
+    return raw.drop(*[c for c in raw.columns if c.lower() in INDEX_COLUMNS])
+
+
+def csv_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a CSV file or folder by their header line (one line of each is read)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    out: dict[str, list[str]] = {}
+    for file in spark.read.text(path).inputFiles():
+        at = jvm.org.apache.hadoop.fs.Path(file)
+        stream = at.getFileSystem(conf).open(at)
+        codec = codecs.getCodec(at)
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        header = lines.readLine()
+        lines.close()
+        if header is not None:
+            out.setdefault(header, []).append(file)
+    return out
+
+
 def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV with a header row, typed by ``schema`` (columns matched by name, any order;
-    a leading unnamed index column is dropped). Without a schema Spark reads every column
-    as a string, so the header is all it looks at before the typed projection."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    index_cols = [c for c in raw.columns if c in ("", "_c0", "Unnamed: 0")]
-    return _typed(raw.drop(*index_cols), schema)
+    """A CSV file or folder with header rows, typed by ``schema``: columns are matched by
+    name, in any order, in each file by its own header; an unnamed index column is dropped.
+
+    Spark takes one file's header for a whole folder, so files are grouped by header, each
+    group is a scan of its own (whose files must have that header), and the scans are united
+    by name. Without a schema Spark reads every column as a string."""
+    groups = list(csv_headers(spark, path).values()) or [[path]]
+    parts = [
+        _typed(without_index(spark.read.option("header", True).option("enforceSchema", False).csv(files)), schema)
+        for files in groups
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def read_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -79,10 +113,9 @@ def read_panel(spark: SparkSession, paths: dict[str, str], fmt: str = "csv") ->
             frames[name] = read_csv_table(spark, paths[name], name)
             continue
         df = spark.table(paths[name]) if fmt == "table" else spark.read.format(fmt).load(paths[name])
-        cols = [F.col(f.name).cast(f.dataType) for f in schema.fields]
-        if "tc_year" in df.columns:  # partition column of the year layout (sources.layout)
-            cols.append(F.col("tc_year"))
-        frames[name] = df.select(*cols)
+        # the year layout's partition column stays in the panel, for pruning; analyses drop it
+        year = [YEAR_COL] if YEAR_COL in df.columns else []
+        frames[name] = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], *year)
     return Panel(**frames)
 
 

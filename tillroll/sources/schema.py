@@ -69,3 +69,6 @@ ACTIVE_MONTHS = 12
 SPEND_MONTHS = 12
 SINGLE_LOYAL_SHARE = 80
 PAIR_LOYAL_SHARE = 80
+
+# Partition column of the year layout (sources.layout).
+YEAR_COL = "tc_year"

@@ -1,4 +1,4 @@
-"""Writers: persist a derived table (the reference's CTAS / append loads) or export a
+"""Writers: persist a derived table (CREATE TABLE AS SELECT / append loads) or export a
 result as CSV for charting tools."""
 
 from __future__ import annotations

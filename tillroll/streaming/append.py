@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tillroll.sources.panel import _typed
+from tillroll.sources.panel import _typed, without_index
 from tillroll.sources.schema import SCHEMAS
 
 
@@ -30,12 +30,12 @@ def panel_stream(
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
     """A streaming DataFrame of one panel table (households/products/trips/purchases)."""
-    reader = spark.readStream.schema(raw_csv_schema(header)).option("header", True)
+    # a file whose header differs stops the stream instead of loading values by position
+    reader = spark.readStream.schema(raw_csv_schema(header)).option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(source_dir)
-    index_cols = [c for c in raw.columns if c in ("", "_c0", "Unnamed: 0")]
-    typed = _typed(raw.drop(*index_cols), SCHEMAS[name])
+    typed = _typed(without_index(raw), SCHEMAS[name])
     if keys is not None:
         typed = typed.join(keys.select(key), key, "left_semi")
     return typed
