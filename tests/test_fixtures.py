@@ -74,15 +74,18 @@ GAP_TRIPS = [
 
 def test_next_trip_pairs_and_gaps(spark):
     p = make_panel(spark, trips=GAP_TRIPS)
-    pairs = gaps.next_trip_pairs(p.trips, 2004, num_slices=3)
+    pairs = gaps.next_trip_pairs(p.trips, 2004)
     assert rows(pairs, "tc_id_0", "tc_id_1", "time_window") == [(1, 2, 0), (2, 3, 91), (3, 4, 90)]
-    counted = gaps.inactive_gap_count(pairs).first()
+    counted = gaps.inactive_gap_count(gaps.household_gaps(p.trips, 2004)).first()
     assert (counted["gaps"], counted["households"]) == (1, 1)
-    avg = gaps.avg_gap_per_household(pairs).collect()
+    avg = gaps.avg_gap_per_household(p.trips, 2004).collect()
     assert len(avg) == 1 and avg[0]["household"] == 1
     assert avg[0]["days"] == pytest.approx(181 / 3)
     # dates Jan 1, Apr 1, Apr 10, Jun 30: gaps 91, 9, 81
     assert gaps.global_gap_count(p.trips, 2004).first()["gaps"] == 1
+    assert gaps.global_gap_count(p.trips, 2004, days=9).first()["gaps"] == 2
+    counted = rows(gaps.household_gaps(p.trips, 2004), "hh_id", "time_window", "n")
+    assert counted == [(1, 0, 1), (1, 90, 1), (1, 91, 1)]
 
 
 def test_trip_sequence_orders(spark):
@@ -146,7 +149,7 @@ def test_retailer_share_and_loyalty(spark):
     assert r["percentage_of_spent"] == pytest.approx(85.0)
     assert r["avg_spent_both"] == pytest.approx(85 / 12)
 
-    loyal = loyalty.loyal_households(single, pair)
+    loyal = loyalty.loyal_households(share, 80, 80)
     assert rows(loyal, "kind", "hh_id") == [("pair", 1), ("pair", 4), ("single", 1), ("single", 3)]
     assert rows(loyalty.loyalists_by_retailer(single), "tc_retailer_code", "households") == [("R1", 2)]
 
@@ -173,7 +176,7 @@ def test_income_and_state_of_loyal(spark):
     households = [(1, 10, "CA"), (2, 20, "NY"), (3, 30, "CA"), (4, None, None)]
     p = make_panel(spark, households=households, trips=SHARE_TRIPS)
     share = loyalty.retailer_share(p.trips, 12)
-    loyal = loyalty.loyal_households(loyalty.loyal_single(share, 80), loyalty.loyal_pair(share, 80))
+    loyal = loyalty.loyal_households(share, 80, 80)
     inc = loyalty.loyal_household_income(loyal, p.households)
     assert rows(inc.filter("kind = 'pair'"), "hh_id", "hh_income") == [(1, 10), (4, None)]
     cmp = {r["segment"]: (r["n"], r["avg_income"]) for r in loyalty.loyal_income_comparison(loyal, p.households).collect()}
@@ -202,7 +205,7 @@ def test_items_and_trips_by_month(spark):
     assert rows(items, "month", "num_items") == [(1, 2.5), (2, 3.0)]
     trips_m = monthly.avg_trips_by_month(p.trips, p.households, 2004)
     assert rows(trips_m, "month", "num_trips") == [(1, 1.5), (2, 1.0)]
-    ivt = monthly.items_vs_trips_by_month(items, trips_m)
+    ivt = monthly.monthly_items_and_trips(p.trips, p.households, p.purchases, 2004)
     assert rows(ivt, "month", "num_items", "num_trips") == [(1, 2.5, 1.5), (2, 3.0, 1.0)]
 
 

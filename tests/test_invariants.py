@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL, d, m, make_panel
 from oracle_harness import duck_connection
 from tillroll.operators import gaps, loyalty, private_label
-from tillroll.operators.sequence import next_in_sequence, sequence_number
+from tillroll.operators.sequence import sequence_number
 from tillroll.plans.catalog import P
 from tillroll.plans.inspect import plan_text, single_partition_children
 from tillroll.sources.panel import panel_from_tpch
@@ -41,18 +41,45 @@ def test_sequence_number_equals_row_number(spark, slices):
     assert sorted(ids) == list(range(1, df.count() + 1))
 
 
-def test_next_in_sequence_equals_lead(spark):
-    df = _skewed(spark)
-    got = next_in_sequence(df, ["k"], ["t", "u"], num_slices=6)
-    w = Window.partitionBy("k").orderBy("t", "u")
-    want = (
-        df.select(
-            F.col("k").alias("k_0"), F.col("t").alias("t_0"), F.col("u").alias("u_0"),
-            F.lead("k").over(w).alias("k_1"), F.lead("t").over(w).alias("t_1"), F.lead("u").over(w).alias("u_1"),
-        ).filter(F.col("u_1").isNotNull())
-    )
-    cols = ["k_0", "t_0", "u_0", "k_1", "t_1", "u_1"]
-    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+def test_pairs_and_gaps_equal_lead(spark):
+    """A hot household, many trips on a day, and rows without a household, date or id."""
+    rnd = random.Random(11)
+    trips = [
+        (i, None if i % 97 == 0 else (0 if i % 3 == 0 else rnd.randint(1, 60)),
+         None if i % 89 == 0 else d(f"2004-{rnd.randint(1, 12):02d}-{rnd.randint(1, 28):02d}"), "R", m(1))
+        for i in range(2500)
+    ] + [(None, 1, d("2004-01-01"), "R", m(1))]
+    t = make_panel(spark, trips=trips).trips
+    got = sorted((r["tc_id_0"], r["tc_id_1"], r["time_window"]) for r in gaps.next_trip_pairs(t, 2004).collect())
+    placed = sorted((r[1], r[2], r[0]) for r in trips if None not in r[:3])
+    want = sorted((a[2], b[2], (b[1] - a[1]).days) for a, b in zip(placed, placed[1:]) if a[0] == b[0])
+    assert got == want
+    by_hh: dict = {}
+    for a, b in zip(placed, placed[1:]):
+        if a[0] == b[0]:
+            by_hh.setdefault(a[0], []).append((b[1] - a[1]).days)
+    counted: dict = {}
+    for r in gaps.household_gaps(t, 2004).collect():
+        counted.setdefault(r["hh_id"], []).extend([r["time_window"]] * r["n"])
+    assert {h: sorted(g) for h, g in counted.items()} == {h: sorted(g) for h, g in by_hh.items()}
+    avg = {r["household"]: r["days"] for r in gaps.avg_gap_per_household(t, 2004).collect()}
+    assert avg == {h: sum(g) / len(g) for h, g in by_hh.items()}
+
+
+@pytest.mark.parametrize("single,pair", [(80, 80), (50, 60), (100, 99), (0, -10), (33, 66.5)])
+def test_loyal_households_equal_all_pairs(spark, single, pair):
+    """Ties, NULL retailers, refunds (negative and zero totals)."""
+    rnd = random.Random(5)
+    trips = []
+    for i in range(1500):
+        spend = rnd.choice([10, 10, 20, 35, -5, 0, rnd.randint(1, 90)])
+        trips.append((i, rnd.randint(1, 150), d("2004-01-01"), rnd.choice(["A", "B", "C", "D", None]), m(spend)))
+    share = loyalty.retailer_share(make_panel(spark, trips=trips).trips, 12).cache()
+    got = sorted(map(tuple, loyalty.loyal_households(share, single, pair).collect()))
+    one = loyalty.loyal_single(share, single).select(F.lit("single"), "hh_id")
+    two = loyalty.loyal_pair(share, pair).select(F.lit("pair"), "hh_id")
+    assert got == sorted(map(tuple, one.union(two).distinct().collect()))
+    share.unpersist()
 
 
 def test_sequence_plan_has_no_single_partition_on_rows(spark):
@@ -196,10 +223,12 @@ def test_one_pass_share_equals_step_by_step(spark):
             at = loyalty.monthly_active_trips(panel.trips, active)
             for g, w in (
                 (got, want),
-                (loyalty.active_household_avg_spend(panel.trips, min_months, 12), loyalty.household_avg_spend(at, 12)),
+                (loyalty.active_household_avg_spend(panel.trips, min_months, 12), at.groupBy("hh_id").agg((F.sum("tc_total_spent").cast("double") / 12).alias("avg_spent"))),
                 (
                     loyalty.active_household_retailer_avg_spend(panel.trips, min_months, 12),
-                    loyalty.household_retailer_avg_spend(at, 12),
+                    at.groupBy("hh_id", "tc_retailer_code").agg(
+                        (F.sum("tc_total_spent").cast("double") / 12).alias("avg_spent_per_retailer")
+                    ),
                 ),
             ):
                 cols = w.columns
@@ -220,9 +249,8 @@ def test_one_pass_items_and_trips_equals_join(spark):
     purchases = [(1, 1, 2, m(1), 0), (1, 2, 5, m(1), 0), (4, 1, 9, m(1), 0), (5, 1, None, m(1), 0)]
     for panel, year in ((make_panel(spark, households, [], trips, purchases), 2004),
                         (panel_from_tpch(spark, SF_SMALL), P.year)):
-        want = monthly.items_vs_trips_by_month(
-            monthly.avg_items_by_month(panel.trips, panel.households, panel.purchases, year),
-            monthly.avg_trips_by_month(panel.trips, panel.households, year),
+        want = monthly.avg_trips_by_month(panel.trips, panel.households, year).join(
+            monthly.avg_items_by_month(panel.trips, panel.households, panel.purchases, year), "month"
         )
         got = monthly.monthly_items_and_trips(panel.trips, panel.households, panel.purchases, year)
         cols = ["month", "num_items", "num_trips"]
@@ -231,28 +259,45 @@ def test_one_pass_items_and_trips_equals_join(spark):
         )
 
 
-def test_large_dimension_plans_equal_broadcast_plans(spark):
-    """The plans used when the product dimension is too large to broadcast give the same
-    answers as the broadcast plans (forced with a zero row bound)."""
+def test_private_label_answers_do_not_depend_on_broadcasts(spark):
     from test_fixtures import PL_HOUSEHOLDS, PL_PRODUCTS, PL_PURCHASES, PL_TRIPS
 
     cases = [
         (make_panel(spark, PL_HOUSEHOLDS, PL_PRODUCTS, PL_TRIPS, PL_PURCHASES), 2004, "CTL BR"),
         (panel_from_tpch(spark, SF_SMALL), P.year, P.brand),
     ]
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     for panel, year, brand in cases:
-        for bound in (0, 10**9):
-            mon = private_label.monthly_private_label_spend(
-                panel.trips, panel.purchases, panel.products, year, brand, broadcast_max_rows=bound
-            )
-            bm = private_label.private_label_share_by_income_month(
-                panel.households, panel.trips, panel.purchases, panel.products, brand, broadcast_max_rows=bound
-            )
-            got = (sorted(map(tuple, mon.collect()), key=str), sorted(map(tuple, bm.collect()), key=str))
-            if bound == 0:
-                large = got
-            else:
-                assert got == large
+        answers = []
+        for limit in ("10MB", "-1"):
+            for k in keys:
+                spark.conf.set(k, limit)
+            try:
+                mon = private_label.monthly_private_label_spend(panel.trips, panel.purchases, panel.products, year, brand)
+                bm = private_label.private_label_share_by_income_month(
+                    panel.households, panel.trips, panel.purchases, panel.products, brand
+                )
+                answers.append((sorted(map(tuple, mon.collect()), key=str), sorted(map(tuple, bm.collect()), key=str)))
+            finally:
+                for k in keys:
+                    spark.conf.unset(k)
+        assert answers[0] == answers[1]
+
+
+def test_building_a_query_runs_no_job(spark):
+    """Except for the numbered trip sequences, which write a checkpoint."""
+    from tillroll.plans.catalog import NUMBERED, analyses
+
+    panel = panel_from_tpch(spark, SF_SMALL)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "build")
+    try:
+        for name, fn in analyses(P).items():
+            if name not in NUMBERED:
+                fn(panel)
+        assert not tracker.getJobIdsForGroup("build")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables not present")

@@ -60,8 +60,12 @@ def test_scans_read_only_needed_columns(spark, name, table_cols):
 
 
 def test_sequence_reads_materialised_slices(spark):
-    text = plan_text(entry.queries()["next_trip_pairs"](spark, SF_SMALL)).lower()
+    text = plan_text(entry.queries()["trip_sequence_by_household"](spark, SF_SMALL)).lower()
     # the range-partitioned, sorted slices are read back from the checkpoint
     assert "existingrdd" in text
-    # no window keyed by household over raw trips
-    assert not re.search(r"window \[.*lead", text)
+
+
+def test_loyal_households_list_no_pairs(spark):
+    """An existence test: no self-join of the shares and no expansion of pairs."""
+    text = plan_text(entry.queries()["loyal_households"](spark, SF_SMALL))
+    assert "Join" not in text and text.count("Exchange hashpartitioning") == 2

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from tillroll.functions.stats import pearson
 from tillroll.operators.chartdata import histogram
-from tillroll.operators.sequence import next_in_sequence, sequence_number
+from tillroll.operators.sequence import sequence_number
 
 SETTINGS = settings(max_examples=12, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -48,12 +48,22 @@ def test_pearson_matches_numpy(spark, xs, noise):
     keys=st.lists(st.tuples(st.integers(0, 4), st.integers(0, 6)), min_size=0, max_size=120),
     slices=st.integers(1, 9),
 )
-def test_sequence_and_pairs_match_python(spark, keys, slices):
+def test_sequence_matches_python(spark, keys, slices):
     rows = [(k, t, i) for i, (k, t) in enumerate(keys)]  # i makes the order total
     df = spark.createDataFrame(rows, "k long, t long, u long")
     ordered = sorted(rows)
     got = sorted((r["id"], r["u"]) for r in sequence_number(df, ["k", "t", "u"], "id", slices).collect())
     assert got == [(i + 1, row[2]) for i, row in enumerate(ordered)]
-    pairs = sorted((r["u_0"], r["u_1"]) for r in next_in_sequence(df, ["k"], ["t", "u"], num_slices=slices).collect())
-    want = sorted((a[2], b[2]) for a, b in zip(ordered, ordered[1:]) if a[0] == b[0])
-    assert pairs == want
+
+
+@SETTINGS
+@given(values=st.lists(st.integers(0, 100), min_size=1, max_size=80), weights=st.lists(st.integers(1, 5), min_size=80, max_size=80))
+def test_weighted_and_cut_histograms_keep_their_bins(spark, values, weights):
+    values = [0, 100] + values
+    rows = [(float(v), w) for v, w in zip(values, [1, 1, *weights])]
+    df = spark.createDataFrame(rows, "v double, w long")
+    whole = {r["bin"]: (r["lo"], r["hi"], r["n"]) for r in histogram(df, "v", 20, weight="w").collect()}
+    counts, edges = np.histogram([v for v, _ in rows], bins=20, weights=[w for _, w in rows])
+    assert {b: n for b, (_, _, n) in whole.items()} == {i: int(c) for i, c in enumerate(counts) if c}
+    cut = {r["bin"]: (r["lo"], r["hi"], r["n"]) for r in histogram(df, "v", 20, weight="w", view=(10, 40)).collect()}
+    assert cut == {b: x for b, x in whole.items() if 10 <= edges[b] <= 40}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY_SUM = "decimal(38,2)"
+FIXED = "decimal(28,12)"
 
 
 def _col(c: str | Column) -> Column:
@@ -29,6 +30,11 @@ def exact_avg(c: str | Column) -> Column:
     return ratio(F.sum(col), F.count(col))
 
 
+def fixed_avg(c: str | Column) -> Column:
+    """Mean of doubles in a fixed-point sum, so that it does not depend on the order."""
+    return exact_avg(_col(c).cast(FIXED))
+
+
 def money_sum(c: str | Column) -> Column:
     return F.sum(_col(c)).cast(MONEY_SUM)
 
@@ -44,12 +50,11 @@ def pearson(x: str | Column, y: str | Column) -> Column:
     return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 
-def corr_matrix(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long-form correlation matrix (var_x, var_y, corr) of ``columns``, computed in a
-    single aggregation pass; values rounded to ``digits`` (summation order differs
-    between engines in the last bits)."""
+    single aggregation pass."""
     pairs = list(product(columns, columns))
-    aggs = [F.round(pearson(a, b), digits).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    aggs = [pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
     wide = df.agg(*aggs)
     rows = ", ".join(f"'{a}', '{b}', c{i}" for i, (a, b) in enumerate(pairs))
     return wide.selectExpr(f"stack({len(pairs)}, {rows}) AS (var_x, var_y, corr)")

@@ -56,33 +56,42 @@ def histogram(
     column: str | Column,
     bins: int = 10,
     value_range: tuple[float, float] | None = None,
+    weight: str | Column | None = None,
+    view: tuple[float | None, float | None] = (None, None),
 ) -> DataFrame:
     """Equal-width histogram of a numeric column: (bin, lo, hi, n) for non-empty bins.
 
     The range is the column's min..max (one extra aggregation pass) unless
-    ``value_range`` is given, in which case values outside it are not counted. Counting
-    is one aggregation on the bin index, combined map-side."""
+    ``value_range`` is given, in which case values outside it are not counted. A row counts
+    ``weight`` times (once without). ``view`` cuts what is shown, not what is counted: the
+    bins keep their edges, and those that begin outside it are left out. Counting is one
+    aggregation on the bin index, combined map-side."""
     x = _col(column).cast("double")
-    data = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    w = F.lit(1).cast("long") if weight is None else _col(weight)
+    data = df.select(x.alias("_x"), w.alias("_w")).filter(F.col("_x").isNotNull())
     if value_range is None:
         data = _with_range(data, ["_x"])
     else:
         data = data.select(
-            "_x", F.lit(float(value_range[0])).alias("_x_lo"), F.lit(float(value_range[1])).alias("_x_hi")
+            "_x", "_w", F.lit(float(value_range[0])).alias("_x_lo"), F.lit(float(value_range[1])).alias("_x_hi")
         ).filter((F.col("_x") >= F.col("_x_lo")) & (F.col("_x") <= F.col("_x_hi")))
     lo, hi = F.col("_x_lo"), F.col("_x_hi")
     width = (hi - lo) / bins
     counted = (
-        data.select(_bin_index(F.col("_x"), lo, hi, bins).alias("bin"), "_x_lo", "_x_hi")
+        data.select(_bin_index(F.col("_x"), lo, hi, bins).alias("bin"), "_x_lo", "_x_hi", "_w")
         .groupBy("bin", "_x_lo", "_x_hi")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_w").alias("n"))
     )
-    return counted.select(
+    shown = counted.select(
         "bin",
         (lo + F.col("bin") * width).alias("lo"),
         F.when(hi == lo, hi).otherwise(lo + (F.col("bin") + 1) * width).alias("hi"),
         "n",
     )
+    for limit, keep in ((view[0], lambda v: F.col("lo") >= v), (view[1], lambda v: F.col("lo") <= v)):
+        if limit is not None:
+            shown = shown.filter(keep(F.lit(float(limit))))
+    return shown
 
 
 def scatter_frame(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.dates import month_of
 from tillroll.functions.stats import exact_avg, money_sum, ratio
 from tillroll.operators.profile import trips_in_year
+from tillroll.sources.layout import without_year
 from tillroll.sources.schema import ACTIVE_MONTHS, PAIR_LOYAL_SHARE, SINGLE_LOYAL_SHARE, SPEND_MONTHS
 
 SPENT = "tc_total_spent"
@@ -37,18 +38,7 @@ def monthly_active_households(trips: DataFrame, min_months: int = ACTIVE_MONTHS)
 
 def monthly_active_trips(trips: DataFrame, active: DataFrame) -> DataFrame:
     """All trips of the given households (left-semi join: trips are never duplicated)."""
-    return trips.join(active.select("hh_id"), "hh_id", "left_semi")
-
-
-def household_avg_spend(active_trips: DataFrame, months: int = SPEND_MONTHS) -> DataFrame:
-    """Total spend / ``months`` per household: (hh_id, avg_spent)."""
-    return active_trips.groupBy("hh_id").agg(ratio(F.sum(SPENT), F.lit(months)).alias("avg_spent"))
-
-
-def household_retailer_avg_spend(active_trips: DataFrame, months: int = SPEND_MONTHS) -> DataFrame:
-    return active_trips.groupBy("hh_id", RETAILER).agg(
-        ratio(F.sum(SPENT), F.lit(months)).alias("avg_spent_per_retailer")
-    )
+    return without_year(trips).join(active.select("hh_id"), "hh_id", "left_semi")
 
 
 def _shares(per: DataFrame, months: int) -> DataFrame:
@@ -110,8 +100,8 @@ def active_retailer_share(
 def active_household_avg_spend(
     trips: DataFrame, min_months: int = ACTIVE_MONTHS, months: int = SPEND_MONTHS
 ) -> DataFrame:
-    """``household_avg_spend`` of the active households, in one aggregation per household
-    (spend sum and month bits together)."""
+    """Total spend / ``months`` of each active household: (hh_id, avg_spent). One aggregation
+    per household (spend sum and month bits together)."""
     per = (
         trips.filter(F.col("hh_id").isNotNull())
         .groupBy("hh_id")
@@ -125,7 +115,7 @@ def active_household_avg_spend(
 def active_household_retailer_avg_spend(
     trips: DataFrame, min_months: int = ACTIVE_MONTHS, months: int = SPEND_MONTHS
 ) -> DataFrame:
-    """``household_retailer_avg_spend`` of the active households (see ``active_retailer_share``)."""
+    """Spend / ``months`` per active household and retailer (see ``active_retailer_share``)."""
     return active_retailer_share(trips, min_months, months).select("hh_id", RETAILER, "avg_spent_per_retailer")
 
 
@@ -147,7 +137,8 @@ def loyal_pair(share: DataFrame, threshold: float = PAIR_LOYAL_SHARE, both_order
     sorted pass over the retailers and the thresholds together (a running count). Each
     unordered pair is produced once, at its lower-ranked member, by expanding ranks
     1..min(k_i, rank_i - 1); only qualifying pairs (plus those within a rounding margin of
-    the threshold) are produced, and the exact test below decides them.
+    the threshold) are produced, and the exact test below decides them. The windows hold a
+    household's retailers (one row each). A threshold near or below 0 qualifies every pair.
     """
     s = share.filter(F.col("percentage_of_spent").isNotNull()).select(
         "hh_id",
@@ -221,11 +212,25 @@ def loyal_pair(share: DataFrame, threshold: float = PAIR_LOYAL_SHARE, both_order
     ).select("hh_id", *[f"_o.{c}" for c in cols], "avg_spent_both", "percentage_of_spent")
 
 
-def loyal_households(single: DataFrame, pair: DataFrame) -> DataFrame:
-    """Distinct loyal households by kind: (kind, hh_id), kind in {single, pair}."""
-    one = single.select(F.lit("single").alias("kind"), "hh_id")
-    two = pair.select(F.lit("pair").alias("kind"), "hh_id")
-    return one.unionByName(two).distinct()
+def loyal_households(
+    share: DataFrame, single_threshold: float = SINGLE_LOYAL_SHARE, pair_threshold: float = PAIR_LOYAL_SHARE
+) -> DataFrame:
+    """Distinct loyal households by kind: (kind, hh_id), kind in {single, pair}.
+
+    A household is loyal to a single retailer when its largest share reaches
+    ``single_threshold``, and to a pair when the two largest shares of different known
+    retailers together exceed ``pair_threshold``: one aggregation of its few share rows (one
+    per retailer it uses, already together from the share itself), no pairs."""
+    p, a = F.col("percentage_of_spent"), F.col("avg_spent_per_retailer")
+    known = F.when(F.col(RETAILER).isNotNull() & p.isNotNull(), F.struct(p.alias("p"), a.alias("a")))
+    top = F.slice(F.sort_array(F.collect_list(known), asc=False), 1, 2)
+    per = share.groupBy("hh_id").agg(F.max(p).alias("_best"), F.max("avg_spent").alias("_total"), top.alias("_top"))
+    both = F.try_divide(F.col("_top")[0]["a"] + F.col("_top")[1]["a"], F.col("_total")) * 100
+    kinds = F.array(
+        F.when(F.col("_best") >= single_threshold, F.lit("single")),
+        F.when((F.size("_top") == 2) & (both > pair_threshold), F.lit("pair")),
+    )
+    return per.select(F.explode(F.array_compact(kinds)).alias("kind"), "hh_id")
 
 
 def loyal_household_income(loyal: DataFrame, households: DataFrame) -> DataFrame:

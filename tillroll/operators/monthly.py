@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.dates import month_of
-from tillroll.functions.stats import corr_matrix, exact_avg, ratio
+from tillroll.functions.stats import corr_matrix, exact_avg, fixed_avg, ratio
 from tillroll.operators.profile import trips_in_year
 from tillroll.sources.layout import in_trip_year
 
@@ -18,33 +18,26 @@ def _known_households(df: DataFrame, households: DataFrame) -> DataFrame:
     return df.join(households.select("hh_id"), "hh_id", "left_semi")
 
 
-def avg_items_by_month(
-    trips: DataFrame, households: DataFrame, purchases: DataFrame, year: int | None, digits: int = 6
-) -> DataFrame:
-    """Per household and month, the mean quantity of a purchase line; then the mean over
-    households, per month: (month, num_items).
-
-    Purchases are reduced to (quantity sum, line count) per trip before the join with the
-    year's trips, and trips to one row per household-month before the household filter, so
-    each shuffle carries pre-aggregated rows."""
-    per_trip = (
-        in_trip_year(purchases, year)
-        .groupBy("tc_id")
-        .agg(F.sum(QTY).alias("_q"), F.count(QTY).alias("_lines"))
-    )
+def _month_lines(trips: DataFrame, purchases: DataFrame, year: int | None) -> DataFrame:
+    """Per household and month: quantity sum, line count and row count of the purchase lines.
+    Lines meet the year's trips first, so that only the year's lines are reduced."""
     t = trips_in_year(trips, year).select("tc_id", "hh_id", month_of("tc_date").alias("month"))
-    per_hm = (
-        t.join(per_trip, "tc_id")
-        .groupBy("hh_id", "month")
-        .agg(ratio(F.sum("_q"), F.sum("_lines")).alias("number"))
-    )
     return (
-        _known_households(per_hm, households)
-        .groupBy("month")
-        .agg(F.round(exact_avg("number"), digits).alias("num_items"))
+        in_trip_year(purchases, year)
+        .select("tc_id", QTY)
+        .join(t, "tc_id")
+        .groupBy("hh_id", "month")
+        .agg(F.sum(QTY).alias("_q"), F.count(QTY).alias("_lines"), F.count(F.lit(1)).alias("_rows"))
     )
 
 
+def avg_items_by_month(trips: DataFrame, households: DataFrame, purchases: DataFrame, year: int | None) -> DataFrame:
+    """Per household and month, the mean quantity of a purchase line; then the mean over
+    households, per month: (month, num_items)."""
+    per_hm = _month_lines(trips, purchases, year).withColumn("number", ratio("_q", "_lines"))
+    return _known_households(per_hm, households).groupBy("month").agg(fixed_avg("number").alias("num_items"))
+
+
 def avg_trips_by_month(trips: DataFrame, households: DataFrame, year: int | None) -> DataFrame:
     """Per household and month, the trip count; then the mean over the households that
     shopped that month: (month, num_trips)."""
@@ -57,46 +50,32 @@ def avg_trips_by_month(trips: DataFrame, households: DataFrame, year: int | None
     )
 
 
-def items_vs_trips_by_month(items: DataFrame, trips_by_month: DataFrame) -> DataFrame:
-    """(month, num_items, num_trips). Both sides hold at most one row per calendar month,
-    so the broadcast is bounded."""
-    return trips_by_month.join(F.broadcast(items), "month").select("month", "num_items", "num_trips")
-
-
 def monthly_items_and_trips(
-    trips: DataFrame, households: DataFrame, purchases: DataFrame, year: int | None, digits: int = 6
+    trips: DataFrame, households: DataFrame, purchases: DataFrame, year: int | None
 ) -> DataFrame:
-    """``items_vs_trips_by_month`` in one pass: (month, num_items, num_trips).
+    """Mean items per line and mean trips per household, by month: (month, num_items,
+    num_trips), for the months that have both.
 
-    The year's trips are left-joined to per-trip purchase aggregates, and one aggregation
-    per household-month carries both the trip count (every trip) and the line statistics
-    (trips with purchases only), so neither pipeline runs twice. A month appears when it
-    has both averages, as in the join of the two separate results."""
-    per_trip = (
-        in_trip_year(purchases, year)
-        .groupBy("tc_id")
-        .agg(F.sum(QTY).alias("_q"), F.count(QTY).alias("_lines"), F.count(F.lit(1)).alias("_rows"))
-    )
+    Trips and lines are both reduced per household and month before they meet, and the
+    households are looked up once."""
     t = trips_in_year(trips, year).select("tc_id", "hh_id", month_of("tc_date").alias("month"))
-    per_hm = (
-        t.join(per_trip, "tc_id", "left")
-        .groupBy("hh_id", "month")
-        .agg(
-            F.count("tc_id").alias("_trips"),
-            ratio(F.sum("_q"), F.sum("_lines")).alias("_items"),
-            F.sum("_rows").alias("_purchased"),
-        )
+    counted = t.groupBy("hh_id", "month").agg(F.count("tc_id").alias("_trips"))
+    nothing = F.lit(None).cast("long")
+    rows = counted.select("hh_id", "month", "_trips", nothing.alias("_q"), nothing.alias("_lines"), nothing.alias("_rows")).unionByName(
+        _month_lines(trips, purchases, year).withColumn("_trips", nothing)
+    )
+    per_hm = rows.groupBy("hh_id", "month").agg(
+        F.sum("_trips").alias("_trips"), ratio(F.sum("_q"), F.sum("_lines")).alias("_items"), F.sum("_rows").alias("_rows")
     )
-    items = F.when(F.col("_purchased") > 0, F.col("_items"))
     return (
         _known_households(per_hm, households)
         .groupBy("month")
         .agg(
-            F.round(exact_avg(items), digits).alias("num_items"),
+            fixed_avg(F.when(F.col("_rows") > 0, F.col("_items"))).alias("num_items"),
             exact_avg("_trips").alias("num_trips"),
-            F.count(F.when(F.col("_purchased") > 0, F.lit(1))).alias("_n_purchased"),
+            F.sum("_rows").alias("_rows"),
         )
-        .filter(F.col("_n_purchased") > 0)
+        .filter(F.col("_rows") > 0)
         .select("month", "num_items", "num_trips")
     )
 

@@ -10,7 +10,6 @@ from tillroll.functions.dates import month_of, year_month
 from tillroll.functions.labels import income_band, is_private_label
 from tillroll.functions.stats import exact_avg, money_sum, ratio
 from tillroll.operators.profile import trips_in_year
-from tillroll.operators.sizing import BROADCAST_MAX_ROWS, fits_broadcast
 from tillroll.sources.layout import in_trip_year
 from tillroll.sources.schema import INCOME_BANDS, PRIVATE_LABEL_BRAND
 
@@ -53,6 +52,17 @@ def product_flags(
     )
 
 
+def _with_flags(parts: DataFrame, flags: DataFrame, how: str) -> DataFrame:
+    """Sums ``_s`` and counts ``_n`` per product and group, with the private-label shares
+    ``_pls`` and ``_pln`` beside them. Only these partial sums meet the product table."""
+    pl = F.coalesce(F.col("_pl"), F.lit(False))
+    return (
+        parts.join(flags, "prod_id", how)
+        .withColumn("_pls", F.when(pl, F.col("_s")))
+        .withColumn("_pln", F.when(pl, F.col("_n")).otherwise(F.lit(0)))
+    )
+
+
 def monthly_private_label_spend(
     trips: DataFrame,
     purchases: DataFrame,
@@ -61,45 +71,19 @@ def monthly_private_label_spend(
     brand: str = PRIVATE_LABEL_BRAND,
     match: str = "equals",
     case_insensitive: bool = False,
-    broadcast_max_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
     """Per month: total spend on known products, private-label spend and private-label
     line count, in one pass. Output (month, all_prods, pl_prods, pl_lines).
 
-    Every purchase line needs its trip's month and its product's flag. When the product
-    flags fit a broadcast (checked by counting the products), the flag lookup happens
-    map-side and lines are reduced per trip before any shuffle. Otherwise lines meet the
-    year's trips first (the one shuffle of lines, pruned to the year), are reduced per
-    product and month, and only those partial sums meet the product table."""
+    Lines meet the year's trips first, so that only the year's lines go on; they are
+    reduced per product and month (combined map-side), and these partial sums meet the
+    product table. One plan for every size: which joins broadcast is left to the planner."""
     flags = product_flags(products, brand, match, case_insensitive)
     lines = in_trip_year(purchases, year).select("tc_id", "prod_id", PAID)
     t = trips_in_year(trips, year).select("tc_id", month_of("tc_date").alias("month"))
-    if fits_broadcast(products, broadcast_max_rows):
-        parts = (
-            lines.join(F.broadcast(flags), "prod_id")
-            .groupBy("tc_id")
-            .agg(
-                F.sum(PAID).alias("_all"),
-                F.sum(F.when(F.col("_pl"), F.col(PAID))).alias("_pls"),
-                F.count(F.when(F.col("_pl"), F.lit(1))).alias("_pln"),
-            )
-            .join(t, "tc_id")
-        )
-    else:
-        parts = (
-            lines.join(t, "tc_id")
-            .groupBy("prod_id", "month")
-            .agg(F.sum(PAID).alias("_s"), F.count(F.lit(1)).alias("_n"))
-            .join(flags, "prod_id")
-            .select(
-                "month",
-                F.col("_s").alias("_all"),
-                F.when(F.col("_pl"), F.col("_s")).alias("_pls"),
-                F.when(F.col("_pl"), F.col("_n")).otherwise(F.lit(0)).alias("_pln"),
-            )
-        )
-    return parts.groupBy("month").agg(
-        money_sum("_all").alias("all_prods"),
+    parts = lines.join(t, "tc_id").groupBy("prod_id", "month").agg(F.sum(PAID).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    return _with_flags(parts, flags, "inner").groupBy("month").agg(
+        money_sum("_s").alias("all_prods"),
         money_sum("_pls").alias("pl_prods"),
         F.sum("_pln").alias("pl_lines"),
     )
@@ -131,65 +115,41 @@ def private_label_share_by_income_month(
     match: str = "regex",
     bands=INCOME_BANDS,
     case_insensitive: bool = False,
-    broadcast_max_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
     """Per income band and year-month: total spend, private-label spend and their ratio,
     for the months in which the band bought private label.
     Output (band, year_month, total, private, percentage).
 
-    All bands in one pass: purchases -> (private-label flag) -> per trip -> per household
-    and year-month -> household band -> per band and year-month. Every shuffle carries
-    rows already reduced by the previous aggregation. The private-label ids are broadcast
-    when their count allows; otherwise totals and private-label sums are reduced per trip
-    separately and joined on the trip."""
-    pl_products = products.filter(is_private_label(BRAND, brand, match, case_insensitive))
-    pl_ids = pl_products.select("prod_id").distinct().withColumn("_pl", F.lit(True))
-    lines = purchases.select("tc_id", "prod_id", PAID)
-    if fits_broadcast(pl_products, broadcast_max_rows):
-        # flag lines map-side, then one reduction per trip
-        per_trip = (
-            lines.join(F.broadcast(pl_ids), "prod_id", "left")
-            .groupBy("tc_id")
-            .agg(
-                F.sum(PAID).alias("_total"),
-                F.sum(F.when(F.col("_pl"), F.col(PAID))).alias("_private"),
-                F.count(F.col("_pl")).alias("_pln"),
-            )
-        )
-    else:
-        # totals need no product at all; the private-label lines are found by a semi-join
-        # (the selective side's runtime bloom filter prunes other lines before the
-        # shuffle); both reductions are keyed by trip, so they meet without a reshuffle
-        totals = lines.groupBy("tc_id").agg(F.sum(PAID).alias("_total"))
-        private = (
-            lines.join(pl_ids.select("prod_id"), "prod_id", "left_semi")
-            .groupBy("tc_id")
-            .agg(F.sum(PAID).alias("_private"), F.count(F.lit(1)).alias("_pln"))
-        )
-        per_trip = totals.join(private, "tc_id", "left").select(
-            "tc_id", "_total", "_private", F.coalesce(F.col("_pln"), F.lit(0)).alias("_pln")
-        )
-    t = trips.filter(F.col("tc_date").isNotNull()).select(
-        "tc_id", "hh_id", year_month("tc_date").alias("year_month")
-    )
-    per_hh_month = (
-        per_trip.join(t, "tc_id")
-        .groupBy("hh_id", "year_month")
-        .agg(F.sum("_total").alias("_total"), F.sum("_private").alias("_private"), F.sum("_pln").alias("_pln"))
+    All bands in one pass: the narrow trips get their household's band before they meet the
+    purchase lines; lines are then reduced per product, band and year-month (combined
+    map-side) and only these partial sums meet the private-label product ids."""
+    pl_ids = (
+        products.filter(is_private_label(BRAND, brand, match, case_insensitive))
+        .select("prod_id")
+        .distinct()
+        .withColumn("_pl", F.lit(True))
     )
     banded = (
         households.select("hh_id", income_band("hh_income", bands).alias("band"))
         .filter(F.col("band").isNotNull())
         .distinct()
     )
+    t = (
+        trips.filter(F.col("tc_date").isNotNull())
+        .select("tc_id", "hh_id", year_month("tc_date").alias("year_month"))
+        .join(banded, "hh_id")
+        .select("tc_id", "band", "year_month")
+    )
+    parts = (
+        purchases.select("tc_id", "prod_id", PAID)
+        .join(t, "tc_id")
+        .groupBy("prod_id", "band", "year_month")
+        .agg(F.sum(PAID).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    )
     return (
-        per_hh_month.join(banded, "hh_id")
+        _with_flags(parts, pl_ids, "left")
         .groupBy("band", "year_month")
-        .agg(
-            money_sum("_total").alias("total"),
-            money_sum("_private").alias("private"),
-            F.sum("_pln").alias("_pln"),
-        )
+        .agg(money_sum("_s").alias("total"), money_sum("_pls").alias("private"), F.sum("_pln").alias("_pln"))
         .filter(F.col("_pln") > 0)
         .select("band", "year_month", "total", "private", ratio("private", "total").alias("percentage"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.dates import in_year
-from tillroll.sources.layout import in_trip_year
+from tillroll.sources.layout import in_trip_year, without_year
 
 
 def trips_in_year(trips: DataFrame, year: int | None) -> DataFrame:
@@ -14,7 +14,7 @@ def trips_in_year(trips: DataFrame, year: int | None) -> DataFrame:
     the Parquet scan as pushed filters; on the year-partitioned layout the partition
     column also prunes whole folders."""
     if year is None:
-        return trips
+        return without_year(trips)
     return in_trip_year(trips, year).filter(in_year("tc_date", year))
 
 

@@ -1,9 +1,7 @@
-"""Global sequence numbers and next-row pairing without a single-task sort.
+"""Global sequence numbers without a single-task sort.
 
-``ROW_NUMBER() OVER (ORDER BY ...)`` with no partition sends the whole table to one task,
-and ``lead() OVER (PARTITION BY key ...)`` sends each key's rows to one task, so a hot key
-(one household with a third of the trips) becomes one task. Both are built here from
-range partitioning instead:
+``ROW_NUMBER() OVER (ORDER BY ...)`` with no partition sends the whole table to one task.
+It is built here from range partitioning instead:
 
 1. ``repartitionByRange(n, order)`` + ``sortWithinPartitions(order)``: n balanced,
    contiguous, sorted slices (the range bounds come from a sample of the keys, and the
@@ -63,40 +61,3 @@ def sequence_number(
         .withColumn(id_col, (F.col(_OFF) + local + 1).cast("long"))
         .drop(_PART, _POS, _OFF)
     )
-
-
-def next_in_sequence(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    carry: list[str] | None = None,
-    num_slices: int | None = None,
-) -> DataFrame:
-    """Pair every row with the next row of the same key (in ``order``).
-
-    Output: each column ``c`` of keys + order + carry as ``c_0`` (this row) and ``c_1``
-    (the next row). Rows without a successor in their key are not emitted. Equivalent to
-    ``lead(...) OVER (PARTITION BY keys ORDER BY order)`` restricted to non-NULL leads,
-    but the work is spread by sequence number, not by key.
-
-    Number the rows globally in (keys, order); every row is then sent to two slots, as
-    "this" to slot id and as "next" to slot id - 1, and one aggregation per slot joins the
-    two. Rows i and i + 1 almost always sit in the same range slice, so the map-side
-    partial aggregation already completes the pair and the shuffle carries about one row
-    per pair, whatever the key skew. Fixed-width columns keep the hash aggregation.
-    """
-    cols = list(dict.fromkeys([*keys, *order, *(carry or [])]))
-    numbered = sequence_number(df.select(*cols), [*keys, *order], "_pair_id", num_slices)
-    slot = F.explode(
-        F.array(
-            F.struct(F.col("_pair_id").alias("_slot"), F.lit(0).alias("_role")),
-            F.struct((F.col("_pair_id") - 1).alias("_slot"), F.lit(1).alias("_role")),
-        )
-    ).alias("_s")
-    sent = numbered.select(slot, *cols).select("_s._slot", "_s._role", *cols)
-    aggs = [F.max(F.when(F.col("_role") == r, F.lit(1))).alias(f"_has_{r}") for r in (0, 1)]
-    aggs += [F.max(F.when(F.col("_role") == r, F.col(c))).alias(f"{c}_{r}") for r in (0, 1) for c in cols]
-    pairs = sent.groupBy("_slot").agg(*aggs).filter((F.col("_has_0") == 1) & (F.col("_has_1") == 1))
-    for k in keys:
-        pairs = pairs.filter(F.col(f"{k}_0") == F.col(f"{k}_1"))
-    return pairs.select(*[f"{c}_0" for c in cols], *[f"{c}_1" for c in cols])

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.operators import chartdata as chart
 from tillroll.operators import gaps, loyalty, monthly, private_label, profile
 from tillroll.operators.sampling import sample_panel
+from tillroll.sources.layout import without_year
 from tillroll.sources.panel import Panel, panel_from_tpch
 from tillroll.sources.schema import (
     ACTIVE_MONTHS,
@@ -37,6 +39,8 @@ class Params:
     brand: str = PRIVATE_LABEL_BRAND
     gap_months: int = INACTIVE_MONTHS
     gap_bins: int = 500
+    gap_view: float = 16
+    global_gap_days: int = INACTIVE_MONTHS * 30
     share_bins: int = 10
     scatter_bins: tuple[int, int] = (50, 50)
     top_groups: int = 5
@@ -47,8 +51,15 @@ STUDY = Params()
 
 # Parameters for the driver's tables: their data spans 1995-2001, only two customers shop
 # in all twelve months and no single-retailer share reaches 80 %, so the year, the
-# active-month and the single-loyalty thresholds are moved to give non-empty answers.
-P = Params(year=1998, min_months=8, single_threshold=50, brand="Brand#1")
+# active-month, single-loyalty and global-gap thresholds are moved to give non-empty answers.
+P = Params(year=1998, min_months=8, single_threshold=50, brand="Brand#1", global_gap_days=1)
+
+# Views whose numbering writes a checkpoint when the query is built.
+NUMBERED = ("trip_sequence_by_date", "trip_sequence_by_household")
+
+# Digits kept when a correlation is compared with another engine's: the summation order of
+# doubles differs in the last bits.
+CORR_DIGITS = 6
 
 PanelQuery = Callable[[Panel], DataFrame]
 
@@ -74,11 +85,19 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
         return loyalty.loyal_pair(share(p), q.pair_threshold)
 
     def loyal(p: Panel) -> DataFrame:
-        return loyalty.loyal_households(single(p), pair(p))
+        return loyalty.loyal_households(share(p), q.single_threshold, q.pair_threshold)
 
     def pairs(p: Panel) -> DataFrame:
         return gaps.next_trip_pairs(p.trips, q.year)
 
+    def household_gaps(p: Panel) -> DataFrame:
+        return gaps.household_gaps(p.trips, q.year)
+
+    def gap_histogram(p: Panel, **options) -> DataFrame:
+        # a household's few gaps are added up first: as many rows as there are different gaps
+        counted = household_gaps(p).groupBy("time_window").agg(F.sum("n").alias("n"))
+        return chart.histogram(counted, "time_window", q.gap_bins, weight="n", **options)
+
     def items(p: Panel) -> DataFrame:
         return monthly.avg_items_by_month(p.trips, p.households, p.purchases, q.year)
 
@@ -103,9 +122,9 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
         # ---- ingest ----
         "panel_households": lambda p: p.households,
         "panel_products": lambda p: p.products,
-        "panel_trips": lambda p: p.trips,
-        "panel_purchases": lambda p: p.purchases,
-        "sample_by_keys": lambda p: sample_panel(p, active(p)).purchases,
+        "panel_trips": lambda p: without_year(p.trips),
+        "panel_purchases": lambda p: without_year(p.purchases),
+        "sample_by_keys": lambda p: without_year(sample_panel(p, active(p)).purchases),
         # ---- profile ----
         "trips_in_year": lambda p: profile.trips_in_year(p.trips, q.year),
         "trip_count": lambda p: profile.trip_count(p.trips, q.year),
@@ -120,9 +139,9 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
         "trip_sequence_by_date": lambda p: gaps.trip_sequence(p.trips, q.year, by="date"),
         "trip_sequence_by_household": lambda p: gaps.trip_sequence(p.trips, q.year, by="household"),
         "next_trip_pairs": pairs,
-        "inactive_gap_count": lambda p: gaps.inactive_gap_count(pairs(p), q.gap_months),
-        "global_gap_count": lambda p: gaps.global_gap_count(p.trips, q.year, q.gap_months),
-        "avg_gap_per_household": lambda p: gaps.avg_gap_per_household(pairs(p)),
+        "inactive_gap_count": lambda p: gaps.inactive_gap_count(household_gaps(p), q.gap_months),
+        "global_gap_count": lambda p: gaps.global_gap_count(p.trips, q.year, q.global_gap_days),
+        "avg_gap_per_household": lambda p: gaps.avg_gap_per_household(p.trips, q.year),
         # ---- loyalty ----
         "monthly_active_households": active,
         "monthly_active_trips": active_trips,
@@ -178,7 +197,8 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
         ),
         "line_items_by_month": lambda p: chart.line_frame(items(p), "month", "num_items"),
         "line_trips_by_month": lambda p: chart.line_frame(trips_by_month(p), "month", "num_trips"),
-        "gap_histogram": lambda p: chart.histogram(pairs(p), "time_window", q.gap_bins),
+        "gap_histogram": gap_histogram,
+        "gap_histogram_view": lambda p: gap_histogram(p, view=(None, q.gap_view)),
         "income_share_histogram": lambda p: chart.histogram(band_months(p), "percentage", q.share_bins),
         "scatter_items_trips": lambda p: chart.scatter_frame(ivt(p), "num_items", "num_trips"),
         "scatter_price_quantity": lambda p: chart.scatter_frame(
@@ -188,13 +208,14 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
     return out
 
 
-def register_views(panel: Panel, params: Params = STUDY, prefix: str = "") -> list[str]:
-    """Register the panel tables and every analysis as temporary views, so the whole
-    catalog can be queried with ``spark.sql`` (views stay lazy: a query over one runs only
-    the plan it needs)."""
+def register_views(panel: Panel, params: Params = STUDY, prefix: str = "", numbered: bool = False) -> list[str]:
+    """Register the panel tables and the analyses as temporary views, so the catalog can be
+    queried with ``spark.sql``. Views are lazy: registering runs no job, and a query over one
+    runs only the plan it needs. The numbered trip sequences, which write a checkpoint when
+    they are built, are registered with ``numbered`` only."""
     names = panel.register_views(prefix)
     for name, fn in analyses(params).items():
-        if not name.startswith("panel_"):
+        if not name.startswith("panel_") and (numbered or name not in NUMBERED):
             fn(panel).createOrReplaceTempView(prefix + name)
             names.append(prefix + name)
     return names
@@ -207,7 +228,9 @@ def panel_queries(params: Params = P) -> dict[str, PanelQuery]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The catalog with the driver-table parameters, each entry taking (spark, sf_dir)."""
 
-    def bind(fn: PanelQuery) -> Callable[[SparkSession, str], DataFrame]:
+    def bind(name: str, fn: PanelQuery) -> Callable[[SparkSession, str], DataFrame]:
+        if name.endswith("_corr"):
+            return lambda spark, sf_dir: fn(panel_from_tpch(spark, sf_dir)).withColumn("corr", F.round("corr", CORR_DIGITS))
         return lambda spark, sf_dir: fn(panel_from_tpch(spark, sf_dir))
 
-    return {name: bind(fn) for name, fn in analyses(P).items()}
+    return {name: bind(name, fn) for name, fn in analyses(P).items()}

@@ -87,7 +87,7 @@ _cte("pairs", ["trips_y"], """
 
 # ---- monthly ----
 _cte("items", ["trips_y", "households", "purchases"], """
-  SELECT month, ROUND(CAST(SUM(number) AS DOUBLE) / NULLIF(COUNT(number), 0), 6) AS num_items
+  SELECT month, CAST(SUM(CAST(number AS DECIMAL(28,12))) AS DOUBLE) / NULLIF(COUNT(number), 0) AS num_items
   FROM (SELECT t.hh_id, CAST(month(t.tc_date) AS INTEGER) AS month,
                CAST(SUM(p.quantity_at_tc_prod_id) AS DOUBLE) / NULLIF(COUNT(p.quantity_at_tc_prod_id), 0) AS number
         FROM trips_y t JOIN households h ON t.hh_id = h.hh_id JOIN purchases p ON t.tc_id = p.tc_id
@@ -257,9 +257,10 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
     ),
     "global_gap_count": (
         ["trips_y"],
-        f"""SELECT COUNT(*) FILTER (WHERE gap > {GAP_DAYS}) AS gaps
-  FROM (SELECT date_diff('day', tc_date, lead(tc_date) OVER (ORDER BY tc_date)) AS gap
-        FROM (SELECT DISTINCT tc_date FROM trips_y WHERE tc_date IS NOT NULL) d) g""",
+        f"""SELECT COUNT(*) AS gaps
+  FROM (SELECT tc_date, row_number() OVER (ORDER BY tc_date) AS id FROM trips_y WHERE tc_date IS NOT NULL) a
+  JOIN (SELECT tc_date, row_number() OVER (ORDER BY tc_date) AS id FROM trips_y WHERE tc_date IS NOT NULL) b ON b.id = a.id + 1
+  WHERE date_diff('day', a.tc_date, b.tc_date) > {P.global_gap_days}""",
     ),
     "avg_gap_per_household": (
         ["pairs"],
@@ -347,6 +348,10 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
     "line_items_by_month": (["items"], "SELECT month AS x, num_items AS y FROM items"),
     "line_trips_by_month": (["trips_m"], "SELECT month AS x, num_trips AS y FROM trips_m"),
     "gap_histogram": (["pairs"], _histogram("pairs", "time_window", P.gap_bins)),
+    "gap_histogram_view": (
+        ["pairs"],
+        f"SELECT * FROM ({_histogram('pairs', 'time_window', P.gap_bins)}) v WHERE lo <= {P.gap_view}",
+    ),
     "income_share_histogram": (["bandmonth"], _histogram("bandmonth", "percentage", P.share_bins)),
     "scatter_items_trips": (
         ["ivt"],
