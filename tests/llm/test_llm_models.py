@@ -1,0 +1,120 @@
+"""Language identification and toxicity: held-out accuracy and defined results."""
+
+from __future__ import annotations
+
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from llm_rows import EDGE, awkward
+from tillroll.llm import language_id, toxicity
+from tillroll.llm.queries import op5_language_id, op10_toxicity
+
+SF = "/root/testdata/sf0.01"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+
+
+@needs_tables
+def test_language_accuracy_on_the_held_out_fold(spark):
+    rows = op5_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert held and np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_edges(spark):
+    fit = [(i, "the and of that with this have", "en") for i in range(40)] + [(100 + i, "der und die das mit nicht ein", "de") for i in range(40)]
+    docs = spark.createDataFrame(fit + [(200, None, "de"), (201, "xx", None), (None, "zz", "fr")], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.langs == ["de", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(awkward(spark, EDGE + [(50, "und das mit der"), (51, "123 !!"), (52, "THAT AND THE")]), model).collect()}
+    assert got[1] == got[2] == got[6] == got[51] == "und"
+    assert (got[50], got[52]) == ("de", "en")
+    empty = docs.limit(0)
+    assert language_id.predict(awkward(spark, [(1, "some text")]), language_id.fit(empty)).first()["lang_pred"] == "und"
+    assert language_id.predict(empty, model).count() == 0
+
+
+def test_language_scores_are_naive_bayes():
+    """The gathered sums equal the textbook formula, long texts (dense) included."""
+    rnd = np.random.default_rng(1)
+    log_p = np.log(rnd.dirichlet(np.ones(language_id.BUCKETS), 3))
+    model = language_id.Model(["a", "b", "c"], log_p, np.log(np.array([0.2, 0.3, 0.5])))
+    for text in ("abc", "Some longer text. " * 20, "many different letters " * 8000):
+        at = language_id.ngrams(text)
+        s = np.array([sum(log_p[i][at]) for i in range(3)]) + model.prior
+        assert model.predict(text)[0] == model.langs[int(np.argmax(s))]
+        assert model.predict(text)[1] == pytest.approx(1 / np.exp(s - s.max()).sum(), rel=1e-6)
+
+
+def test_label_model_recovers_accuracies():
+    """Votes drawn from a known model, two voters of which copy each other."""
+    rnd = np.random.default_rng(7)
+    y = rnd.random(6000) < 0.2
+    says = lambda hit, false: np.where(y, rnd.random(6000) < hit, rnd.random(6000) < false)
+    first = says(0.6, 0.01)
+    votes = np.stack([np.where(rnd.random(6000) < 0.005, ~y, y), first, np.where(rnd.random(6000) < 0.95, first, ~first), says(0.5, 0.02)], axis=1).astype(int)
+    patterns, n = np.unique(votes, axis=0, return_counts=True)
+    post, acc, tree = toxicity.label_model(patterns, n.astype(float), 0, 0.2)
+    assert acc[1, 1] == pytest.approx(0.6, abs=0.05) and acc[3, 1] == pytest.approx(0.5, abs=0.05)
+    assert acc[1, 0] == pytest.approx(0.99, abs=0.01)
+    assert tree[2] == 1 or tree[1] == 2  # the copying voter hangs on the copied one
+    by = {tuple(p): q for p, q in zip(patterns.tolist(), post)}
+    guess = np.array([by[tuple(v)] for v in votes.tolist()]) > 0.5
+    assert (guess == y).mean() > 0.98
+
+
+def toxic_tables(spark, n: int = 600):
+    rnd = np.random.default_rng(3)
+    words = ["lorem", "ipsum", "dolor", "amet", "sit", "elit", "sed", "magna", "quis", "nostrud"]
+    docs, labels = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        text = list(rnd.choice(words, 30))
+        if bad:
+            for w in rnd.choice(["nastyword", "vileness", "grufftes", "gruffling"], 2):
+                text[rnd.integers(30)] = str(w)
+        docs.append((i, " ".join(text)))
+        if i % 3:
+            labels.append((i, 1, int(bad)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_learns_and_scores(spark):
+    docs, labels = toxic_tables(spark)
+    model = toxicity.fit(docs, labels)
+    out = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert all(out[i]["predicted"] == int(i % 4 == 0) for i in range(600))
+    assert model.score("a nastyword and vileness") > 0.9 > 0.5 > model.score("lorem ipsum")
+    assert model.score("two grufflorum gruffadun") > 0.5  # unseen forms with a known beginning
+    kept = toxicity.drop_toxic(docs.withColumn("score", F.lit("x")), model)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(600) if i % 4]
+    assert kept.columns == ["doc_id", "text", "score"]
+
+
+def test_toxicity_does_not_learn_from_the_held_out_fold(spark):
+    docs, labels = toxic_tables(spark)
+    wrong = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.fit(docs, labels) == toxicity.fit(docs, wrong)
+
+
+def test_toxicity_edges(spark):
+    docs, labels = toxic_tables(spark, 40)
+    for none in (labels.limit(0), labels.withColumn("toxic", F.lit(None).cast("int")), labels.withColumn("toxic", F.lit(0))):
+        model = toxicity.fit(docs, none)
+        got = toxicity.score(awkward(spark, EDGE), model).collect()
+        assert len(got) == len(EDGE) and all(0 <= r["score"] < 0.5 and r["predicted"] == 0 for r in got)
+        assert toxicity.drop_toxic(awkward(spark, EDGE), model).count() == len(EDGE)
+    assert toxicity.score(awkward(spark, []), toxicity.Model()).count() == 0
+
+
+@needs_tables
+def test_toxicity_on_the_held_out_fold(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables not present")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    held = [(r["toxic"], r["predicted"]) for r in op10_toxicity(spark, sf).join(labels, "doc_id").collect() if r["held_out"]]
+    assert np.mean([p for t, p in held if t]) > 0.8 and np.mean([p for t, p in held if not t]) < 0.02
