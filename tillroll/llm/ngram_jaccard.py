@@ -2,20 +2,19 @@
 
 Sets are collapsed to classes of equal sets first. A set of a size class is cut into parts
 by position, i.e. by intervals of its tokens' hash order, so that sets similar enough must
-share whole parts; the index has one list per part value.
-
-* Skipping in the index: a list with a single set, and every set that is left with too few
-  shared parts, is skipped whole. What remains is indexed again in finer parts, of which
-  similar sets share more than half, rarest first, so that only a short head of each set's
-  parts is indexed, and a pair is skipped when the parts behind the positions at which it
-  meets can no longer suffice.
-* Answers from similar sets: of each list, every set is first compared with one leader
-  only. Sets that are similar to the same set have the same component: their mutual
-  answers follow from the leader's and are skipped. Only pairs of sets whose components
-  differ after that are compared.
-
-The parts prune; every link is decided by the full sets. Work in the hot lists is linear
-as long as their sets are similar to few leaders.
+share whole parts; the first index has one list per part value.
+
+* Skipping in the index: a list with a single set, and every set that has no part in common
+  with another one, is skipped whole. The sets that remain are indexed by their tokens,
+  rarest first, in lists ordered by position: only a short head of each set is indexed, a
+  set with too many tokens of its own is skipped, and a pair is skipped when the tokens
+  behind the positions at which it meets can no longer suffice.
+* Answers from similar sets: every set is first compared with one leader of its lists only.
+  Sets that are similar to the same set have the same component: their mutual answers
+  follow from the leader's and are skipped. Only pairs of sets whose components differ
+  after that are compared.
+
+The lists prune; every link is decided by the full sets.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import checkpointed, id_and_text, use_package
+from tillroll.llm.common import checkpointed, id_and_text, release, use_package
 from tillroll.llm.components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -82,19 +81,20 @@ class Scheme:
             k -= 1
         return out
 
-    def keys(self, tokens: np.ndarray, finer: int) -> list[tuple[int, int, np.ndarray]]:
-        """(scheme, differ, hash of each part) with differ + 1 parts, or finer * (differ + 1)."""
-        out = []
+    def keys(self, tokens: np.ndarray) -> list[np.ndarray]:
+        """The hashes of the parts of a set, for each scheme that it is indexed under. A
+        scheme has one part more than tokens may differ, so one at least is shared."""
+        out: list[np.ndarray] = []
         if not len(tokens):
             return out
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens), dtype=np.uint64)])
         for k, differ in self.of(len(tokens)):
-            m = finer * (differ + 1)
+            m = differ + 1
             cuts = ((np.arange(1, m, dtype=np.float64) / m) * 2.0**64).astype(np.uint64)
             at = np.concatenate([[0], np.searchsorted(tokens, cuts), [len(tokens)]])
             part = sums[at[1:]] - sums[at[:-1]]
-            salt = np.uint64((k * 1_000_003 + finer) & 0xFFFFFFFF) << np.uint64(32)
-            out.append((k, differ, mixed(mixed(part) + salt + np.arange(m, dtype=np.uint64))))
+            salt = np.uint64(k + 1) << np.uint64(32)
+            out.append(mixed(mixed(part) + salt + np.arange(m, dtype=np.uint64)))
         return out
 
 
@@ -102,14 +102,8 @@ def _class_of(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Keys of lists with two different sets at least, and the number of their sets (rows
-    hold (key, cls) once per set)."""
-    return rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-
-
 def jaccard_components(
-    docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of ``docs``.
 
@@ -132,7 +126,7 @@ def jaccard_components(
                 tokens = shingle_set(text, words)
                 n.append(len(tokens))
                 cls.append(_class_of(tokens))
-                parts = [x[2] for x in scheme.keys(tokens, 1)]
+                parts = scheme.keys(tokens)
                 keys.append(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -146,66 +140,68 @@ def jaccard_components(
     made = checkpointed(texts.mapInArrow(sets, "doc_id long, n long, cls binary, h long, keys array<long>"))
     classes = checkpointed(made.where("n > 0").groupBy("cls", "h").agg(F.min("doc_id").alias("rep")))
 
-    # coarse parts: which sets share a part with a different set at all
+    # coarse parts: which sets share a part with another row at all
     coarse = made.select(F.explode("keys").alias("key"), "h")
-    several = coarse.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
-    near = coarse.join(several, "key", "left_semi").select("h").distinct()
+    several = coarse.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    near = checkpointed(coarse.join(several, "key", "left_semi").select("h").distinct())
+    del coarse, several
+    release(docs.sparkSession)
     wanted = classes.join(near, "h", "left_semi").select(F.col("rep").alias("doc_id"), "cls")
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[] for _ in range(4)]
+            rows = []
             for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 tokens = shingle_set(text, words)
                 if _class_of(tokens) == cls:
-                    fine = [{"scheme": k, "differ": d, "keys": x.view(np.int64)} for k, d, x in scheme.keys(tokens, 2)]
-                    for col, v in zip(rows, (cls, len(tokens), tokens.view(np.int64), fine), strict=True):
-                        col.append(v)
-            parts = pa.list_(pa.struct([("scheme", pa.int32()), ("differ", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+                    rows.append((cls, len(tokens), tokens.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], parts)],
-                names=["cls", "n", "tokens", "fine"],
+                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
+                names=["cls", "n", "tokens"],
             )
 
-    schema = "cls binary, n long, tokens array<long>, fine array<struct<scheme:int,differ:int,keys:array<long>>>"
     by_null = F.coalesce("doc_id", F.lit(-(2**63)))
     full = checkpointed(
         texts.withColumn("id", by_null)
         .join(wanted.select(by_null.alias("id"), "cls"), "id")
         .select("cls", "text")
-        .mapInArrow(tokens_of, schema)
-        .dropDuplicates(["cls"])
+        .mapInArrow(tokens_of, "cls binary, n long, tokens array<long>")
     )
-
-    # finer parts, of which a pair shares differ + 2 of 2 * differ + 2 at least
-    fine = full.select("cls", "n", F.explode("fine").alias("p")).select("cls", "n", "p.scheme", "p.differ", F.explode("p.keys").alias("key"))
-    listed = (
-        fine.join(_shared(fine), "key")
-        .groupBy("cls", "n", "scheme", "differ")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("parts"))
+    del near, wanted
+    release(docs.sparkSession)
+
+    # token lists: of each set the shared tokens, rarest first, and of these only the head
+    # in which a similar set must meet it
+    tokens = full.select("cls", "n", F.explode("tokens").alias("key"))
+    shared = tokens.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    least = F.ceil(F.col("n") * num / F.lit(den))
+    listed = checkpointed(
+        tokens.join(shared, "key")
+        .groupBy("cls", "n")
+        .agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("parts"))
         .withColumn("left", F.size("parts"))
-        .where("left >= differ + 2")
-        .select("cls", "n", "differ", "left", F.posexplode(F.slice("parts", F.lit(1), F.col("left") - F.col("differ") - 1)).alias("pos", "part"))
-        .select("cls", "n", "differ", "left", "pos", F.col("part.key").alias("key"))
+        .where(F.col("left") >= least)
+        .select("cls", "n", "left", F.posexplode(F.slice("parts", F.lit(1), (F.col("left") - least + 1).cast("int"))).alias("pos", "part"))
+        .select("cls", "n", "left", "pos", F.col("part.key").alias("key"))
     )
-    listed = checkpointed(listed)
-
-    tokens = full.select("cls", "n", "tokens")
+    del tokens, shared
+    release(docs.sparkSession)
 
     def links(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar."""
-        one = pairs.join(tokens.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
-        two = one.join(tokens.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
+        one = pairs.join(full.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")), "a")
+        two = one.join(full.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b")
         both = F.size(F.array_intersect("ta", "tb"))
-        return two.where(both * den >= (F.col("na") + F.col("nb") - both) * num).select("a", "b")
-
-    # every set against the leader of each of its lists: the one with the most shared parts
-    leader = listed.groupBy("key").agg(F.max(F.struct("left", "cls")).alias("l"), F.count("*").alias("sets")).where("sets > 1")
-    star = (
-        listed.join(leader.select("key", F.col("l.cls").alias("a")), "key")
-        .select("a", F.col("cls").alias("b"))
-        .where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return two.where(both * den >= (F.col("na") + F.col("nb") - both) * num).select("a", "b").distinct()
+
+    # every set against one leader: of the leaders of its lists, the one that shares most
+    leader = listed.groupBy("key").agg(F.max(F.struct("left", "cls")).alias("l"))
+    star = checkpointed(
+        listed.join(leader, "key")
+        .where("cls <> l.cls")
+        .groupBy("cls")
+        .agg(F.max("l").alias("l"))
+        .select(F.least("cls", "l.cls").alias("a"), F.greatest("cls", "l.cls").alias("b"))
         .distinct()
     )
     first = checkpointed(links(star))
@@ -215,6 +211,7 @@ def jaccard_components(
     known = checkpointed(
         listed.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     )
+    release(docs.sparkSession)
     mixed_lists = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     left = known.join(mixed_lists, "key", "left_semi")
     x, y = left.alias("x"), left.alias("y")
@@ -226,7 +223,7 @@ def jaccard_components(
             & (F.col("x.cls") < F.col("y.cls"))
             & (F.col("x.root") != F.col("y.root"))
             & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-            & (ahead >= F.col("x.differ") + 2),
+            & (ahead * (num + den) >= (F.col("x.n") + F.col("y.n")) * num),
         )
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
         .distinct()
