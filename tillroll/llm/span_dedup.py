@@ -21,14 +21,16 @@ from tillroll.llm.common import use_package
 RUN = 2  # sentences in a span
 LEAST_WORDS = 4  # words of a sentence; shorter ones are joined with what follows
 
-_END = re.compile(r"(?<=[.!?])\s+|\n\s*")
+_END = re.compile(r"(?<=[.!?,;:])\s+|\n\s*")
 _LAST_ID = 2**63 - 1  # stands for a null id
 
 
 def sentences(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, str]]:
     """(start, end, normalised text) of each sentence, in order and without gaps. A sentence
-    ends behind ., ! or ? and white space, or a line break; normalised: lower case, single
-    spaces. One with fewer than ``least_words`` words takes in the following ones."""
+    ends behind one of . ! ? , ; : and white space, or at a line break: clauses count as
+    sentences, so that a passage put into the middle of a sentence is found but for its
+    edges. Normalised: lower case, single spaces. One with fewer than ``least_words`` words
+    takes in the following ones."""
     out = []
     start = at = 0
     held: list[str] = []
