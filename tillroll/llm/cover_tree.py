@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import checkpointed, use_package
 
-LEAF = 48  # rows of a node that is not divided further
+LEAF = 256  # rows of a node that is not divided further
+MOST_CHILDREN = 64  # a node whose cover would need more is not divided either
+CHUNK = 2048  # rows compared at once
 EXACT = 2.0**53  # sums of this size are exact in doubles
 
 
@@ -43,7 +45,8 @@ def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, centre: int | None
 
     The children of a node have centres more than half its radius apart (separation), one
     of them the node's own centre (nesting), and each row lies within half the radius of
-    its child's centre (covering). Equal rows end in a leaf of radius 0."""
+    its child's centre (covering). Equal rows end in a leaf of radius 0. Rows that half the
+    radius doesn't tell apart into a few groups, as in many dimensions, stay in one leaf."""
     rows = np.arange(len(x)) if rows is None else rows
     top = rows[0] if centre is None else centre
     d = np.sqrt(((x[rows] - x[top]) ** 2).sum(axis=1))
@@ -55,16 +58,17 @@ def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, centre: int | None
             continue
         half = node.radius / 2
         left, near, c = node.rows, d, own
-        while len(left):
+        below = []
+        while len(left) and len(below) <= MOST_CHILDREN:
             inside = near <= half
-            members = left[inside]
-            child = Node(x[c], float(near[inside].max(initial=0.0)), members, [])
-            node.children.append(child)
-            stack.append((child, c, near[inside]))
+            below.append((Node(x[c], float(near[inside].max(initial=0.0)), left[inside], []), c, near[inside]))
             left = left[~inside]
             if len(left):
                 c = left[0]
                 near = np.sqrt(((x[left] - x[c]) ** 2).sum(axis=1))
+        if not len(left):
+            node.children = [child for child, _, _ in below]
+            stack += below
     return root
 
 
@@ -97,6 +101,10 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, p: np.ndar
         rows = b.rows
         if b.radius == 0.0 and len(rows) > k + 1:  # equal rows: the smallest ids win
             rows = rows[np.argsort(p_ids[rows], kind="stable")[: k + 1]]
+        for at in range(0, len(rows), CHUNK):
+            take(a, rows[at : at + CHUNK])
+
+    def take(a: Node, rows: np.ndarray) -> None:
         scores = _products(q[a.rows], p[rows])
         for i, r in enumerate(a.rows.tolist()):
             s = scores[i]
@@ -158,7 +166,7 @@ def whole_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: float) -
 
 
 def _matrix(vecs: pd.Series | list[bytes], dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vecs), "<f8").reshape(-1, dims) if len(vecs) else np.zeros((0, dims))
+    return np.frombuffer(b"".join(vecs), "<f8").reshape(len(vecs), dims)
 
 
 def top_k(
