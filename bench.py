@@ -1,8 +1,9 @@
 """Benchmark the headline analyses.
 
 Runs each query of ``HEADLINE`` on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
-``local[$BENCH_CPUS]``: one warm-up, then the median of ``$BENCH_REPEATS`` (default 5)
-timed runs. Each run executes the whole plan into Spark's no-op sink (nothing is
+``local[$BENCH_CPUS]``: a warm-up pass over all of them, so that the first queries do not
+pay for compiling what they share, then the median of ``$BENCH_REPEATS`` (default 5) timed
+runs of each. Each run executes the whole plan into Spark's no-op sink (nothing is
 collected). Prints one JSON line:
 {"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}
 Set BENCH_ALL=1 to time every catalog query instead of the headline set. The line also
@@ -79,14 +80,16 @@ def main() -> None:
     catalog = queries()
     names = list(catalog) if os.environ.get("BENCH_ALL") else HEADLINE
     timings: dict[str, float] = {}
+
+    def run(name: str) -> float:
+        t0 = time.perf_counter()
+        catalog[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+
+    for name in names:  # warm-up pass
+        run(name)
     for name in names:
-        runs = []
-        for i in range(repeats + 1):
-            t0 = time.perf_counter()
-            catalog[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            if i:  # first run is the warm-up
-                runs.append(time.perf_counter() - t0)
-        timings[name] = round(statistics.median(runs), 4)
+        timings[name] = round(statistics.median(run(name) for _ in range(repeats)), 4)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_total_median_sec" if not os.environ.get("BENCH_ALL") else "all_total_median_sec",

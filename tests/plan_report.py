@@ -15,7 +15,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
+from tillroll.plans import catalog  # noqa: E402
 from tillroll.plans.inspect import physical_plan  # noqa: E402
 from tillroll.session import build_session  # noqa: E402
 
@@ -54,7 +54,7 @@ def main() -> None:
         os.path.abspath(__file__))), "PLANS.md")
     spark = build_session("local[8]", 8)
     rows = []
-    for name, fn in entry.queries().items():
+    for name, fn in catalog.queries().items():
         loc = shape(physical_plan(fn(spark, sf_dir), "simple"))
         for k, v in CLUSTER.items():
             spark.conf.set(k, v)

@@ -9,7 +9,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from tillroll.plans import catalog
 from conftest import SF_SMALL
 from tillroll.plans.inspect import (
     has_cartesian,
@@ -22,12 +22,12 @@ from tillroll.plans.inspect import (
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables not present")
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalog.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_plan_scales(spark, name):
-    df = entry.queries()[name](spark, SF_SMALL)
+    df = catalog.queries()[name](spark, SF_SMALL)
     assert not has_cartesian(df), name
     assert not has_python_udf(df), name
     for child in single_partition_children(df):
@@ -37,7 +37,7 @@ def test_plan_scales(spark, name):
 
 
 def test_year_range_reaches_the_scan(spark):
-    df = entry.queries()["trips_in_year"](spark, SF_SMALL)
+    df = catalog.queries()["trips_in_year"](spark, SF_SMALL)
     pushed = " ".join(pushed_filters(df))
     assert "GreaterThanOrEqual(o_orderdate" in pushed and "LessThan(o_orderdate" in pushed
 
@@ -52,7 +52,7 @@ def test_year_range_reaches_the_scan(spark):
     ],
 )
 def test_scans_read_only_needed_columns(spark, name, table_cols):
-    df = entry.queries()[name](spark, SF_SMALL)
+    df = catalog.queries()[name](spark, SF_SMALL)
     read = set()
     for schema in read_schemas(df):
         read |= set(re.findall(r"(\w+):", schema))
@@ -60,12 +60,12 @@ def test_scans_read_only_needed_columns(spark, name, table_cols):
 
 
 def test_sequence_reads_materialised_slices(spark):
-    text = plan_text(entry.queries()["trip_sequence_by_household"](spark, SF_SMALL)).lower()
+    text = plan_text(catalog.queries()["trip_sequence_by_household"](spark, SF_SMALL)).lower()
     # the range-partitioned, sorted slices are read back from the checkpoint
     assert "existingrdd" in text
 
 
 def test_loyal_households_list_no_pairs(spark):
     """An existence test: no self-join of the shares and no expansion of pairs."""
-    text = plan_text(entry.queries()["loyal_households"](spark, SF_SMALL))
+    text = plan_text(catalog.queries()["loyal_households"](spark, SF_SMALL))
     assert "Join" not in text and text.count("Exchange hashpartitioning") == 2
