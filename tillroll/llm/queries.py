@@ -37,6 +37,36 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.suffix_dedup(documents(spark, sf_dir), width=50))
 
 
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p FROM d)
+), f AS (
+  SELECT s, min(doc_id) AS m FROM w GROUP BY s
+), k AS (
+  SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE f.m < w.doc_id
+), r AS (
+  SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM k
+), i AS (
+  SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM r
+), spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, g
+), segments AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS o FROM spans
+), cut AS (
+  SELECT doc_id, sum(b - a) AS removed, count(*) AS n, max(b) AS e, list({'o': o, 'a': a} ORDER BY a) AS kept
+  FROM segments GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE
+         array_to_string(list_transform(kept, lambda x: substr(h, 2 * x.o + 1, 2 * (x.a - x.o))), '') || substr(h, 2 * e + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(documents(spark, sf_dir), BYTE_BPE))
 
@@ -47,7 +77,33 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
+    found = ngram_jaccard.jaccard_components(documents(spark, sf_dir), words=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+OP6_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), reach AS (
+  SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.doc_id
+)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +150,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op8_topk_search": OP8_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL,
+        "op3_suffix_dedup": OP3_SQL,
+        "op6_ngram_jaccard": OP6_SQL,
+        "op8_topk_search": OP8_SQL,
+    }
