@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -33,6 +34,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def latin_split() -> tuple[re.Pattern, re.Pattern]:
+    """(PATTERN for texts of characters below U+0250, what finds other characters). The
+    standard library's expressions have no classes of letters and numbers, so that theirs
+    are spelt out for these characters; they run more than twice as fast."""
+    chars = [chr(c) for c in range(0x250)]
+    letters, numbers, blanks = ("".join(re.escape(c) for c in chars if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}", r"\s"))
+    split = f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+"
+    return re.compile(split), re.compile(f"[^{chars[0]}-{chars[-1]}]")
+
+
 class ByteBPE:
     """Merges, tokens and special strings of a byte-level BPE file (tokenizers' JSON)."""
 
@@ -61,22 +72,26 @@ class ByteBPE:
         self.pair_keys, self.pair_ranks = keys, first.astype(np.int64)
         self.made_by_rank = made
         self.pairs = dict(zip(keys.tolist(), zip(first.tolist(), made[first].tolist(), strict=True), strict=True))
-        self._special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
-        self._split = regex.compile(PATTERN)
+        self._special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))))
+        self._split_any = regex.compile(PATTERN)
+        self._split_latin, self._other = latin_split()
 
     # ---- text to words ----
 
+    def _split(self, text: str) -> list[str]:
+        return (self._split_any if self._other.search(text) else self._split_latin).findall(text)
+
     def words(self, text: str) -> list[str]:
         """The words of ``text``; a special string is a word of its own."""
-        if self._special is None or not self._special.search(text):
-            return self._split.findall(text)
+        if not any(s in text for s in self.specials):
+            return self._split(text)
         out: list[str] = []
         at = 0
         for m in self._special.finditer(text):
-            out += self._split.findall(text[at : m.start()])
+            out += self._split(text[at : m.start()])
             out.append(m.group())
             at = m.end()
-        return out + self._split.findall(text[at:])
+        return out + self._split(text[at:])
 
     # ---- words to ids ----
 
@@ -203,7 +218,7 @@ class Codec:
 
     The memory of words is bounded: beyond ``remember`` words it starts afresh."""
 
-    def __init__(self, path: str, remember: int = 600_000) -> None:
+    def __init__(self, path: str, remember: int = 1_200_000) -> None:
         self.bpe = ByteBPE(path)
         self.remember = remember
         self.bytes_flat, self.bytes_start, self.bytes_size = self.bpe.byte_table()
