@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from llm_rows import EDGE, awkward, prose
 from tillroll.llm import bpe_codec, packing, token_counts
-from tillroll.llm.bpe import Codec, slices
+from tillroll.llm.bpe import ByteBPE, Codec, slices
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -44,6 +44,16 @@ def test_codec_equals_library():
     assert codec.decode(np.array([255, 100]), np.array([1, 1])) == [TOKENIZER.decode([255], skip_special_tokens=False), TOKENIZER.decode([100], skip_special_tokens=False)]
 
 
+def test_latin_words_equal_the_general_pattern():
+    bpe, rnd = ByteBPE(PATH), random.Random(5)
+    chars = [chr(c) for c in range(0x250)]
+    for _ in range(3000):
+        text = "".join(rnd.choices(chars, k=rnd.randint(0, 30)) + rnd.choices("'  \n\tstrevlmd1²!", k=rnd.randint(0, 20)))
+        assert bpe._other.search(text) is None
+        assert bpe._split_latin.findall(text) == bpe._split_any.findall(text)
+    assert bpe._other.search("a\u0250") and bpe._other.search("日")
+
+
 def test_codec_on_spark(spark):
     got = bpe_codec.encode_decode(awkward(spark, EDGE), PATH).collect()
     assert sorted(((r["doc_id"], r["ids"], r["decoded"]) for r in got), key=str) == sorted(((i, ids_of(t), t or "") for i, t in EDGE), key=str)
