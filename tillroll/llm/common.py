@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,20 +38,34 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of jobs that have ended: Spark deletes them once the
-    driver has collected the plans that refer to them, for which it is asked here. (Spark's
-    event loops refer to the last job until they have seen another one.)"""
-    gc.collect()
-    spark.range(1).count()
-    time.sleep(0.5)
-    spark.sparkContext._jvm.System.gc()
+    """``df`` written to the checkpoint folder and read back. The shuffle files of this job
+    go with its end, so that the disk holds one step of an operator at a time; ``df`` itself
+    should not be run again (Spark would have to make them anew)."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # planned anew, under the setting
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table in the checkpoint folder, for as long as the block lasts."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,6 @@ only hashes and ids are kept, in the checkpoint folder.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,9 +29,9 @@ from tillroll.llm.bpe import gather
 from tillroll.llm.common import checkpointed, id_and_text, use_package
 
 WIDTH = 50
-SLICE_BYTES = 1 << 19  # text of a slice, about
-RANGE_BYTES = 1 << 23  # text whose minimisers share a range, about
-PIECE_BYTES = 1 << 21  # bytes handled in one array
+SLICE_BYTES = 1 << 20  # text of a slice, about
+RANGE_BYTES = 1 << 21  # text whose minimisers share a range, about
+PIECE_BYTES = 1 << 19  # bytes handled in one array
 SHALLOW = 24  # bytes sorted by multikey quicksort
 
 _LAST_ID = 2**63 - 1  # stands for a null id
@@ -51,7 +49,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n, PIECE_BYTES + 1024)
         for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             p = np.full(size, b, np.uint64)
             p[0] = 1
@@ -282,18 +280,12 @@ def _joined(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
 
 
 def _by_range(minimiser: np.ndarray, ranges: int) -> np.ndarray:
-    return ((minimiser >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-
-
-def _release(df: DataFrame) -> None:
-    """Let go of the shuffle files of jobs that have ended: Spark deletes them once the
-    driver has collected the plans that refer to them."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """The range of each minimiser, hashed anew: as the least of many hashes they are small."""
+    return ((_mixed(minimiser) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, spans, kept) for each row of ``docs``.
+    """(doc_id, n_bytes, n_removed, spans, kept) for each row of ``docs``; ``width`` >= 8.
 
     Texts count as UTF-8 bytes, null as empty; matches do not cross documents. Each byte is
     removed that a string of ``width`` bytes covers which also starts in a document with a
@@ -302,6 +294,8 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
     ``width`` stays. Rows that repeat an id count as one document among themselves, rows
     without an id as one that comes last. Other columns are not read; an empty table gives
     an empty result."""
+    if width < 8:
+        raise ValueError("width must be at least 8")
     use_package(docs.sparkSession)
     base = id_and_text(docs, id_col, text_col).withColumn("id", F.coalesce("doc_id", F.lit(_LAST_ID)))
     total = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
@@ -318,9 +312,10 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
             owners.append(ids[doc[s.owner]])
         key_of = np.concatenate(found) if found else np.zeros(0, np.uint64)
         at, lo, hi = _least_and_most(key_of, np.concatenate(owners) if owners else np.zeros(0, np.int64))
-        marked = key_of[at] | (lo != hi).astype(np.uint64)  # odd: several documents have it
-        part = _by_range(marked, ranges)
-        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)  # sorted by hash, so by range
+        part = _by_range(key_of[at], ranges)
+        by = np.argsort(part, kind="stable")
+        marked, part = (key_of[at] | (lo != hi).astype(np.uint64))[by], part[by]  # odd: several documents have it
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
         return pa.table({
             "range": pa.array(part[cuts], pa.int64()),
             "slice": pa.array([key[0].as_py()] * len(cuts), pa.int64()),
@@ -345,8 +340,6 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
 
     reported = dealt.groupBy("slice").applyInArrow(minimisers, "range long, slice long, hashes binary")
     wanted = checkpointed(reported.groupBy("range").applyInArrow(shared, "slice long, hashes binary"))
-    del reported
-    _release(docs)
 
     # 2. the stretches around them, sorted by range
     def stretches(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
@@ -420,8 +413,6 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
         stretches, "range long, slice long, strings binary, sizes binary, content binary, least binary, most binary"
     )
     answers = checkpointed(sent.groupBy("range").applyInArrow(earliest, "slice long, content binary, froms binary, ids binary"))
-    del sent
-    _release(docs)
 
     # 3. what an earlier document covers
     def cut(table: pa.Table, told: pa.Table) -> pa.Table:
