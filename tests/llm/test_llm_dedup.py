@@ -252,6 +252,21 @@ def test_schemes_cover_all_similar_sizes():
                     assert both and max(dict(s.of(x))[k] for k in both) >= most
 
 
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100), (60, 100)])
+def test_similar_sets_share_a_part(num, den):
+    """Whatever is exchanged between two similar sets, they meet in a list."""
+    rnd, scheme = np.random.default_rng(num), ngram_jaccard.Scheme(num, den)
+    for size in [*range(2, 60), 100, 333, 800] * 3:
+        x = np.unique(rnd.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2))
+        if size % 3 == 0:  # unevenly spread tokens leave many parts empty
+            x = np.unique(x >> np.uint64(rnd.integers(1, 6)))
+        drop = rnd.integers(0, len(x))
+        y = np.union1d(x[rnd.permutation(len(x))[drop // 4 :]], rnd.integers(0, 2**63, drop // 8, dtype=np.uint64))
+        both = len(np.intersect1d(x, y))
+        if den * both >= num * (len(x) + len(y) - both) and len(x) != both:
+            assert set(np.concatenate(scheme.keys(x)).tolist()) & set(np.concatenate(scheme.keys(y)).tolist())
+
+
 def test_components_equal_union_find(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(rnd.randint(100, 160), rnd.randint(100, 160)) for _ in range(40)] + [(7, 7), (300, 300)] + [(500, 500 + i) for i in range(1, 60)]

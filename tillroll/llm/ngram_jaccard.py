@@ -19,6 +19,7 @@ The lists prune; every link is decided by the full sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import checkpointed, id_and_text, release, use_package
+from tillroll.llm.common import checkpointed, id_and_text, use_package, written
 from tillroll.llm.components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -81,20 +82,32 @@ class Scheme:
             k -= 1
         return out
 
+    def parts(self, k: int, differ: int) -> int:
+        """How many parts scheme k has: one more than tokens may differ, and as many more as
+        may well be empty in its smallest sets."""
+        m = differ + 1
+        empty = m * math.exp(-self.bounds[k] / m)
+        return m + math.ceil(empty + 3 * math.sqrt(empty))
+
     def keys(self, tokens: np.ndarray) -> list[np.ndarray]:
-        """The hashes of the parts of a set, for each scheme that it is indexed under. A
-        scheme has one part more than tokens may differ, so one at least is shared."""
+        """The hashes of the parts of a set, for each scheme that it is indexed under.
+
+        Of similar sets m - differ parts at least are equal. With fewer empty parts than that
+        in one of them, a part with tokens is among the equal ones; so empty parts, which
+        very many sets share, count only in sets with more."""
         out: list[np.ndarray] = []
         if not len(tokens):
             return out
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(tokens), dtype=np.uint64)])
         for k, differ in self.of(len(tokens)):
-            m = differ + 1
+            m = self.parts(k, differ)
             cuts = ((np.arange(1, m, dtype=np.float64) / m) * 2.0**64).astype(np.uint64)
             at = np.concatenate([[0], np.searchsorted(tokens, cuts), [len(tokens)]])
             part = sums[at[1:]] - sums[at[:-1]]
             salt = np.uint64(k + 1) << np.uint64(32)
-            out.append(mixed(mixed(part) + salt + np.arange(m, dtype=np.uint64)))
+            keys = mixed(mixed(part) + salt + np.arange(m, dtype=np.uint64))
+            empty = at[1:] == at[:-1]
+            out.append(keys if empty.sum() >= m - differ else keys[~empty])
         return out
 
 
@@ -137,15 +150,13 @@ def jaccard_components(
                 names=["doc_id", "n", "cls", "h", "keys"],
             )
 
-    made = checkpointed(texts.mapInArrow(sets, "doc_id long, n long, cls binary, h long, keys array<long>"))
+    with written(texts.mapInArrow(sets, "doc_id long, n long, cls binary, h long, keys array<long>")) as keyed:
+        made = checkpointed(keyed.drop("keys"))
+        # coarse parts: which sets share a part with another row at all
+        coarse = keyed.select(F.explode("keys").alias("key"), "h")
+        several = coarse.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+        near = checkpointed(coarse.join(several, "key", "left_semi").select("h").distinct())
     classes = checkpointed(made.where("n > 0").groupBy("cls", "h").agg(F.min("doc_id").alias("rep")))
-
-    # coarse parts: which sets share a part with another row at all
-    coarse = made.select(F.explode("keys").alias("key"), "h")
-    several = coarse.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    near = checkpointed(coarse.join(several, "key", "left_semi").select("h").distinct())
-    del coarse, several
-    release(docs.sparkSession)
     wanted = classes.join(near, "h", "left_semi").select(F.col("rep").alias("doc_id"), "cls")
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +178,6 @@ def jaccard_components(
         .select("cls", "text")
         .mapInArrow(tokens_of, "cls binary, n long, tokens array<long>")
     )
-    del near, wanted
-    release(docs.sparkSession)
 
     # token lists: of each set the shared tokens, rarest first, and of these only the head
     # in which a similar set must meet it
@@ -184,8 +193,6 @@ def jaccard_components(
         .select("cls", "n", "left", F.posexplode(F.slice("parts", F.lit(1), (F.col("left") - least + 1).cast("int"))).alias("pos", "part"))
         .select("cls", "n", "left", "pos", F.col("part.key").alias("key"))
     )
-    del tokens, shared
-    release(docs.sparkSession)
 
     def links(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar."""
@@ -211,7 +218,6 @@ def jaccard_components(
     known = checkpointed(
         listed.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     )
-    release(docs.sparkSession)
     mixed_lists = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     left = known.join(mixed_lists, "key", "left_semi")
     x, y = left.alias("x"), left.alias("y")
