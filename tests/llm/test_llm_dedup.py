@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from llm_rows import EDGE, awkward, prose
+from llm_rows import EDGE, awkward, prose, words
 from tillroll.llm import exact_dedup, ngram_jaccard, span_dedup, suffix_dedup
 from tillroll.llm.components import components
 
@@ -197,6 +197,44 @@ def test_drop_repeats_returns_the_rows(spark):
     assert out[2]["kept"] == "s"
 
 
+def shares_left(spark, passages: list[str], hosts: list[list[tuple[str, str]]]) -> tuple[list[float], set[int]]:
+    """Each passage in a document of its own and later between each pair of its hosts: which
+    share of its characters is left in the later ones, and the documents whose host lost something."""
+    rows = [(1000 * k + i, before, passage, after) for k, passage in enumerate(passages) for i, (before, after) in enumerate([("", ""), *hosts[k]])]
+    docs = spark.createDataFrame([(i, a + b + c) for i, a, b, c in rows], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in span_dedup.dedup_spans(docs).collect()}
+    left, lost = [], set()
+    for i, before, passage, after in rows:
+        gone = {x for s in spans[i] for x in range(s["start"], s["end"])}
+        own = set(range(len(before), len(before) + len(passage)))
+        if i % 1000:
+            left.append(1 - len(gone & own) / len(own))
+        if {x for x in gone - own if not (before + passage + after)[x].isspace()}:
+            lost.add(i)
+    return left, lost
+
+
+def test_passages_without_ascii_sentences_are_removed(spark):
+    rnd = random.Random(12)
+
+    def script(first: int, last: int, n: int, between: list[str]) -> str:
+        return "".join(x for _ in range(n) for x in ("".join(chr(rnd.randint(first, last)) for _ in range(rnd.randint(2, 7))), rnd.choice(between)))
+
+    passages = [
+        script(0x4E00, 0x9FA0, 60, ["", "", "，", "。"]),
+        script(0x4E00, 0x9FA0, 60, [""]),
+        script(0x0E01, 0x0E2E, 60, ["", "", "", " "]),
+        script(0x0905, 0x0939, 60, [" ", " ", " ", "। ", "।"]),
+        script(0x0621, 0x063A, 60, [" ", " ", " ", "، ", "؟ "]),
+        " ".join(words(rnd, 60)),
+        " ".join(words(rnd, 30)) + ". " + " ".join(words(rnd, 30)),
+        "".join(rnd.choices("abcdefghij0123456789", k=400)),
+    ]
+    hosts = [[(" ".join(words(rnd, a)) + " ", " " + " ".join(words(rnd, b))) for a, b in ((0, 3), (1, 0), (5, 9), (40, 40))] for _ in passages]
+    left, lost = shares_left(spark, passages, hosts)
+    assert max(left) < 0.5 and sum(left) / len(left) < 0.25 and not lost
+
+
 # ---- n-gram Jaccard ----
 
 

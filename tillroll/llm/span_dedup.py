@@ -2,13 +2,17 @@
 
 Every run of ``run`` consecutive sentences is hashed; the hashes are joined globally, and a
 sentence goes when a non-first occurrence of a repeated span covers it. Very short
-sentences are taken together with the ones behind them, so that a span says something.
+sentences are taken together with the ones behind them, so that a span says something, and
+long ones are cut into parts at places that the words around them choose.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,28 +25,116 @@ from tillroll.llm.common import use_package
 RUN = 2  # sentences in a span
 LEAST_WORDS = 4  # words of a sentence; shorter ones are joined with what follows
 
-_END = re.compile(r"(?<=[.!?,;:])\s+|\n\s*")
+#: Marks that end a clause without white space behind them: CJK, Indic, Arabic, Ethiopic,
+#: Myanmar, Khmer, Tibetan, Armenian, Mongolian.
+_MARKS = "。．｡！？；：，、､…‥‼⁇⁈⁉।॥؟۔؛،።፣፤፥፦፧፨။၊។៕៖།༎։᠂᠃"
+_ASCII_END = re.compile(r"(?<=[.!?,;:])\s+|\n\s*")
+_END = re.compile(rf"(?<=[.!?,;:])\s+|\n\s*|(?<=[{_MARKS}])[”’»」』）】》〉]*\s*")
+
+# A word is what stands between white space, and counts _SIZE. In scripts without white space
+# each character counts (about two to a word in Han and Kana, four in Thai and its like), and
+# so it does in a run of more than _LONG characters without white space.
+_SIZE, _LONG = 4, 64
+_HAN = "\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_THAI = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\ua9e0-\ua9ff\uaa60-\uaa7f"
+_JOINED = "".join(chr(c) for c in range(0x300, 0x3100) if unicodedata.category(chr(c))[0] == "M") + "\u200d\ufe0e\ufe0f"
+_WORD = re.compile(r"\s*\S+\s*")
+_WIDE = re.compile(rf"[{_HAN}{_THAI}]")
+_PIECE = re.compile(rf"\s*(?:([{_HAN}][{_JOINED}]*)|([{_THAI}][{_JOINED}]*)|([^\s{_HAN}{_THAI}]+))\s*")
+_CHARACTER = re.compile(rf"\s*\S[{_JOINED}]*\s*")
 _LAST_ID = 2**63 - 1  # stands for a null id
 
 
+def _characters_count(text: str) -> bool:
+    """Whether there is a character in the text that counts as a word or a part of one."""
+    return max(map(len, text.split()), default=0) > _LONG or not text.isascii() and _WIDE.search(text) is not None
+
+
+def _pieces(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text, or its characters where these count, each with the white space
+    around it; the size of each."""
+    out, sizes = [], []
+    for m in _PIECE.finditer(text):
+        if m.lastindex == 3 and len(m[3]) > _LONG:
+            characters = _CHARACTER.findall(m[0])
+            out += characters
+            sizes += [1] * len(characters)
+        else:
+            out.append(m[0])
+            sizes.append((_SIZE // 2, _SIZE // 4, _SIZE)[m.lastindex - 1])
+    return out, sizes
+
+
+def _chosen(words: list[str], at: range | list[int], places: range | list[int], gap: int) -> list[int]:
+    """Of the places (behind word i, at size ``at[i]``) those that are taken: in order of the
+    hash of the two words before and behind, each ``gap`` or more from all taken before. What
+    is taken depends on the words close by, not on where the text begins."""
+    padded = ["", *words, "", ""]
+    if isinstance(places, range):
+        around = zip(padded[places.start :], padded[places.start + 1 :], padded[places.start + 2 :], padded[places.start + 3 : places.stop + 3])
+    else:
+        around = [padded[i : i + 4] for i in places]
+    blocked = bytearray(len(at))
+    out = []
+    for _, i in sorted(zip(map(xxhash.xxh3_64_intdigest, map(" ".join, around)), places)):
+        if not blocked[i]:
+            low, high = bisect_right(at, at[i] - gap), bisect_left(at, at[i] + gap)
+            blocked[low:high] = b"\1" * (high - low)
+            out.append(i)
+    return sorted(out)
+
+
+def _parts(text: str, words: list[str], wide: bool, gap: int) -> list[tuple[int, str]]:
+    """(length, normalised text) of the parts of a long sentence, each of ``gap`` or more."""
+    if wide:
+        pieces, sizes = _pieces(text)
+        words = [p.strip().lower() for p in pieces]
+        at = list(accumulate(sizes))
+    else:
+        pieces = _WORD.findall(text)
+        at = range(_SIZE, _SIZE * len(pieces) + 1, _SIZE)
+    places = range(bisect_left(at, gap), bisect_right(at, at[-1] - gap))
+    ends = [0, *(i + 1 for i in _chosen(words, at, places, gap)), len(pieces)]
+    parts = ["".join(pieces[i:j]) for i, j in zip(ends, ends[1:])]
+    return [(len(x), " ".join(x.lower().split())) for x in parts]
+
+
 def sentences(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, str]]:
     """(start, end, normalised text) of each sentence, in order and without gaps. A sentence
-    ends behind one of . ! ? , ; : and white space, or at a line break: clauses count as
-    sentences, so that a passage put into the middle of a sentence is found but for its
-    edges. Normalised: lower case, single spaces. One with fewer than ``least_words`` words
-    takes in the following ones."""
+    ends behind one of . ! ? , ; : and white space, behind a mark of another script, or at a
+    line break: clauses count as sentences, so that a passage put into the middle of a
+    sentence is found but for its edges. Normalised: lower case, single spaces. One with
+    fewer than ``least_words`` words takes in the following ones; one of four times as many
+    or more is cut into parts of ``least_words`` or more, at places that the words around
+    choose, so that equal passages are cut alike wherever they stand."""
+    wide = _characters_count(text)
     out = []
-    start = at = 0
+    start = at = size = 0
+    gap = least_words * _SIZE
     held: list[str] = []
-    for m in _END.finditer(text):
-        held += text[at : m.end()].lower().split()
+
+    def put(end: int) -> None:
+        if size < 4 * gap:
+            out.append((start, end, " ".join(held)))
+            return
+        a = start
+        for n, part in _parts(text[start:end], held, wide, gap):
+            out.append((a, a + n, part))
+            a += n
+
+    for m in (_ASCII_END if text.isascii() else _END).finditer(text):
+        words = text[at : m.end()].lower().split()
+        size += sum(_pieces(text[at : m.end()])[1]) if wide else _SIZE * len(words)
+        held += words
         at = m.end()
-        if len(held) >= least_words:
-            out.append((start, at, " ".join(held)))
-            start, held = at, []
-    held += text[at:].lower().split()
+        if size >= gap:
+            put(at)
+            start, size, held = at, 0, []
     if start < len(text):
-        out.append((start, len(text), " ".join(held)))
+        words = text[at:].lower().split()
+        size += sum(_pieces(text[at:])[1]) if wide else _SIZE * len(words)
+        held += words
+        put(len(text))
     return out
 
 
