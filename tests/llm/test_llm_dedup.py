@@ -235,6 +235,18 @@ def test_passages_without_ascii_sentences_are_removed(spark):
     assert max(left) < 0.5 and sum(left) / len(left) < 0.25 and not lost
 
 
+def test_passages_of_short_clauses_are_removed_behind_any_text(spark):
+    rnd = random.Random(13)
+    passages, hosts = [], []
+    for n in (1, 2, 3, 3, 3):
+        w = words(rnd, 60)
+        passages.append(" ".join(x + "," * (i % n == n - 1) for i, x in enumerate(w)))
+        intro = [" ".join(words(rnd, k)) + ", " for k in (1, 2, 3, 5, 9)]
+        hosts.append([(a, "") for a in intro] + [("Intro one here, ", " " + " ".join(words(rnd, 6)) + ".")])
+    left, lost = shares_left(spark, passages, hosts)
+    assert max(left) < 0.5 and sum(left) / len(left) < 0.25 and not lost
+
+
 # ---- n-gram Jaccard ----
 
 

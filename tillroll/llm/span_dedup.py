@@ -11,8 +11,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,18 +65,14 @@ def _pieces(text: str) -> tuple[list[str], list[int]]:
     return out, sizes
 
 
-def _chosen(words: list[str], at: range | list[int], places: range | list[int], gap: int) -> list[int]:
-    """Of the places (behind word i, at size ``at[i]``) those that are taken: in order of the
-    hash of the two words before and behind, each ``gap`` or more from all taken before. What
+def _chosen(around: Iterable[Sequence[str]], at: Sequence[int], gap: int) -> list[int]:
+    """Of places with the words ``around`` them, at the sizes ``at``, the indices of those that
+    are taken: in order of the words' hash, each ``gap`` or more from all taken before. What
     is taken depends on the words close by, not on where the text begins."""
-    padded = ["", *words, "", ""]
-    if isinstance(places, range):
-        around = zip(padded[places.start :], padded[places.start + 1 :], padded[places.start + 2 :], padded[places.start + 3 : places.stop + 3])
-    else:
-        around = [padded[i : i + 4] for i in places]
     blocked = bytearray(len(at))
     out = []
-    for _, i in sorted(zip(map(xxhash.xxh3_64_intdigest, map(" ".join, around)), places)):
+    hashes = list(map(xxhash.xxh3_64_intdigest, map(" ".join, around)))
+    for i in sorted(range(len(at)), key=hashes.__getitem__):
         if not blocked[i]:
             low, high = bisect_right(at, at[i] - gap), bisect_left(at, at[i] + gap)
             blocked[low:high] = b"\1" * (high - low)
@@ -84,6 +80,25 @@ def _chosen(words: list[str], at: range | list[int], places: range | list[int],
     return sorted(out)
 
 
+def _clause_ends(words: list[str], counts: list[int], at: list[int], gap: int) -> list[int]:
+    """The clauses 1, 2, ... (but the last) that end a sentence: all that are ``gap`` or more
+    from the text's begin and from other ends, and of ends that are closer those chosen."""
+    out = []
+    last = len(at) - 2
+    k = bisect_left(at, gap, 1)
+    while k <= last:
+        first = k
+        while k < last and at[k + 1] - at[k] < gap:
+            k += 1
+        k += 1
+        if k - first == 1:
+            out.append(first)
+        else:
+            around = [words[max(0, n - 2) : n + 2] for n in counts[first:k]]
+            out += [first + i for i in _chosen(around, at[first:k], gap)]
+    return out
+
+
 def _parts(text: str, words: list[str], wide: bool, gap: int) -> list[tuple[int, str]]:
     """(length, normalised text) of the parts of a long sentence, each of ``gap`` or more."""
     if wide:
@@ -93,10 +108,12 @@ def _parts(text: str, words: list[str], wide: bool, gap: int) -> list[tuple[int,
     else:
         pieces = _WORD.findall(text)
         at = range(_SIZE, _SIZE * len(pieces) + 1, _SIZE)
-    places = range(bisect_left(at, gap), bisect_right(at, at[-1] - gap))
-    ends = [0, *(i + 1 for i in _chosen(words, at, places, gap)), len(pieces)]
-    parts = ["".join(pieces[i:j]) for i, j in zip(ends, ends[1:])]
-    return [(len(x), " ".join(x.lower().split())) for x in parts]
+    low, high = bisect_left(at, gap), bisect_right(at, at[-1] - gap)
+    padded = ["", *words, "", ""]  # two words before and behind each place
+    around = zip(padded[low:], padded[low + 1 :], padded[low + 2 :], padded[low + 3 : high + 3])
+    ends = [0, *(low + i + 1 for i in _chosen(around, at[low:high], gap)), len(pieces)]
+    parts = [("".join(pieces[i:j]), words[i:j]) for i, j in zip(ends, ends[1:])]
+    return [(len(x), " ".join(x.lower().split() if wide else own)) for x, own in parts]
 
 
 def sentences(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int, str]]:
@@ -104,37 +121,34 @@ def sentences(text: str, least_words: int = LEAST_WORDS) -> list[tuple[int, int,
     ends behind one of . ! ? , ; : and white space, behind a mark of another script, or at a
     line break: clauses count as sentences, so that a passage put into the middle of a
     sentence is found but for its edges. Normalised: lower case, single spaces. One with
-    fewer than ``least_words`` words takes in the following ones; one of four times as many
+    fewer than ``least_words`` words is joined with those beside it, and the words around each
+    end, not what stands further before, decide which ends stay; one of four times as many
     or more is cut into parts of ``least_words`` or more, at places that the words around
     choose, so that equal passages are cut alike wherever they stand."""
     wide = _characters_count(text)
-    out = []
-    start = at = size = 0
     gap = least_words * _SIZE
-    held: list[str] = []
-
-    def put(end: int) -> None:
-        if size < 4 * gap:
-            out.append((start, end, " ".join(held)))
-            return
-        a = start
-        for n, part in _parts(text[start:end], held, wide, gap):
-            out.append((a, a + n, part))
-            a += n
-
-    for m in (_ASCII_END if text.isascii() else _END).finditer(text):
-        words = text[at : m.end()].lower().split()
-        size += sum(_pieces(text[at : m.end()])[1]) if wide else _SIZE * len(words)
-        held += words
-        at = m.end()
-        if size >= gap:
-            put(at)
-            start, size, held = at, 0, []
-    if start < len(text):
-        words = text[at:].lower().split()
-        size += sum(_pieces(text[at:])[1]) if wide else _SIZE * len(words)
-        held += words
-        put(len(text))
+    ends = [0, *[m.end() for m in (_ASCII_END if text.isascii() else _END).finditer(text)], len(text)]
+    clauses = [text[a:b] for a, b in zip(ends, ends[1:])]
+    if wide:
+        cut = [_pieces(x) for x in clauses]
+        split = [[p.strip().lower() for p in pieces] for pieces, _ in cut]
+        at = [0, *accumulate([sum(sizes) for _, sizes in cut])]
+    else:
+        split = [x.lower().split() for x in clauses]
+        at = [0, *accumulate([_SIZE * len(x) for x in split])]
+    words = list(chain.from_iterable(split))
+    counts = [0, *accumulate(map(len, split))]
+    out: list[tuple[int, int, str]] = []
+    taken = [k for k in _clause_ends(words, counts, at, gap) if ends[k] < len(text)]
+    for j, k in zip([0, *taken], [*taken, len(ends) - 1]):
+        a, b = ends[j], ends[k]
+        own = words[counts[j] : counts[k]]
+        if at[k] - at[j] >= 4 * gap:
+            for n, part in _parts(text[a:b], own, wide, gap):
+                out.append((a, a + n, part))
+                a += n
+        elif a < b:
+            out.append((a, b, " ".join(text[a:b].lower().split()) if wide else " ".join(own)))
     return out
 
 
