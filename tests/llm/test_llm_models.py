@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import numpy as np
 import pytest
@@ -118,3 +119,15 @@ def test_toxicity_on_the_held_out_fold(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
     held = [(r["toxic"], r["predicted"]) for r in op10_toxicity(spark, sf).join(labels, "doc_id").collect() if r["held_out"]]
     assert np.mean([p for t, p in held if t]) > 0.8 and np.mean([p for t, p in held if not t]) < 0.02
+
+
+def test_toxicity_learns_every_word_that_passes(spark):
+    rnd = random.Random(21)
+    bad = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(300)]
+    rows = [(i, " ".join(["plain", "words", *(bad[(4 * i + k) % 300] for k in range(4)), "here"]), 1) for i in range(1125)]
+    rows += [(2000 + i, "plain words " + " ".join(rnd.choices(["some", "other", "text", "here"], k=6)), 0) for i in range(2000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(bad) <= model.terms.keys()
+    assert model.score("plain words some other text here") < 0.5

@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from tillroll.llm.common import fold, id_and_text, use_package
 
 FIT_ROWS = 20_000  # labelled rows that the models are fitted on, about
-MOST_TERMS = 400
 VOTERS = 24  # lexicon voters
 ANNOTATOR = 0.99  # the label model takes the annotator's accuracy to be this at least
 PRECISION = 0.8  # least share of toxic rows among the labelled rows that hold a term
@@ -233,7 +232,6 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
         .where(a > PRECISION * (a + b))
         .where(F.col("surprise") > 2 * np.log(distinct + 1) - 9)
         .orderBy(F.col("surprise").desc(), "term")
-        .limit(MOST_TERMS)
         .collect()
     )
     lexicon = [r["term"] for r in found]
