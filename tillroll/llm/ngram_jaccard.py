@@ -118,12 +118,12 @@ def _class_of(tokens: np.ndarray) -> bytes:
 def jaccard_components(
     docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, compared_links) for each row of ``docs``.
 
     Two documents link when den * |intersection| >= num * |union| of their n-gram sets;
-    component_id is the smallest doc_id that links reach, itself included. ``n_links`` counts
-    the other sets (not copies) whose comparison found a link; links that follow from others
-    are not counted. A null text counts as empty; documents without words have an empty
+    component_id is the smallest doc_id that links reach, itself included. ``compared_links``
+    counts the other sets (not copies) whose comparison found a link; pairs inside a component
+    that is already known are neither compared nor counted. A null text counts as empty; documents without words have an empty
     set, link with nothing and are their own component. Each row is a document: repeated
     rows have equal sets and link. A null id never is a component_id unless all ids of a
     component are null. Other columns are not read; an empty table gives an empty result.
@@ -239,10 +239,10 @@ def jaccard_components(
     all_links = first.union(second)
     roots = components(all_links)
 
-    degree = all_links.select("a").union(all_links.select("b")).groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("n_links"))
+    degree = all_links.select("a").union(all_links.select("b")).groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("compared_links"))
     root_of = classes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = root_of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    per_class = root_of.join(smallest, "root").join(degree, "cls", "left").select("cls", "component_id", "n_links")
+    per_class = root_of.join(smallest, "root").join(degree, "cls", "left").select("cls", "component_id", "compared_links")
     return (
         made.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
         .join(per_class, "cls", "left")
@@ -250,6 +250,6 @@ def jaccard_components(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            F.coalesce("compared_links", F.lit(0)).alias("compared_links"),
         )
     )
