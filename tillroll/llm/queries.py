@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe_codec, cover_tree, exact_dedup, language_id, ngram_jaccard, packing, span_dedup, suffix_dedup, token_counts, toxicity
+from tillroll.llm import bpe_codec, cover_tree, exact_dedup, language_id, merkle, ngram_jaccard, packing, span_dedup, suffix_dedup, token_counts, toxicity
 from tillroll.llm.common import documents, fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -144,8 +144,63 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", fold() == 0)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    damaged = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 2 == 0
+    received = F.when(damaged, F.replace(docs["text"], F.lit("\n"), F.lit(""))).otherwise(docs["text"])
+    return merkle.manifest(docs, received)
+
+
+_FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_LEAF = "sha256({})".format(" || ".join(_FIELD.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars", "{text}")))
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text="replace(text, chr(10), '')")} AS cut,
+         coalesce(list_reduce(list_prepend(4294967295, list_transform(split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, k: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END))) % 2 = 1, false) AS damaged
+  FROM documents
+), a AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d
+), up AS (
+  SELECT source, 0 AS level, pos, n, leaf AS h FROM a
+  UNION ALL
+  SELECT source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY source, level, pos // 3, n
+), s AS (
+  SELECT source, h, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS level, pos, n, h FROM s
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 3, n
+), one AS (
+  SELECT h AS root FROM top WHERE n = 1
+), inner_step AS (
+  SELECT a.source, a.pos AS leaf_pos, up.level, coalesce(string_agg(up.h, '' ORDER BY up.pos) FILTER (WHERE up.pos < spot), '') AS before,
+         coalesce(string_agg(up.h, '' ORDER BY up.pos) FILTER (WHERE up.pos > spot), '') AS behind
+  FROM (SELECT source, pos, unnest(range(0, 40)) AS l, pos // CAST(pow(3, l) AS BIGINT) AS spot FROM a WHERE n > 1) a
+  JOIN up ON up.source IS NOT DISTINCT FROM a.source AND up.level = a.l AND up.pos // 3 = spot // 3 AND up.n > 1 GROUP BY ALL
+), outer_step AS (
+  SELECT s.source, s.l + s.height AS level, coalesce(string_agg(top.h, '' ORDER BY top.pos) FILTER (WHERE top.pos < spot), '') AS before,
+         coalesce(string_agg(top.h, '' ORDER BY top.pos) FILTER (WHERE top.pos > spot), '') AS behind
+  FROM (SELECT source, height, unnest(range(0, 40)) AS l, pos // CAST(pow(3, l) AS BIGINT) AS spot FROM s) s
+  JOIN top ON top.level = s.l AND top.pos // 3 = spot // 3 AND top.n > 1 GROUP BY ALL
+), step AS (
+  SELECT source, leaf_pos, level, before, behind FROM inner_step
+  UNION ALL
+  SELECT a.source, a.pos, o.level, before, behind FROM a JOIN outer_step o ON o.source IS NOT DISTINCT FROM a.source
+), way AS (
+  SELECT a.source, a.pos, coalesce(list({{'b': before, 'e': behind}} ORDER BY level) FILTER (WHERE level IS NOT NULL), []) AS steps
+  FROM a LEFT JOIN step ON step.source IS NOT DISTINCT FROM a.source AND leaf_pos = a.pos GROUP BY ALL
+)
+SELECT doc_id, a.source, leaf, s.h AS subroot, root,
+       sha256(array_to_string(list_transform(steps, lambda x: x.b || x.e), '')) AS proof_sha256,
+       list_reduce(list_prepend({{'b': '', 'e': CASE WHEN damaged THEN cut ELSE leaf END}}, steps),
+         lambda c, x: {{'b': '', 'e': sha256(x.b || c.e || x.e)}}).e AS folded_root, folded_root = root AS verified
+FROM a JOIN way ON way.source IS NOT DISTINCT FROM a.source AND way.pos = a.pos JOIN s ON s.source IS NOT DISTINCT FROM a.source, one
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_exact_dedup, op2_bpe_codec, op3_suffix_dedup, op4_packing, op5_language_id, op6_ngram_jaccard, op7_token_counts, op8_topk_search, op9_span_dedup, op10_toxicity)
+    listed = (op1_exact_dedup, op2_bpe_codec, op3_suffix_dedup, op4_packing, op5_language_id, op6_ngram_jaccard, op7_token_counts, op8_topk_search, op9_span_dedup, op10_toxicity, op11_merkle_manifest)
     return {f.__name__: f for f in listed}
 
 
@@ -155,4 +210,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_suffix_dedup": OP3_SQL,
         "op6_ngram_jaccard": OP6_SQL,
         "op8_topk_search": OP8_SQL,
+        "op11_merkle_manifest": OP11_SQL,
     }
