@@ -1,0 +1,125 @@
+"""Cross-tokenizer alignment against the tokenizer libraries and a plain merge."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from llm_rows import EDGE, awkward, prose
+from tillroll.llm import token_align
+
+A = public_tokenizers.path("byte_bpe_50k.json")
+B = public_tokenizers.path("piece_bpe_32k.model")
+TOKENIZER = Tokenizer.from_file(A)
+TOKENIZER.encode_special_tokens = True
+PIECES = sentencepiece.SentencePieceProcessor(model_file=B)
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_OF = {chr(b): b for b in PRINTABLE} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
+
+
+def tokens(text: str | None) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
+    """(id, bytes) of A and of B; none where the bytes are not the text's."""
+    if not text:
+        return [], []
+    a = [(i, bytes(BYTE_OF[c] for c in TOKENIZER.id_to_token(i))) for i in TOKENIZER.encode(" " + text, add_special_tokens=False).ids]
+    b = []
+    for i in PIECES.encode(text):
+        p = PIECES.id_to_piece(i)
+        b.append((i, bytes([int(p[3:5], 16)]) if PIECES.is_byte(i) else p.replace("▁", " ").encode()))
+    want = (" " + text).encode()
+    return (a, b) if all(b"".join(x for _, x in side) == want for side in (a, b)) else ([], [])
+
+
+def plain(text: str | None) -> tuple[str, list[tuple[int, int]], int, int]:
+    """(groups, linked id pairs, number of A and of B tokens)."""
+    a, b = tokens(text)
+    ranges = []
+    for side in (a, b):
+        at, own = 0, []
+        for i, x in side:
+            own.append((i, at, at + len(x)))
+            at += len(x)
+        ranges.append(own)
+    links, j = [], 0
+    for i, s, e in ranges[0]:
+        while j and ranges[1][j][1] > s:
+            j -= 1
+        while j < len(b) and ranges[1][j][2] <= s:
+            j += 1
+        while j < len(b) and ranges[1][j][1] < e:
+            links.append((i, ranges[1][j][0]))
+            j += 1
+        j = min(j, len(b) - 1)
+    cuts = sorted({e for _, _, e in ranges[0]} & {e for _, _, e in ranges[1]})
+    groups, low = [], 0
+    for cut in cuts:
+        groups.append("|".join(",".join(str(i) for i, s, e in own if low <= s and e <= cut) for own in ranges))
+        low = cut
+    return ";".join(groups), links, len(a), len(b)
+
+
+def expected(rows: list[tuple]) -> list[tuple]:
+    found = [(i, *plain(t)) for i, t in rows]
+    count = Counter(p for _, _, links, _, _ in found for p in set(links))
+    best: dict[int, int] = defaultdict(int)
+    for (a, _), n in count.items():
+        best[a] = max(best[a], n)
+    out = []
+    for i, groups, links, n_a, n_b in found:
+        n_best = sum(count[p] == best[p[0]] for p in links)
+        out.append((i, n_a, n_b, len(groups.split(";")) if groups else 0, len(links), groups, n_best, sum(count[p] for p in links)))
+    return out
+
+
+def odd_texts() -> list[str]:
+    rnd = random.Random(8)
+    letters = "ab  \n\t'relvst.1 ÉéßñЖ日本語🙂¼²_▁ \x00"
+    fixed = ["a<|endoftext|> b", "<s> </s><unk> <0x41>", "   lead", "trail   ", "▁", "x▁y z", "日本語" * 60, "a" * 3000, "ab " * 700, " " * 50]
+    return fixed + ["".join(rnd.choices(letters, k=rnd.randint(1, 60))) for _ in range(150)] + [prose(rnd, 80) for _ in range(5)]
+
+
+@pytest.mark.parametrize("work", [1, 2, 3, 7, 10_000])
+def test_pieces_of_any_work_give_the_same_alignment(work):
+    rnd = np.random.default_rng(4)
+    for n in (1, 5, 60, 300):
+        a, b = (np.append(np.sort(rnd.choice(4 * n, min(n, k), replace=False)), 4 * n) for k in (n, max(1, n // 3)))
+        merged = sorted([(x, 0) for x in a] + [(x, 1) for x in b])
+        at = token_align.merge_path(a, b, work)
+        assert at[1:-1].tolist() == [sum(side == 0 for _, side in merged[:d]) for d in range(work, len(merged), work)]
+        links_a, links_b, groups_a, groups_b = token_align.align_ends(a, b, work)
+        ends = sorted({*a.tolist(), *b.tolist()})
+        assert sorted(zip(links_a.tolist(), links_b.tolist())) == [(int(np.searchsorted(a, e)), int(np.searchsorted(b, e))) for e in ends]
+        cuts = sorted({*a.tolist()} & {*b.tolist()})
+        assert groups_a.tolist() == np.searchsorted(cuts, a).tolist()
+        assert groups_b.tolist() == np.searchsorted(cuts, b).tolist()
+
+
+def test_both_vocabularies_equal_their_libraries():
+    a, b = token_align._Side(token_align.ByteBPE(A)), token_align._Side(token_align.PieceBPE(B))
+    for text in odd_texts():
+        assert a.encode([" " + text])[0].tolist() == TOKENIZER.encode(" " + text, add_special_tokens=False).ids, repr(text[:80])
+        if "▁" not in text:
+            assert b.encode([" " + text])[0].tolist() == PIECES.encode(text), repr(text[:80])
+
+
+@pytest.mark.parametrize("slice_links", [1, 500, 1 << 20])
+def test_rows_equal_plain_alignment(spark, slice_links):
+    rows = EDGE + list(enumerate(odd_texts(), 100)) + [(300, "copy of this")] * 4
+    got = token_align.align(awkward(spark, rows).repartition(3), A, B, slice_links=slice_links)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected(rows), key=str)
+
+
+def test_digest_and_empty_table(spark):
+    rows = [(1, "some words here"), (2, None), (3, "")]
+    got = {r["doc_id"]: r for r in token_align.align(awkward(spark, rows), A, B, keep_groups=False).collect()}
+    assert got[1]["groups"] == hashlib.sha256(plain(rows[0][1])[0].encode()).hexdigest()
+    assert [tuple(got[i])[1:] for i in (2, 3)] == [(0, 0, 0, 0, "", 0, 0)] * 2
+    assert token_align.align(awkward(spark, rows).where("doc_id < 0"), A, B).collect() == []
