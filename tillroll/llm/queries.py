@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe_codec, cover_tree, exact_dedup, language_id, merkle, ngram_jaccard, packing, span_dedup, suffix_dedup, token_align, token_counts, toxicity
+from tillroll.llm import bpe_codec, cover_tree, exact_dedup, language_id, merkle, ngram_jaccard, packing, pii, span_dedup, suffix_dedup, token_align, token_counts, toxicity
 from tillroll.llm.common import documents, fold
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -200,13 +200,17 @@ FROM a JOIN way ON way.source IS NOT DISTINCT FROM a.source AND way.pos = a.pos
 """
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.personal_data(documents(spark, sf_dir)))
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_align.align(documents(spark, sf_dir), BYTE_BPE, PIECE_BPE, keep_groups=False)
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_exact_dedup, op2_bpe_codec, op3_suffix_dedup, op4_packing, op5_language_id, op6_ngram_jaccard, op7_token_counts, op8_topk_search, op9_span_dedup, op10_toxicity, op11_merkle_manifest, op13_token_align)
+    listed = (op1_exact_dedup, op2_bpe_codec, op3_suffix_dedup, op4_packing, op5_language_id, op6_ngram_jaccard, op7_token_counts, op8_topk_search, op9_span_dedup, op10_toxicity, op11_merkle_manifest, op12_pii, op13_token_align)
     return {f.__name__: f for f in listed}
 
 

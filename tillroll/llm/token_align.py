@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.bpe import ByteBPE, Codec, slices
-from tillroll.llm.common import checkpoint_folder, use_package
+from tillroll.llm.common import stored, use_package
 
 WORK = 1 << 14  # ends merged by one piece
 SLICE_LINKS = 1 << 20  # a slice of documents is closed at so many links
@@ -258,8 +257,7 @@ def align(
     A null or empty text, or one that the bytes of its tokens do not give back, has no tokens,
     zeros and no groups. Rows that repeat an id or a text are documents of their own; null
     ids stay null. Other columns are not read; an empty table gives an empty result."""
-    spark = docs.sparkSession
-    use_package(spark)
+    use_package(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("string").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,9 +272,7 @@ def align(
             yield held.take()
 
     # numbers of slices hold for one run of a task, so its rows are written before use
-    path = f"{checkpoint_folder(spark)}/aligned-{uuid.uuid4().hex}"
-    rows.mapInArrow(run, _Slices.SCHEMA).write.parquet(path)
-    table = spark.read.schema(_Slices.SCHEMA).parquet(path)
+    table = stored(rows.mapInArrow(run, _Slices.SCHEMA), "aligned")
 
     size_b = sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
     listed = table.where("codes IS NOT NULL").select("slice", F.posexplode(F.arrays_zip("codes", "holders")).alias("place", "pair"))
