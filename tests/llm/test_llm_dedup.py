@@ -71,6 +71,21 @@ def test_drop_copies_keeps_rows_as_they_are(spark):
     assert {("A" if r["text"] == "A" else r["text"]) for r in out.collect()} >= {"a"}
 
 
+def test_drop_near_copies_decides_by_row(spark):
+    rnd = random.Random(9)
+    long, other = prose(rnd, 120), prose(rnd, 90)
+    near = [" ".join([*long.split(" ")[: 119 - k], "tail"]) for k in range(5)]
+    rows = [(1, long), (2, near[0]), (2, other), (None, near[1]), (None, near[2]), (None, prose(rnd, 70)), (3, ""), (3, ""), (None, None), (4, "few words"), (4, "few words")]
+    out = ngram_jaccard.drop_near_copies(awkward(spark, rows).repartition(3))
+    assert out.columns == ["doc_id", "text", "score", "id", "kept"]
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == Counter([rows[0], rows[2], rows[5], rows[6], rows[7], rows[8], rows[9]])
+    # without ids at all one row stays, and so it does of rows that repeat id and text
+    alone = ngram_jaccard.drop_near_copies(awkward(spark, [(None, t) for t in near] + [(None, near[0])] * 3)).collect()
+    assert len(alone) == 1 and alone[0]["text"] in near
+    assert ngram_jaccard.drop_near_copies(awkward(spark, [])).collect() == []
+
+
 def test_exact_dedup_is_native(spark):
     plan = exact_dedup.exact_groups(awkward(spark, EDGE))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "rangepartitioning" in plan
@@ -146,25 +161,36 @@ def test_blind_trie_and_window_sort():
 # ---- spans ----
 
 
-def brute_spans(rows: list[tuple]) -> dict:
+def brute_spans(rows: list[tuple], run: int = span_dedup.RUN) -> dict:
     first: dict[tuple, int] = {}
     last = 2**63 - 1
     units = [(last if i is None else i, i, span_dedup.sentences(t or ""), t or "") for i, t in rows]
     for key, _, u, _ in units:
-        for a, b in zip(u, u[1:]):
-            first[(a[2], b[2])] = min(first.get((a[2], b[2]), last), key)
+        for k in range(len(u) - run + 1):
+            span = tuple(x[2] for x in u[k : k + run])
+            first[span] = min(first.get(span, last), key)
     out = Counter()
     for key, i, u, t in units:
         gone, seen = [False] * len(u), set()
-        for k, (a, b) in enumerate(zip(u, u[1:])):
-            pair = (a[2], b[2])
-            if first[pair] < key or pair in seen:
-                gone[k] = gone[k + 1] = True
-            seen.add(pair)
+        for k in range(len(u) - run + 1):
+            span = tuple(x[2] for x in u[k : k + run])
+            if first[span] < key or span in seen:
+                gone[k : k + run] = [True] * run
+            seen.add(span)
         out[(i, len(u), sum(gone), "".join(t[x[0] : x[1]] for x, g in zip(u, gone) if not g))] += 1
     return out
 
 
+def test_one_of_many_documents_without_an_id_keeps_a_passage(spark):
+    passage = "This passage stands in all of them. It has more than one long sentence. And so it goes on and on."
+    rows = [(None, f"Text number {k} begins like this {k}. {passage} It ends with number {k} then.") for k in range(60)]
+    got = [r["kept"] for r in span_dedup.dedup_spans(awkward(spark, rows + rows[:1]).repartition(4)).collect()]
+    keeping = [t for t in got if "more than one long sentence" in t]
+    assert len(set(keeping)) == 1 and len(got) == 61
+    with_id = span_dedup.dedup_spans(awkward(spark, [*rows, (5, passage)])).collect()
+    assert [r["doc_id"] for r in with_id if "more than one long sentence" in r["kept"]] == [5]
+
+
 def test_span_dedup_equals_brute_force(spark):
     rows = EDGE + noisy(5, 60) + [(900, "One two three four five. Six seven eight nine ten. " * 3)]
     got = span_dedup.dedup_spans(awkward(spark, rows)).collect()

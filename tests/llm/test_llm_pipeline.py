@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import random
 from collections import defaultdict
 
@@ -86,3 +88,29 @@ def test_run_applies_all_stages(spark, tables):
     assert got == (set(range(432)) - toxic - {1 + 5 * k for k in range(10)} - {430} - set(range(410, 420)))
     whole = {(r["doc_id"], r["doc_tokens"]) for r in rows}
     assert len(whole) == len(got)
+
+
+def test_null_and_shared_ids(spark, tables, tmp_path):
+    """Each stage decides by row: what shares an id, or has none, doesn't go with one another."""
+    folder, _, _, _ = tables
+    rnd = random.Random(31)
+    a, b, c = (prose(rnd, 90) for _ in range(3))
+    near = " ".join([*a.split(" ")[:-1], "tail"])
+    passage = prose(rnd, 70)
+    rows = [(1000, a), (1001, near), (1001, b), (None, near + " more"), (None, c), (None, c.upper()), (1002, prose(rnd, 40) + " " + passage), (None, prose(rnd, 40) + " " + passage)]
+    frame = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], COLUMNS)
+    want = [8, 7, 5, 5]
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, frame, folder).write.parquet(f"{tmp_path}/{n}")
+        frame = spark.read.parquet(f"{tmp_path}/{n}")
+        assert frame.count() == want[n], name
+    got = {(r["doc_id"], r["text"]) for r in frame.collect()}
+    assert (1000, a) in got and (1001, b) in got and {t.lower() for i, t in got if i is None} >= {c.lower()}
+    assert [i for i, t in got if passage[60:120] in t] == [1002]
+
+
+def test_intermediate_folders_go(spark, tables):
+    folder = tables[0]
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    corpus_pipeline.run(spark, folder).count()
+    assert all(os.listdir(p) == ["3"] for p in glob.glob(f"{root}/corpus-*"))

@@ -41,38 +41,53 @@ def checkpoint_folder(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back. The shuffle files of this job
-    go with its end, so that the disk holds one step of an operator at a time; ``df`` itself
-    should not be run again (Spark would have to make them anew)."""
-    spark = df.sparkSession
-    checkpoint_folder(spark)
+@contextmanager
+def _files_go(spark: SparkSession) -> Iterator[None]:
+    """Jobs planned in the block delete their shuffle files at their end, so that the disk holds
+    one step of an operator at a time."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # planned anew, under the setting
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
 
 
-@contextmanager
-def written(df: DataFrame) -> Iterator[DataFrame]:
-    """``df`` as a table in the checkpoint folder, for as long as the block lasts."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back; ``df`` itself should not be run
+    again (Spark would have to make its shuffle files anew)."""
+    checkpoint_folder(df.sparkSession)
+    with _files_go(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # planned anew, under the setting
+
+
+def _store(df: DataFrame, name: str) -> tuple[str, DataFrame]:
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    try:
-        yield spark.read.parquet(path)
-    finally:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with _files_go(spark):
+        df.select("*").write.parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the checkpoint folder (compressed, unlike a checkpoint)."""
-    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _store(df, name)[1]
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete ``path``, in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table in the checkpoint folder, for as long as the block lasts."""
+    path, table = _store(df, "table")
+    try:
+        yield table
+    finally:
+        delete_folder(df.sparkSession, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +103,12 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the key (k1, k2), 128 bits of id and text: rows that share it share both."""
+    values = (docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit("")))
+    return docs.withColumns({"k1": F.xxhash64(*values), "k2": F.xxhash64(F.lit("second"), *values)})
+
+
 def ascii_lower(col):
     """Lower-case A-Z only. Texts of ASCII alone take lower(), which is the same there and
     much cheaper than translate()."""

@@ -20,11 +20,11 @@ HEAD = 64  # characters of the content's head among the range keys
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, payload: Column) -> DataFrame:
-    """(doc_id, row, digest, keep_id, group_size, kept) for each row; ``row`` is ``payload``."""
+    """(doc_id, row, text, digest, keep_id, group_size, kept) for each row; ``row`` is ``payload``."""
     parts = shuffle_partitions(docs.sparkSession)
-    text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), ascii_lower(text).alias("norm"), payload.alias("row"))
-    rows = rows.withColumn("digest", F.sha2("norm", 256))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), payload.alias("row"))
+    norm = ascii_lower(F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("norm", norm).withColumn("digest", F.sha2("norm", 256))
     n = docs.count()
     hot = (
         rows.groupBy("digest")
@@ -39,7 +39,9 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, payload: Column) -> Da
         .withColumn("size", size)
         .withColumn("inner", F.concat(F.col("norm").substr((size / 2).cast("int") + 1, F.lit(32)), F.substring("norm", -32, 32)))
         .withColumn("salt", F.when(F.col("hot_size").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(parts))).otherwise(0))
+        .drop("norm")
         .repartitionByRange("head", "size", "inner", "salt")
+        .withColumn("norm", norm)  # again, so that a text travels once
     )
     # partitioning and sort of the range exchange serve the windows: no further exchange
     same = Window.partitionBy("head", "size", "inner", "salt", "norm")
@@ -50,6 +52,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, payload: Column) -> Da
         .select(
             "doc_id",
             "row",
+            "text",
             "digest",
             F.when(F.col("hot_size").isNotNull(), F.col("hot_id")).otherwise(F.col("run_id")).alias("keep_id"),
             F.coalesce("hot_size", "run_size").alias("group_size"),
@@ -74,5 +77,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = [f"c{i}" for i in range(len(docs.columns))]
     numbered = docs.toDF(*names)
     at = {c: names[i] for i, c in enumerate(docs.columns)}
-    out = _decided(numbered, at[id_col], at[text_col], F.struct(*names))
-    return out.where("kept").select(*(F.col(f"row.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    others = [n for n in names if n != at[text_col]]
+    out = _decided(numbered, at[id_col], at[text_col], F.struct(*others))
+    return out.where("kept").select(*(F.col("text" if c == text_col else f"row.{at[c]}").alias(c) for c in docs.columns))

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import checkpointed, id_and_text, use_package, written
+from tillroll.llm.common import checkpointed, id_and_text, keyed, use_package, written
 from tillroll.llm.components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -115,22 +115,11 @@ def _class_of(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def jaccard_components(
-    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, compared_links) for each row of ``docs``.
-
-    Two documents link when den * |intersection| >= num * |union| of their n-gram sets;
-    component_id is the smallest doc_id that links reach, itself included. ``compared_links``
-    counts the other sets (not copies) whose comparison found a link; pairs inside a component
-    that is already known are neither compared nor counted. A null text counts as empty; documents without words have an empty
-    set, link with nothing and are their own component. Each row is a document: repeated
-    rows have equal sets and link. A null id never is a component_id unless all ids of a
-    component are null. Other columns are not read; an empty table gives an empty result.
-    """
-    use_package(docs.sparkSession)
+def _found(texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``texts`` (doc_id, text, k1, k2) the rows (doc_id, k1, k2, n, cls) and the classes of
+    equal sets (cls, root, component_id, compared_links)."""
+    use_package(texts.sparkSession)
     scheme = Scheme(num, den)
-    texts = id_and_text(docs, id_col, text_col)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,14 +135,14 @@ def jaccard_components(
             # half of cls as a number: cheaper to aggregate
             h = np.frombuffer(b"".join(cls), np.int64)[::2]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(h), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "n", "cls", "h", "keys"],
+                [*map(batch.column, ("doc_id", "k1", "k2")), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(h), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["doc_id", "k1", "k2", "n", "cls", "h", "keys"],
             )
 
-    with written(texts.mapInArrow(sets, "doc_id long, n long, cls binary, h long, keys array<long>")) as keyed:
-        made = checkpointed(keyed.drop("keys"))
+    with written(texts.mapInArrow(sets, "doc_id long, k1 long, k2 long, n long, cls binary, h long, keys array<long>")) as listed_parts:
+        made = checkpointed(listed_parts.drop("keys"))
         # coarse parts: which sets share a part with another row at all
-        coarse = keyed.select(F.explode("keys").alias("key"), "h")
+        coarse = listed_parts.select(F.explode("keys").alias("key"), "h")
         several = coarse.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
         near = checkpointed(coarse.join(several, "key", "left_semi").select("h").distinct())
     classes = checkpointed(made.where("n > 0").groupBy("cls", "h").agg(F.min("doc_id").alias("rep")))
@@ -242,14 +231,52 @@ def jaccard_components(
     degree = all_links.select("a").union(all_links.select("b")).groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("compared_links"))
     root_of = classes.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = root_of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    per_class = root_of.join(smallest, "root").join(degree, "cls", "left").select("cls", "component_id", "compared_links")
-    return (
-        made.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
-        .join(per_class, "cls", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-            F.coalesce("compared_links", F.lit(0)).alias("compared_links"),
-        )
+    per_class = root_of.join(smallest, "root").join(degree, "cls", "left").select("cls", "root", "component_id", "compared_links")
+    return made.select("doc_id", "k1", "k2", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")), per_class
+
+
+def jaccard_components(
+    docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, compared_links) for each row of ``docs``.
+
+    Two documents link when den * |intersection| >= num * |union| of their n-gram sets;
+    component_id is the smallest doc_id that links reach, itself included. ``compared_links``
+    counts the other sets (not copies) whose comparison found a link; pairs inside a component
+    that is already known are neither compared nor counted. A null text counts as empty; documents without words have an empty
+    set, link with nothing and are their own component. Each row is a document: repeated
+    rows have equal sets and link. A null id never is a component_id unless all ids of a
+    component are null. Other columns are not read; an empty table gives an empty result.
+    """
+    none = F.lit(None).cast("long")
+    texts = id_and_text(docs, id_col, text_col).withColumns({"k1": none, "k2": none})
+    rows, classes = _found(texts, words, num, den)
+    return rows.join(classes, "cls", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("compared_links", F.lit(0)).alias("compared_links"),
     )
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with exactly one row of each component of ``jaccard_components``, all columns as
+    they are: the one with the smallest id (null last), of several with that id the first by a
+    hash of the text, of rows equal in both any one. Rows without words all stay. Decided by
+    row, so texts that only share an id, or have none, do not go with one another."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    by_key = keyed(docs.toDF(*names), at[id_col], at[text_col])
+    texts = by_key.select(F.col(at[id_col]).cast("long").alias("doc_id"), F.coalesce(at[text_col], F.lit("")).alias("text"), "k1", "k2")
+    rows, classes = _found(texts, words, num, den)
+    # one row per key, with how many rows have it
+    keys = rows.where("n > 0").groupBy("cls", "k1", "k2", "doc_id").agg(F.count("*").alias("rows")).join(classes.select("cls", "root"), "cls")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
+    first = keys.groupBy("root").agg(F.min(order).alias("first"))
+    marked = keys.join(first, "root").withColumn("stays", (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")))
+    marked = checkpointed(marked.where("NOT stays OR rows > 1").select("k1", "k2", "stays"))
+    plain = by_key.join(marked.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    # rows that repeat id and text of the row that stays: one of them
+    repeated = by_key.join(marked.where("stays").select("k1", "k2"), ["k1", "k2"])
+    one = repeated.withColumn("place", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))).where("place = 1")
+    return plain.select(*names).unionByName(one.select(*names)).toDF(*docs.columns)

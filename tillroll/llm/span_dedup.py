@@ -15,14 +15,16 @@ from collections.abc import Iterable, Iterator, Sequence
 from itertools import accumulate, chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import use_package
+from tillroll.llm.common import keyed, stored, use_package, written
 
-RUN = 2  # sentences in a span
+RUN = 3  # sentences in a span
 LEAST_WORDS = 4  # words of a sentence; shorter ones are joined with what follows
 
 #: Marks that end a clause without white space behind them: CJK, Indic, Arabic, Ethiopic,
@@ -42,7 +44,6 @@ _WORD = re.compile(r"\s*\S+\s*")
 _WIDE = re.compile(rf"[{_HAN}{_THAI}]")
 _PIECE = re.compile(rf"\s*(?:([{_HAN}][{_JOINED}]*)|([{_THAI}][{_JOINED}]*)|([^\s{_HAN}{_THAI}]+))\s*")
 _CHARACTER = re.compile(rf"\s*\S[{_JOINED}]*\s*")
-_LAST_ID = 2**63 - 1  # stands for a null id
 
 
 def _characters_count(text: str) -> bool:
@@ -157,77 +158,115 @@ def span_hashes(units: list[tuple[int, int, str]], run: int = RUN) -> list[bytes
     return [xxhash.xxh3_128_digest("\n".join([u[2] for u in units[i : i + run]])) for i in range(len(units) - run + 1)]
 
 
-def removed_sentences(hashes: list[bytes], repeated: set[bytes], n: int, run: int = RUN) -> np.ndarray:
-    """Which of ``n`` sentences a repeated span covers: one named in ``repeated`` (an earlier
-    document has it) or one that came before in the same text."""
-    gone = np.zeros(n, bool)
-    seen: set[bytes] = set()
-    for i, h in enumerate(hashes):
-        if h in repeated or h in seen:
-            gone[i : i + run] = True
-        seen.add(h)
-    return gone
+def removed_sentences(repeated: np.ndarray, n: int, run: int = RUN) -> np.ndarray:
+    """Which of ``n`` sentences the ``repeated`` spans (their first sentences) cover."""
+    gone = np.zeros(n + 1, np.int64)
+    np.add.at(gone, repeated, 1)
+    np.add.at(gone, np.minimum(repeated + run, n), -1)
+    return np.cumsum(gone[:n]) > 0
 
 
-def _cut(docs: DataFrame, run: int, least_words: int, id_col: str, text_col: str, payload: Column) -> DataFrame:
-    """(doc_id, row, n_sentences, n_removed, spans, kept) for each row; ``row`` is ``payload``."""
-    use_package(docs.sparkSession)
-    base = docs.select(
-        F.coalesce(docs[id_col].cast("long"), F.lit(_LAST_ID)).alias("id"),
-        docs[id_col].cast("long").alias("doc_id"),
-        F.coalesce(docs[text_col], F.lit("")).alias("text"),
-        payload.alias("row"),
-    )
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hs = [], []
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = set(span_hashes(sentences(text, least_words), run))
-                hs += own
-                ids += [key] * len(own)
-            both = np.frombuffer(b"".join(hs), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[::2]), pa.array(both[1::2])], names=["id", "h1", "h2"])
-
-    spans = base.select("id", "text").mapInArrow(hashed, "id long, h1 long, h2 long")
-    # min and max combine before the shuffle: a span that everyone has is one row per task
-    several = spans.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    later = (
-        spans.join(several.select("h1", "h2", "first"), ["h1", "h2"])
-        .where("id > first")
-        .groupBy("id")
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("repeated"))
-    )
-
-    fields = {f.name: f for f in base.schema.fields}
-    row_type = fields["row"].dataType.simpleString()
-    pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _later_copies(hashes: list[bytes]) -> list[int]:
+    """The spans that the same text holds before."""
+    first: dict[bytes, int] = {}
+    return [i for i, h in enumerate(hashes) if first.setdefault(h, i) < i]
+
+
+_UNITS = "row long, k1 long, k2 long, id long, ends binary, own array<int>, h1 array<long>, h2 array<long>"
+_CUTS = "k1 long, k2 long, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>"
+
+
+def _units(docs: DataFrame, run: int, least_words: int, id_col: str, text_col: str) -> DataFrame:
+    """Of each text the ends of its sentences, its spans' hashes, and which of these it holds
+    before; ``row`` numbers the rows. This is the only pass that looks for sentences."""
+    base = keyed(docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")), "id", "text")
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            n, removed, cuts, kept = [], [], [], []
-            listed = batch.column("repeated")
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                named = {np.array([x["h1"], x["h2"]], np.int64).tobytes() for x in listed[i].as_py() or ()}
+            ends, own, hs, sizes = [], [], [], []
+            for text in batch.column("text").to_pylist():
                 units = sentences(text, least_words)
-                gone = removed_sentences(span_hashes(units, run), named, len(units), run)
-                n.append(len(units))
-                removed.append(int(gone.sum()))
-                kept.append("".join([text[a:b] for (a, b, _), g in zip(units, gone, strict=True) if not g]) if gone.any() else text)
-                own: list[dict] = []
-                for (a, b, _), g in zip(units, gone, strict=True):
-                    if g and own and own[-1]["end"] == a:
-                        own[-1]["end"] = b
-                    elif g:
-                        own.append({"start": a, "end": b})
-                cuts.append(own)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(cuts, pair), pa.array(kept, pa.string())],
-                names=["doc_id", "row", "n_sentences", "n_removed", "spans", "kept"],
-            )
-
-    schema = f"doc_id long, row {row_type}, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>, kept string"
-    return base.join(later, "id", "left").select("doc_id", "text", "row", "repeated").mapInArrow(cut, schema)
+                hashes = span_hashes(units, run)
+                ends.append(np.array([u[1] for u in units], np.int32).tobytes())
+                own.append(_later_copies(hashes))
+                hs += hashes
+                sizes.append(len(hashes))
+            both = np.frombuffer(b"".join(hs), np.int64)
+            at = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(both[i::2])) for i in (0, 1)]
+            keys = [batch.column(c) for c in ("k1", "k2", "id")]
+            rows = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rows, *keys, pa.array(ends, pa.binary()), pa.array(own, pa.list_(pa.int32())), *lists], names=["row", "k1", "k2", "id", "ends", "own", "h1", "h2"])
+
+    return base.select("k1", "k2", "id", "text").mapInArrow(segment, _UNITS)
+
+
+def _cuts(docs: DataFrame, run: int, least_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(k1, k2, n_sentences, n_removed, spans) of each key."""
+    use_package(docs.sparkSession)
+    with written(_units(docs, run, least_words, id_col, text_col)) as units:
+        # rows without an id come last, in order of their keys
+        late = F.when(F.col("id").isNull(), F.col("k1")).alias("late")
+        spans = units.select("row", "id", late, F.posexplode(F.arrays_zip("h1", "h2")).alias("pos", "h")).select("row", "id", "late", "pos", "h.h1", "h.h2")
+        # min and max combine before the shuffle: a span that everyone has is one row per task
+        several = (
+            spans.groupBy("h1", "h2")
+            .agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("late").alias("first_late"), F.max("late").alias("last_late"))
+            .where("first < last OR first_late < last_late OR (first IS NOT NULL AND first_late IS NOT NULL)")
+            .select("h1", "h2", "first", "first_late")
+        )
+        later = (
+            spans.join(several, ["h1", "h2"])
+            .where("id > first OR late > first_late OR (id IS NULL AND first IS NOT NULL)")
+            .groupBy("row")
+            .agg(F.collect_list("pos").alias("repeated"))
+        )
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, removed, cuts = [], [], []
+                for raw, own, other in zip(*(batch.column(c).to_pylist() for c in ("ends", "own", "repeated")), strict=True):
+                    ends = np.frombuffer(raw, np.int32)
+                    gone = removed_sentences(np.array([*(own or ()), *(other or ())], np.int64), len(ends), run)
+                    n.append(len(ends))
+                    removed.append(int(gone.sum()))
+                    steps = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))  # begin, end, begin, end, ...
+                    at = np.append(0, ends)[steps].tolist()
+                    cuts.append([{"start": i, "end": j} for i, j in zip(at[::2], at[1::2])])
+                pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("k1"), batch.column("k2"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(cuts, pair)],
+                    names=["k1", "k2", "n_sentences", "n_removed", "spans"],
+                )
+
+        narrow = units.select("row", "k1", "k2", "ends", "own").join(later, "row", "left").select("k1", "k2", "ends", "own", "repeated")
+        return stored(narrow.mapInArrow(cut, _CUTS).dropDuplicates(["k1", "k2"]), "cuts")
+
+
+def _cut(docs: DataFrame, run: int, least_words: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` with n_sentences, n_removed, spans and kept; of no removed sentence
+    ``kept`` is null."""
+    own = docs.columns
+    joined = keyed(docs, id_col, text_col).join(_cuts(docs, run, least_words, id_col, text_col), ["k1", "k2"])
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, cuts in zip(texts, spans, strict=True):
+            if text is None or not len(cuts):
+                out.append(None)
+                continue
+            at, kept = 0, []
+            for c in cuts:
+                kept.append(text[at : c["start"]])
+                at = c["end"]
+            out.append("".join([*kept, text[at:]]))
+        return pd.Series(out, dtype=object)
+
+    kept = without(F.when(F.col("n_removed") > 0, F.col(text_col)), F.col("spans"))
+    return joined.select(*own, "n_sentences", "n_removed", "spans", kept.alias("kept"))
 
 
 def dedup_spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,9 +276,12 @@ def dedup_spans(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS,
     span's first occurrence: the one in the document with the smallest id, first in its
     text. ``spans`` lists the removed stretches (characters, end exclusive). A null text
     counts as empty; a text of fewer than ``run`` sentences has no span and stays. Rows that
-    repeat an id count as one document among themselves, rows without an id as one that
-    comes last. Other columns are not read; an empty table gives an empty result."""
-    return _cut(docs, run, least_words, id_col, text_col, F.lit(None).cast("boolean")).drop("row")
+    repeat an id count as one document among themselves. Rows without an id come last, in
+    order of a hash of their text; those with equal texts count as one document. Other
+    columns are not read; an empty table gives an empty result."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    out = _cut(rows, run, least_words, "doc_id", "text")
+    return out.select("doc_id", "n_sentences", "n_removed", "spans", F.coalesce("kept", "text").alias("kept"))
 
 
 def drop_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -247,12 +289,11 @@ def drop_repeats(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS
     there is such a column); rows of which nothing is left go."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
-    numbered = docs.toDF(*names)
-    out = _cut(numbered, run, least_words, at[id_col], at[text_col], F.struct(*names))
+    out = _cut(docs.toDF(*names), run, least_words, at[id_col], at[text_col])
     changed = F.col("n_removed") > 0
     cols = []
     for c, n in at.items():
-        col = F.col(f"row.{n}")
+        col = F.col(n)
         if c == text_col:
             col = F.when(changed, F.col("kept")).otherwise(col)
         elif c == length_col:
