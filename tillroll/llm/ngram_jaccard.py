@@ -191,7 +191,8 @@ def _found(texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
         return two.where(both * den >= (F.col("na") + F.col("nb") - both) * num).select("a", "b").distinct()
 
     # every set against one leader: of the leaders of its lists, the one that shares most
-    leader = listed.groupBy("key").agg(F.max(F.struct("left", "cls")).alias("l"))
+    # (a table of its own, so that Spark can split the partition of a long list in the join)
+    leader = checkpointed(listed.groupBy("key").agg(F.max(F.struct("left", "cls")).alias("l")))
     star = checkpointed(
         listed.join(leader, "key")
         .where("cls <> l.cls")

@@ -210,12 +210,14 @@ def _cuts(docs: DataFrame, run: int, least_words: int, id_col: str, text_col: st
         # rows without an id come last, in order of their keys
         late = F.when(F.col("id").isNull(), F.col("k1")).alias("late")
         spans = units.select("row", "id", late, F.posexplode(F.arrays_zip("h1", "h2")).alias("pos", "h")).select("row", "id", "late", "pos", "h.h1", "h.h2")
-        # min and max combine before the shuffle: a span that everyone has is one row per task
-        several = (
+        # min and max combine before the shuffle: a span that everyone has is one row per task.
+        # A table of its own, so that Spark can split the partition of such a span in the join.
+        several = stored(
             spans.groupBy("h1", "h2")
             .agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("late").alias("first_late"), F.max("late").alias("last_late"))
             .where("first < last OR first_late < last_late OR (first IS NOT NULL AND first_late IS NOT NULL)")
-            .select("h1", "h2", "first", "first_late")
+            .select("h1", "h2", "first", "first_late"),
+            "several",
         )
         later = (
             spans.join(several, ["h1", "h2"])
