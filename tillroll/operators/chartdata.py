@@ -6,7 +6,7 @@ client. Nothing here draws.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,7 @@ def histogram(
     value_range: tuple[float, float] | None = None,
     weight: str | Column | None = None,
     view: tuple[float | None, float | None] = (None, None),
+    few: bool = False,
 ) -> DataFrame:
     """Equal-width histogram of a numeric column: (bin, lo, hi, n) for non-empty bins.
 
@@ -65,11 +66,20 @@ def histogram(
     ``value_range`` is given, in which case values outside it are not counted. A row counts
     ``weight`` times (once without). ``view`` cuts what is shown, not what is counted: the
     bins keep their edges, and those that begin outside it are left out. Counting is one
-    aggregation on the bin index, combined map-side."""
+    aggregation on the bin index, combined map-side.
+
+    With ``few``, for columns of few different values (whole days, results per month), rows
+    are first added up by value, and the range is taken over that small frame in one task:
+    the input is evaluated once. Without it, the range pass evaluates the input again."""
     x = _col(column).cast("double")
     w = F.lit(1).cast("long") if weight is None else _col(weight)
     data = df.select(x.alias("_x"), w.alias("_w")).filter(F.col("_x").isNotNull())
-    if value_range is None:
+    if value_range is None and few:
+        everything = Window.partitionBy()
+        data = data.groupBy("_x").agg(F.sum("_w").alias("_w")).select(
+            "_x", "_w", F.min("_x").over(everything).alias("_x_lo"), F.max("_x").over(everything).alias("_x_hi")
+        )
+    elif value_range is None:
         data = _with_range(data, ["_x"])
     else:
         data = data.select(
@@ -77,10 +87,12 @@ def histogram(
         ).filter((F.col("_x") >= F.col("_x_lo")) & (F.col("_x") <= F.col("_x_hi")))
     lo, hi = F.col("_x_lo"), F.col("_x_hi")
     width = (hi - lo) / bins
+    # the range is an aggregate too, not a key: a filter on it (the view) stays above, where
+    # the bins are, and doesn't take a copy of the range's plan down to the rows
     counted = (
         data.select(_bin_index(F.col("_x"), lo, hi, bins).alias("bin"), "_x_lo", "_x_hi", "_w")
-        .groupBy("bin", "_x_lo", "_x_hi")
-        .agg(F.sum("_w").alias("n"))
+        .groupBy("bin")
+        .agg(F.sum("_w").alias("n"), F.max("_x_lo").alias("_x_lo"), F.max("_x_hi").alias("_x_hi"))
     )
     shown = counted.select(
         "bin",
@@ -94,6 +106,24 @@ def histogram(
     return shown
 
 
+def _digest(key: list[str | Column]) -> Column:
+    return F.md5(F.concat_ws(":", *[F.coalesce(_col(k).cast("string"), F.lit("")) for k in key]))
+
+
+def _smallest(points: DataFrame, n: int) -> DataFrame:
+    """The (x, y) of the ``n`` rows with the smallest ``_h``.
+
+    Rows are counted by the first four digits of ``_h`` (65,536 groups at most, combined
+    map-side); the group that holds the n-th row ends the range that is read for the top n,
+    so that what the last task sorts is about n rows and a 65,536th of the input, not n rows
+    of every partition."""
+    digits = F.substring("_h", 1, 4)
+    counts = points.groupBy(digits.alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    last = counts.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b")).filter(F.col("_b") < n).agg(F.max("_g"))
+    return points.filter(digits <= last.scalar()).orderBy("_h", "x", "y").limit(n).select("x", "y")
+
+
 def scatter_frame(
     df: DataFrame,
     x: str | Column,
@@ -101,13 +131,23 @@ def scatter_frame(
     bins: tuple[int, int] | None = None,
     fraction: float | None = None,
     seed: int = 42,
+    max_points: int | None = None,
+    key: list[str | Column] | None = None,
 ) -> DataFrame:
     """Scatter data. Without ``bins``: the (x, y) points, for inputs known to be small,
     or a seeded Bernoulli sample of them with ``fraction`` (reproducible for a given input
-    partitioning). With ``bins=(bx, by)``: a 2-D equal-width binned count
+    partitioning), or exactly ``max_points`` of them (all, if fewer): the rows whose ``key``
+    columns have the smallest MD5 (of the values as text, joined by ``:``; null as nothing),
+    ties by x and y. These are the same rows under any partitioning, and by the same rule in
+    SQL. A key that names a row (the default is x and y) samples rows; rows that share their
+    key come or stay away together, but for the last ones. With ``bins=(bx, by)``: a 2-D equal-width binned count
     (bin_x, bin_y, x, y, n), where x, y are bin centres; the output is bounded by
     bx * by whatever the input size."""
     xc, yc = _col(x).cast("double"), _col(y).cast("double")
+    if max_points is not None:
+        if bins is not None or fraction is not None:
+            raise ValueError("max_points goes without bins and fraction")
+        return _smallest(df.select(xc.alias("x"), yc.alias("y"), _digest(key or [xc, yc]).alias("_h")), max_points)
     pts = df.select(xc.alias("_x"), yc.alias("_y"))
     if bins is None:
         if fraction is not None:

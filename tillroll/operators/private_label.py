@@ -52,17 +52,6 @@ def product_flags(
     )
 
 
-def _with_flags(parts: DataFrame, flags: DataFrame, how: str) -> DataFrame:
-    """Sums ``_s`` and counts ``_n`` per product and group, with the private-label shares
-    ``_pls`` and ``_pln`` beside them. Only these partial sums meet the product table."""
-    pl = F.coalesce(F.col("_pl"), F.lit(False))
-    return (
-        parts.join(flags, "prod_id", how)
-        .withColumn("_pls", F.when(pl, F.col("_s")))
-        .withColumn("_pln", F.when(pl, F.col("_n")).otherwise(F.lit(0)))
-    )
-
-
 def monthly_private_label_spend(
     trips: DataFrame,
     purchases: DataFrame,
@@ -75,17 +64,19 @@ def monthly_private_label_spend(
     """Per month: total spend on known products, private-label spend and private-label
     line count, in one pass. Output (month, all_prods, pl_prods, pl_lines).
 
-    Lines meet the year's trips first, so that only the year's lines go on; they are
-    reduced per product and month (combined map-side), and these partial sums meet the
-    product table. One plan for every size: which joins broadcast is left to the planner."""
+    Lines meet the year's trips first, so that only the year's lines go on, and then the
+    products; the one aggregation after that is by month and combined map-side. (Reducing
+    lines per product before they meet the products saves next to nothing: most products
+    are bought seldom in a month.) Which joins broadcast is left to the planner."""
     flags = product_flags(products, brand, match, case_insensitive)
     lines = in_trip_year(purchases, year).select("tc_id", "prod_id", PAID)
     t = trips_in_year(trips, year).select("tc_id", month_of("tc_date").alias("month"))
-    parts = lines.join(t, "tc_id").groupBy("prod_id", "month").agg(F.sum(PAID).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    return _with_flags(parts, flags, "inner").groupBy("month").agg(
-        money_sum("_s").alias("all_prods"),
-        money_sum("_pls").alias("pl_prods"),
-        F.sum("_pln").alias("pl_lines"),
+    pl = F.col("_pl")
+    return (
+        lines.join(t, "tc_id")
+        .join(flags, "prod_id")
+        .groupBy("month")
+        .agg(money_sum(PAID).alias("all_prods"), money_sum(F.when(pl, F.col(PAID))).alias("pl_prods"), F.count_if(pl).alias("pl_lines"))
     )
 
 
@@ -120,9 +111,9 @@ def private_label_share_by_income_month(
     for the months in which the band bought private label.
     Output (band, year_month, total, private, percentage).
 
-    All bands in one pass: the narrow trips get their household's band before they meet the
-    purchase lines; lines are then reduced per product, band and year-month (combined
-    map-side) and only these partial sums meet the private-label product ids."""
+    All bands in one pass: lines are marked by the private-label product ids (few: one brand's),
+    the narrow trips get their household's band, the two meet on the trip id, and the one
+    aggregation is by band and year-month, combined map-side."""
     pl_ids = (
         products.filter(is_private_label(BRAND, brand, match, case_insensitive))
         .select("prod_id")
@@ -140,16 +131,11 @@ def private_label_share_by_income_month(
         .join(banded, "hh_id")
         .select("tc_id", "band", "year_month")
     )
-    parts = (
-        purchases.select("tc_id", "prod_id", PAID)
-        .join(t, "tc_id")
-        .groupBy("prod_id", "band", "year_month")
-        .agg(F.sum(PAID).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    )
+    lines = purchases.select("tc_id", "prod_id", PAID).join(pl_ids, "prod_id", "left").select("tc_id", PAID, "_pl")
     return (
-        _with_flags(parts, pl_ids, "left")
+        lines.join(t, "tc_id")
         .groupBy("band", "year_month")
-        .agg(money_sum("_s").alias("total"), money_sum("_pls").alias("private"), F.sum("_pln").alias("_pln"))
+        .agg(money_sum(PAID).alias("total"), money_sum(F.when(F.col("_pl"), F.col(PAID))).alias("private"), F.count("_pl").alias("_pln"))
         .filter(F.col("_pln") > 0)
         .select("band", "year_month", "total", "private", ratio("private", "total").alias("percentage"))
     )

@@ -43,6 +43,7 @@ class Params:
     global_gap_days: int = INACTIVE_MONTHS * 30
     share_bins: int = 10
     scatter_bins: tuple[int, int] = (50, 50)
+    max_points: int = 500
     top_groups: int = 5
 
 
@@ -96,7 +97,14 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
     def gap_histogram(p: Panel, **options) -> DataFrame:
         # a household's few gaps are added up first: as many rows as there are different gaps
         counted = household_gaps(p).groupBy("time_window").agg(F.sum("n").alias("n"))
-        return chart.histogram(counted, "time_window", q.gap_bins, weight="n", **options)
+        return chart.histogram(counted, "time_window", q.gap_bins, weight="n", few=True, **options)
+
+    def price_points(p: Panel) -> DataFrame:
+        # the key is the purchase line itself, its price in cents
+        paid = F.col(monthly.PAID)
+        line = p.purchases.withColumn("_price", F.try_divide(paid.cast("double"), F.col(monthly.QTY)))
+        key = ["tc_id", "prod_id", monthly.QTY, (paid * 100).cast("long")]
+        return chart.scatter_frame(line, "_price", monthly.QTY, max_points=q.max_points, key=key)
 
     def items(p: Panel) -> DataFrame:
         return monthly.avg_items_by_month(p.trips, p.households, p.purchases, q.year)
@@ -199,11 +207,12 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
         "line_trips_by_month": lambda p: chart.line_frame(trips_by_month(p), "month", "num_trips"),
         "gap_histogram": gap_histogram,
         "gap_histogram_view": lambda p: gap_histogram(p, view=(None, q.gap_view)),
-        "income_share_histogram": lambda p: chart.histogram(band_months(p), "percentage", q.share_bins),
+        "income_share_histogram": lambda p: chart.histogram(band_months(p), "percentage", q.share_bins, few=True),
         "scatter_items_trips": lambda p: chart.scatter_frame(ivt(p), "num_items", "num_trips"),
         "scatter_price_quantity": lambda p: chart.scatter_frame(
             monthly.price_per_item(p.purchases), "avg_price_paid_per_item", "quantity_at_tc_prod_id", q.scatter_bins
         ),
+        "scatter_price_points": price_points,
     })
     return out
 

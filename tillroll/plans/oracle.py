@@ -361,6 +361,17 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
         ["ppi"],
         _scatter_bins("ppi", "avg_price_paid_per_item", "quantity_at_tc_prod_id", *P.scatter_bins),
     ),
+    "scatter_price_points": (
+        ["purchases"],
+        f"""SELECT CAST(total_price_paid_at_tc_prod_id AS DOUBLE) / NULLIF(quantity_at_tc_prod_id, 0) AS x,
+               CAST(quantity_at_tc_prod_id AS DOUBLE) AS y
+        FROM purchases
+        ORDER BY md5(concat_ws(':', coalesce(CAST(tc_id AS VARCHAR), ''), coalesce(CAST(prod_id AS VARCHAR), ''),
+                               coalesce(CAST(quantity_at_tc_prod_id AS VARCHAR), ''),
+                               coalesce(CAST(CAST(total_price_paid_at_tc_prod_id * 100 AS BIGINT) AS VARCHAR), ''))),
+                 x NULLS FIRST, y NULLS FIRST
+        LIMIT {P.max_points}""",
+    ),
 }
 
 
