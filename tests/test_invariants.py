@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL, d, m, make_panel
 from oracle_harness import duck_connection
 from tillroll.operators import gaps, loyalty, private_label
-from tillroll.operators.sequence import sequence_number
+from tillroll.operators.sequence import sequence_number, slice_of, splitters
 from tillroll.plans.catalog import P
 from tillroll.plans.inspect import plan_text, single_partition_children
 from tillroll.sources.panel import panel_from_tpch
@@ -85,8 +85,8 @@ def test_loyal_households_equal_all_pairs(spark, single, pair):
 def test_sequence_plan_has_no_single_partition_on_rows(spark):
     df = _skewed(spark)
     numbered = sequence_number(df, ["k", "t", "u"], "id", num_slices=4)
-    # counts and numbering both read the checkpointed, range-partitioned slices
-    assert "existingrdd" in plan_text(numbered).lower()
+    # counts and numbering cut the rows at the same splitters: sub-queries of one plan
+    assert "rangepartitioning" not in plan_text(numbered).lower()
     children = single_partition_children(numbered)
     # the only single-task step is the running offset over the per-slice counts
     assert children and all("Aggregate" in c for c in children)
@@ -285,21 +285,45 @@ def test_private_label_answers_do_not_depend_on_broadcasts(spark):
 
 
 def test_building_a_query_runs_no_job(spark):
-    """Except for the numbered trip sequences, which write a checkpoint."""
-    from tillroll.plans.catalog import NUMBERED, analyses
+    """The numbered trip sequences too: their splitters are a sub-query of the plan."""
+    from tillroll.plans.catalog import analyses
 
     panel = panel_from_tpch(spark, SF_SMALL)
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("build", "build")
     try:
         for name, fn in analyses(P).items():
-            if name not in NUMBERED:
-                fn(panel)
+            fn(panel)
         assert not tracker.getJobIdsForGroup("build")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_splitters_depend_on_the_rows_alone(spark):
+    """Partitioning, and a second evaluation, change nothing; nulls come first."""
+    df = _skewed(spark).unionByName(spark.createDataFrame([(None, None, 10**6 + i) for i in range(50)], "k long, t int, u long"))
+    order = ["k", "t", "u"]
+    first = splitters(df.repartition(1), order, 9).first()["bounds"]
+    assert len(first) == 8 and first == sorted(first, key=lambda b: tuple((v is not None, v or 0) for v in b))
+    for parts in (3, 11):
+        assert splitters(df.repartition(parts), order, 9).first()["bounds"] == first
+    got = sequence_number(df, order, "id", num_slices=9).orderBy("id").select(*order).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in df.orderBy(*order).collect()]
+    none = sequence_number(df.where("u < 0"), order, "id", num_slices=9)
+    assert none.columns == [*order, "id"] and none.collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_slice_of_is_a_search_in_the_splitters(spark, n):
+    from bisect import bisect_right
+
+    bounds = sorted({(i * 7919) % 5000 for i in range(n - 1)})
+    lit = F.array(*[F.struct(F.lit(b).alias("k0")) for b in bounds]) if bounds else F.array().cast("array<struct<k0:int>>")
+    df = spark.range(0, 5100, 37).select(F.col("id").cast("int").alias("v"))
+    got = df.select("v", slice_of(F.struct(F.col("v").alias("k0")), lit, n).alias("s")).collect()
+    assert all(r["s"] == bisect_right(bounds, r["v"]) for r in got)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables not present")
 def test_sequence_numbers_are_exact_on_many_rows(spark):
     """Enough rows that a range exchange's bounds come from a genuine sample: the slice

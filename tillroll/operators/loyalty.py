@@ -13,6 +13,7 @@ from tillroll.sources.layout import without_year
 from tillroll.sources.schema import ACTIVE_MONTHS, PAIR_LOYAL_SHARE, SINGLE_LOYAL_SHARE, SPEND_MONTHS
 
 SPENT = "tc_total_spent"
+STATE_MONEY = "decimal(28,2)"  # of sums that are summed again
 RETAILER = "tc_retailer_code"
 
 
@@ -67,6 +68,40 @@ def retailer_share(active_trips: DataFrame, months: int = SPEND_MONTHS) -> DataF
     return _shares(per, months)
 
 
+def retailer_state(trips: DataFrame) -> DataFrame:
+    """What the loyalty chain needs of the trips, per household and retailer: (hh_id,
+    tc_retailer_code, spent, month_mask). ``spent`` is the exact sum; bit month-1 of
+    ``month_mask`` says that there was a dated trip in that calendar month. Both add up over
+    any split of the trips, so states of separate loads merge (``merge_state``)."""
+    return (
+        trips.filter(F.col("hh_id").isNotNull())
+        .groupBy("hh_id", RETAILER)
+        .agg(F.sum(SPENT).cast(STATE_MONEY).alias("spent"), F.bit_or(_month_bit()).alias("month_mask"))
+    )
+
+
+def merge_state(*states: DataFrame) -> DataFrame:
+    """The state of all the trips whose states these are."""
+    rows = states[0]
+    for other in states[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy("hh_id", RETAILER).agg(F.sum("spent").cast(STATE_MONEY).alias("spent"), F.bit_or("month_mask").alias("month_mask"))
+
+
+def share_of_state(state: DataFrame, min_months: int = ACTIVE_MONTHS, months: int = SPEND_MONTHS) -> DataFrame:
+    """``active_retailer_share`` from a state: one window per household over its few rows (one
+    per retailer) gives both the household's active months and its total."""
+    household = Window.partitionBy("hh_id")
+    active = state.select(
+        "hh_id",
+        RETAILER,
+        F.col("spent").alias("_spent"),
+        F.sum("spent").over(household).alias("_hh_spent"),
+        F.bit_count(F.bit_or("month_mask").over(household)).alias("_months"),
+    ).filter(F.col("_months") >= min_months)
+    return _shares(active, months)
+
+
 def active_retailer_share(
     trips: DataFrame, min_months: int = ACTIVE_MONTHS, months: int = SPEND_MONTHS
 ) -> DataFrame:
@@ -74,27 +109,10 @@ def active_retailer_share(
     months, straight from all trips: equal to
     ``retailer_share(monthly_active_trips(trips, monthly_active_households(trips)))``.
 
-    One scan and one aggregation per household and retailer (spend sum and an OR of
-    month bits, combined map-side), then one window per household over those few rows
-    gives both the household's active months and its total: no second scan of the trips
-    and no semi-join of the trips against the active households."""
-    per = (
-        trips.filter(F.col("hh_id").isNotNull())
-        .groupBy("hh_id", RETAILER)
-        .agg(F.sum(SPENT).alias("_spent"), F.bit_or(_month_bit()).alias("_mask"))
-    )
-    household = Window.partitionBy("hh_id")
-    active = (
-        per.select(
-            "hh_id",
-            RETAILER,
-            "_spent",
-            F.sum("_spent").over(household).alias("_hh_spent"),
-            F.bit_count(F.bit_or("_mask").over(household)).alias("_months"),
-        )
-        .filter(F.col("_months") >= min_months)
-    )
-    return _shares(active, months)
+    One scan and one aggregation per household and retailer (``retailer_state``, combined
+    map-side), then one window per household over those few rows (``share_of_state``): no
+    second scan of the trips and no semi-join of the trips against the active households."""
+    return share_of_state(retailer_state(trips), min_months, months)
 
 
 def active_household_avg_spend(

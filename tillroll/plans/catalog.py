@@ -55,8 +55,8 @@ STUDY = Params()
 # active-month, single-loyalty and global-gap thresholds are moved to give non-empty answers.
 P = Params(year=1998, min_months=8, single_threshold=50, brand="Brand#1", global_gap_days=1)
 
-# Views whose numbering writes a checkpoint when the query is built.
-NUMBERED = ("trip_sequence_by_date", "trip_sequence_by_household")
+
+
 
 # Digits kept when a correlation is compared with another engine's: the summation order of
 # doubles differs in the last bits.
@@ -217,14 +217,13 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
     return out
 
 
-def register_views(panel: Panel, params: Params = STUDY, prefix: str = "", numbered: bool = False) -> list[str]:
+def register_views(panel: Panel, params: Params = STUDY, prefix: str = "") -> list[str]:
     """Register the panel tables and the analyses as temporary views, so the catalog can be
     queried with ``spark.sql``. Views are lazy: registering runs no job, and a query over one
-    runs only the plan it needs. The numbered trip sequences, which write a checkpoint when
-    they are built, are registered with ``numbered`` only."""
+    runs only the plan it needs."""
     names = panel.register_views(prefix)
     for name, fn in analyses(params).items():
-        if not name.startswith("panel_") and (numbered or name not in NUMBERED):
+        if not name.startswith("panel_"):
             fn(panel).createOrReplaceTempView(prefix + name)
             names.append(prefix + name)
     return names

@@ -7,7 +7,11 @@ can run on them. Both return lazy DataFrames; no schema inference is ever used.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,22 +65,50 @@ def without_index(raw: DataFrame) -> DataFrame:
     return raw.drop(*[c for c in raw.columns if c.lower() in INDEX_COLUMNS])
 
 
+SHORT_FILE = 1 << 20  # bytes; shorter files are read whole to find their header
+
+
+@contextmanager
+def _one_file_a_task(spark: SparkSession) -> Iterator[None]:
+    """Scans run in the block read each file in a task of its own."""
+    settings = {"spark.sql.files.maxPartitionBytes": str(1 << 60), "spark.sql.files.openCostInBytes": str(1 << 60)}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def csv_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The files of a CSV file or folder by their header line (one line of each is read)."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    """The files of a CSV file or folder (as Spark names a row's file) by their header line.
+
+    Headers are read where the data is, in whatever store and compression Spark reads. Many
+    short files share a task, which reads them whole; a longer file is a task of its own,
+    which stops at its first lines. The result is one row per distinct header. Files without a line have none."""
+    lines = spark.read.text(path)
+    file, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")  # files are left out by size before they are opened
+
+    def first_line(batches):  # inside, so that workers need not import this package
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    short = lines.where(size < SHORT_FILE).select(file.alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    long = lines.where(size >= SHORT_FILE).select(file.alias("file"), F.col("value").alias("header"))
     out: dict[str, list[str]] = {}
-    for file in spark.read.text(path).inputFiles():
-        at = jvm.org.apache.hadoop.fs.Path(file)
-        stream = at.getFileSystem(conf).open(at)
-        codec = codecs.getCodec(at)
-        if codec is not None:
-            stream = codec.createInputStream(stream)
-        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        header = lines.readLine()
-        lines.close()
-        if header is not None:
-            out.setdefault(header, []).append(file)
+
+    def add(first: DataFrame) -> None:
+        for r in first.groupBy("header").agg(F.collect_list("file").alias("files")).collect():
+            out.setdefault(r["header"], []).extend(r["files"])
+
+    # a short file is one split, so that its lines are numbered in order
+    add(short.groupBy("file").agg(F.min_by("value", "at").alias("header")))
+    with _one_file_a_task(spark):
+        add(long.mapInArrow(first_line, "file string, header string"))
     return out
 
 
@@ -84,20 +116,41 @@ def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> Data
     """A CSV file or folder with header rows, typed by ``schema``: columns are matched by
     name, in any order, in each file by its own header; an unnamed index column is dropped.
 
-    Spark takes one file's header for a whole folder, so files are grouped by header, each
-    group is a scan of its own (whose files must have that header), and the scans are united
-    by name. Without a schema Spark reads every column as a string."""
-    groups = list(csv_headers(spark, path).values()) or [[path]]
-    parts = [
-        _typed(without_index(spark.read.option("header", True).option("enforceSchema", False).csv(files)), schema)
-        for files in groups
-    ]
+    Spark takes one file's header for a whole folder. With several headers, each has a scan of
+    the folder that leaves out the other headers' files before it opens them (and that checks
+    the header of those it reads); the scans are united by name. Every column is read as a string."""
+    headers = sorted(csv_headers(spark, path).items(), key=lambda h: (-len(h[1]), h[0]))
+    if len(headers) < 2:
+        return _typed(without_index(_csv(spark, path)), schema)
+    others = [f for _, files in headers[1:] for f in files]
+    parts = []
+    for i, (_, files) in enumerate(headers):
+        columns = _csv(spark, _as_path(files[0])).schema
+        own = ~_is_one_of(others) if i == 0 else _is_one_of(files)
+        parts.append(_typed(without_index(_csv(spark, path, columns).where(own)), schema))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def _csv(spark: SparkSession, path: str, columns: T.StructType | None = None) -> DataFrame:
+    """Files with a header, which must be that of ``columns`` (by default the first file's)."""
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    return (reader.schema(columns) if columns else reader).csv(path)
+
+
+def _is_one_of(files: list[str]) -> Column:
+    """Whether a row comes from one of the files; others are left out of the scan unopened."""
+    return F.col("_metadata.file_path").isin(files)
+
+
+def _as_path(file: str) -> str:
+    """A row's file as readers take it: it is named as a URI (a blank is %20), and readers take
+    glob characters in a path for patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
+
+
 def read_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One panel CSV (households, products, trips or purchases)."""
     return read_typed_csv(spark, path, SCHEMAS[name])
