@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.session import ensure_checkpoint_dir
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -24,18 +25,10 @@ def use_package(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only where the setting is unset (tests, local runs) is a private folder made."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
-            named = tempfile.mkdtemp(prefix="llm-checkpoint-")
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset (tests, local
+    runs), a folder in the warehouse, by the one rule of the session module."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
