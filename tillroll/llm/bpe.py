@@ -18,6 +18,8 @@ from itertools import repeat
 import numpy as np
 import regex
 
+from tillroll.llm.common import worker_cache
+
 # The split pattern that belongs to this family of vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -287,7 +289,7 @@ def slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[str, Codec] = worker_cache("codecs")
 
 
 def codec(path: str) -> Codec:

@@ -24,6 +24,21 @@ def use_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A dictionary that stays in a Python worker between tasks, by name."""
+    return _CACHES.setdefault(name, {})
+
+
+def release_caches() -> None:
+    """Empty the worker's caches: for tasks that use none, since Spark hands them workers that
+    still hold what tasks of other operators have cached."""
+    for cache in _CACHES.values():
+        cache.clear()
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; where that is unset (tests, local
     runs), a folder in the warehouse, by the one rule of the session module."""

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import checkpointed, id_and_text, keyed, use_package, written
+from tillroll.llm.common import checkpointed, id_and_text, keyed, release_caches, use_package, written
 from tillroll.llm.components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -122,6 +122,7 @@ def _found(texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
     scheme = Scheme(num, den)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             n, cls, keys = [], [], []
             for text in batch.column("text").to_pylist():

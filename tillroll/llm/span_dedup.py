@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import keyed, stored, use_package, written
+from tillroll.llm.common import keyed, release_caches, stored, use_package, written
 
 RUN = 3  # sentences in a span
 LEAST_WORDS = 4  # words of a sentence; shorter ones are joined with what follows
@@ -182,6 +182,7 @@ def _units(docs: DataFrame, run: int, least_words: int, id_col: str, text_col: s
     base = keyed(docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")), "id", "text")
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             ends, own, hs, sizes = [], [], [], []

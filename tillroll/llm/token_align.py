@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.bpe import ByteBPE, Codec, slices
-from tillroll.llm.common import stored, use_package
+from tillroll.llm.common import stored, use_package, worker_cache
 
 WORK = 1 << 14  # ends merged by one piece
 SLICE_LINKS = 1 << 20  # a slice of documents is closed at so many links
@@ -83,7 +83,7 @@ class _Side(Codec):
         return super().encode(texts)
 
 
-_SIDES: dict[tuple[str, str], tuple[_Side, _Side]] = {}
+_SIDES: dict[tuple[str, str], tuple[_Side, _Side]] = worker_cache("sides")
 
 
 def _sides(path_a: str, path_b: str) -> tuple[_Side, _Side]:

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import fold, id_and_text, use_package
+from tillroll.llm.common import fold, id_and_text, release_caches, use_package
 
 FIT_ROWS = 20_000  # labelled rows that the models are fitted on, about
 VOTERS = 24  # lexicon voters
@@ -205,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     rows = training_rows(docs, labels, fit_rows, id_col, text_col)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_caches()
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
@@ -289,6 +290,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release_caches()
         for texts in batches:
             yield texts.map(model.score, na_action=None)
 
