@@ -20,24 +20,64 @@ def check_tree(x: np.ndarray, node: cover_tree.Node) -> None:
     if node.children:
         assert sorted(r for c in node.children for r in c.rows) == sorted(node.rows)  # every row once
         assert any((c.centre == node.centre).all() for c in node.children)  # nesting
-        assert all(c.radius <= node.radius / 2 + 1e-9 for c in node.children)  # covering
         centres = np.array([c.centre for c in node.children])
         gaps = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2)) + np.eye(len(centres)) * 1e9
-        assert gaps.min() > node.radius / 2  # separation
+        reach = [node.radius * 0.5 ** (0.5**i) for i in range(cover_tree.STEPS)]  # covering and separation, by one radius
+        assert any(max(c.radius for c in node.children) <= r + 1e-9 and gaps.min() > r - 1e-9 for r in reach)
+    else:
+        assert len(node.rows) <= 4 or node.radius == 0
     for c in node.children:
         check_tree(x, c)
 
 
-@pytest.mark.parametrize("dims,n", [(2, 500), (16, 400), (1, 300)])
+@pytest.mark.parametrize("dims,n", [(2, 500), (16, 400), (1, 300), (256, 700)])
 def test_cover_tree_invariants(dims, n):
     rnd = np.random.default_rng(dims)
     x = np.floor(rnd.normal(size=(n, dims)) * 40)
     x[: n // 4] = x[0]  # many equal rows
     tree = cover_tree.cover_tree(x, leaf=4)
-    assert tree.children or dims > 2  # nothing to divide in many dimensions
+    assert tree.children
     check_tree(x, tree)
 
 
+def test_rows_all_equally_far_are_divided_too():
+    x = np.eye(100) * 8  # no factor tells them apart into a few groups
+    tree = cover_tree.cover_tree(x, leaf=4)
+    assert len(tree.children) == 100
+    check_tree(x, tree)
+
+
+def test_clustered_vectors_are_pruned():
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(40, 16)) * 400
+    x = np.floor(centres[rnd.integers(0, 40, 6000)] + rnd.normal(size=(6000, 16)) * 4)
+    ids = np.arange(6000)
+    ask = np.flatnonzero(ids % 50 == 0)
+    found, compared = cover_tree.dual_search(x[ask], ids[ask], np.full(len(ask), -np.inf), x, ids, 5)
+    assert compared < len(ask) * len(x) / 4
+    best = {}
+    for q, i, s in found:
+        best.setdefault(q, []).append((-s, i))
+    for q in ask.tolist():
+        scores = sorted((-int(s), j) for j, s in enumerate(x @ x[q]) if j != q)[:5]
+        assert best[q] == scores
+
+
+def test_query_parts_hold_all_queries():
+    rnd = np.random.default_rng(4)
+    pivots = rnd.normal(size=(50, 3))
+    asking = {i: int(rnd.integers(0, 30)) for i in range(50)} | {7: 500}
+    parts = cover_tree.query_parts(pivots, asking, 100)
+    assert set(parts) == set(asking) and parts[7][1] == 5
+    held: dict = {}
+    for pivot, (first, several) in parts.items():
+        for at in range(first, first + several):
+            held.setdefault(at, []).append(pivot)
+    assert sorted(held) == list(range(len(held)))
+    assert all(sum(asking[v] for v in own) <= 100 for own in held.values() if own != [7])
+    assert cover_tree.query_parts(None, {0: 3}, 100) == {0: (0, 1)}
+
+
 def brute(ids: list[int], x: np.ndarray, asks, k: int) -> set:
     out = set()
     for i, a in enumerate(ids):
@@ -47,14 +87,15 @@ def brute(ids: list[int], x: np.ndarray, asks, k: int) -> set:
     return out
 
 
+@pytest.mark.parametrize("leaf", [1, 8, 256])
 @pytest.mark.parametrize("dims,n,k", [(2, 300, 5), (32, 400, 3), (1, 50, 60)])
-def test_dual_search_equals_brute_force(dims, n, k):
+def test_dual_search_equals_brute_force(dims, n, k, leaf):
     rnd = np.random.default_rng(n)
     x = np.floor(rnd.normal(size=(n, dims)) * 6)  # many ties
     x[::5] = x[0]
     ids = rnd.permutation(n * 2)[:n]
     ask = np.flatnonzero(ids % 3 == 0)
-    found = cover_tree.dual_search(x[ask], ids[ask], np.full(len(ask), -np.inf), x, ids, k)
+    found, _ = cover_tree.dual_search(x[ask], ids[ask], np.full(len(ask), -np.inf), x, ids, k, leaf)
     rank: dict = {}
     got = set()
     for q, i, s in found:
