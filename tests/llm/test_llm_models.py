@@ -43,11 +43,27 @@ def test_language_scores_are_naive_bayes():
     rnd = np.random.default_rng(1)
     log_p = np.log(rnd.dirichlet(np.ones(language_id.BUCKETS), 3))
     model = language_id.Model(["a", "b", "c"], log_p, np.log(np.array([0.2, 0.3, 0.5])))
-    for text in ("abc", "Some longer text. " * 20, "many different letters " * 8000):
+    texts = ["abc", "", None, "x", "Some longer text. " * 20, "12 34", "many different letters " * 8000, "İstanbul", "ab"]
+    langs, scores = model.predict(texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        if not text or text == "12 34":
+            assert (lang, score) == ("und", 0)
+            continue
         at = language_id.ngrams(text)
         s = np.array([sum(log_p[i][at]) for i in range(3)]) + model.prior
-        assert model.predict(text)[0] == model.langs[int(np.argmax(s))]
-        assert model.predict(text)[1] == pytest.approx(1 / np.exp(s - s.max()).sum(), rel=1e-6)
+        assert lang == model.langs[int(np.argmax(s))]
+        assert score == pytest.approx(1 / np.exp(s - s.max()).sum(), rel=1e-6)
+        assert model.predict([text])[0] == [lang]
+
+
+def test_sparse_products_are_the_same_in_pieces(monkeypatch):
+    rnd = np.random.default_rng(2)
+    model = language_id.Model(["a", "b"], rnd.normal(size=(2, language_id.BUCKETS)), np.zeros(2))
+    texts = ["one text", "another, longer text " * 9, "z", "four"]
+    whole = model.log_sums(texts)
+    assert whole == pytest.approx(np.array([model.log_p[:, language_id.ngrams(t)].sum(axis=1) for t in texts]))
+    monkeypatch.setattr(language_id, "PRODUCTS", 14)
+    assert model.log_sums(texts) == pytest.approx(whole)
 
 
 def test_label_model_recovers_accuracies():

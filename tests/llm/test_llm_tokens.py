@@ -74,6 +74,23 @@ def test_prefix_counts_equal_library_at_every_prefix():
             assert own.tolist() == [len(ids_of(text[: i + 1])) for i in range(len(text))], text
 
 
+@pytest.mark.parametrize("runs", [1024, 300])
+def test_prefix_counts_of_long_words(monkeypatch, runs):
+    """Unbroken words of many runs: those that fall into step, and those that never do."""
+    monkeypatch.setattr(token_counts, "RUN", runs)
+    rnd = random.Random(12)
+    words = [
+        "".join(rnd.choice("abcdefgh") for _ in range(30_000)), "-" * 20_001, "ab" * 9000, "a" * 15_000,
+        "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(8000)), "start " + "=" * 9001 + " end" + "xyz" * 5000,
+    ]
+    counter = token_counts.PrefixCounter(PATH)
+    counts, chars = counter.counts(words)
+    assert chars.tolist() == [len(w) for w in words]
+    for word, own in zip(words, np.split(counts, np.cumsum(chars)[:-1]), strict=True):
+        for n in [len(word), *rnd.sample(range(1, len(word)), 25)]:
+            assert own[n - 1] == len(ids_of(word[:n]))
+
+
 def test_token_counts_on_spark(spark):
     got = token_counts.token_counts(awkward(spark, EDGE), PATH, limit=5).collect()
     want = sorted(((i, len((t or "").encode()), len(ids_of(t)), len(ids_of(t)) > 5) for i, t in EDGE), key=str)

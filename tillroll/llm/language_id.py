@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.llm.bpe import slices
 from tillroll.llm.common import fold, id_and_text, use_package
 
 FIT_ROWS = 20_000  # labelled rows that the model is fitted on, about
@@ -26,15 +27,33 @@ _LETTER = regex.compile(r"\p{L}")
 def ngrams(text: str) -> np.ndarray:
     """The bucket of each character n-gram of the lower-cased text."""
     c = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
-    out = []
+    out = [_hashed(c, n) for n in ORDERS if len(c) >= n]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+PRODUCTS = 1 << 20  # entries of the sparse product made at once
+
+
+def batch_ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the buckets of the n-grams of all texts, one text behind the other, and
+    the text of each: the non-zero entries, repeated ones apart, of the texts x buckets matrix."""
+    raw = [t.lower().encode("utf-32-le") for t in texts]
+    c = np.frombuffer(b"".join(raw), np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(texts)), [len(r) // 4 for r in raw])
     for n in ORDERS:
-        if len(c) >= n:
-            h = np.full(len(c) - n + 1, n, np.uint64)
-            for i in range(n):
-                h = (h ^ c[i : len(c) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            out.append(h & np.uint64(BUCKETS - 1))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+        if len(c) < n:
+            continue
+        last = len(c) - n + 1
+        whole = row[:last] == row[n - 1 :]  # n-grams don't cross texts
+        yield _hashed(c, n)[whole], row[:last][whole]
+
+
+def _hashed(c: np.ndarray, n: int) -> np.ndarray:
+    h = np.full(len(c) - n + 1, n, np.uint64)
+    for i in range(n):
+        h = (h ^ c[i : len(c) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 @dataclass
@@ -45,18 +64,30 @@ class Model:
     log_p: np.ndarray
     prior: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, its posterior probability); ``und`` and 0 without a letter or model."""
-        if not self.langs or text is None or not _LETTER.search(text):
-            return "und", 0.0
-        at = ngrams(text)
-        if len(at) > 4 * BUCKETS:  # sparse or dense: the same sum
-            s = self.log_p @ np.bincount(at, minlength=BUCKETS)
-        else:
-            s = self.log_p[:, at].sum(axis=1)
-        s = s + self.prior
-        best = int(np.argmax(s))
-        return self.langs[best], float(1 / np.exp(s - s[best]).sum())
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(languages, their posterior probabilities); ``und`` and 0 without a letter or model."""
+        langs, score = ["und"] * len(texts), np.zeros(len(texts))
+        known = [i for i, t in enumerate(texts) if self.langs and t is not None and _LETTER.search(t)]
+        if not known:
+            return langs, score
+        s = self.log_sums([texts[i] for i in known]) + self.prior
+        best = s.argmax(axis=1)
+        score[known] = 1 / np.exp(s - s[np.arange(len(s)), best][:, None]).sum(axis=1)
+        for i, at in zip(known, best.tolist(), strict=True):
+            langs[i] = self.langs[at]
+        return langs, score
+
+    def log_sums(self, texts: list[str]) -> np.ndarray:
+        """texts x languages: the sparse matrix of n-gram counts times that of log-probabilities."""
+        per_bucket = np.ascontiguousarray(self.log_p.T)
+        step = max(1, PRODUCTS // len(self.langs))
+        out = np.zeros((len(texts), len(self.langs)))
+        for bucket, row in batch_ngrams(texts):
+            for a in range(0, len(bucket), step):
+                own = row[a : a + step]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                out[own[first]] += np.add.reduceat(per_bucket[bucket[a : a + step]], first, axis=0)
+        return out
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", alpha: float = 0.1) -> Model:
@@ -110,9 +141,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            out = [m.predict(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["doc_id", "lang_pred", "score"]
-            )
+            texts = batch.column("text").to_pylist()
+            for a, b in slices(texts):
+                langs, score = m.predict(texts[a:b])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, b - a), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"]
+                )
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -108,8 +108,9 @@ FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.token_counts(documents(spark, sf_dir), BYTE_BPE, limit=512, keep_counts=False)
-    return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within")
+    counts = token_counts.token_counts(documents(spark, sf_dir), BYTE_BPE, limit=512)
+    stored = F.crc32("prefix_counts").alias("counts_crc32")
+    return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within", stored)
 
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

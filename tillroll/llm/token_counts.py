@@ -21,6 +21,7 @@ from tillroll.llm.common import id_and_text, use_package
 
 FITS_SLOTS = 1 << 20  # remembered pairs of tokens (a direct-mapped table)
 TABLE_BYTES = 1 << 19  # bytes of words whose tables are filled together
+RUN = 1024  # bytes of a run of a long word; its table is filled beside those of other runs
 CONTRACTIONS = ("'re", "'ve", "'ll")  # words that are split when cut after two characters
 
 
@@ -56,6 +57,8 @@ class PrefixCounter:
         edges.sort()
         self.edge_keys, self.edge_to = (np.array(x, np.int64) for x in zip(*edges, strict=True))
         self.node_token = np.array(token, np.int64)
+        self.token_size = np.fromiter(map(len, bpe.token_bytes), np.int64, len(bpe.token_bytes))
+        self.reach = max(len(t) for i, t in enumerate(bpe.token_bytes) if i not in special)  # bytes of the longest token
         self.pair_slot = np.full(FITS_SLOTS, -1, np.int64)
         self.pair_fits = np.zeros(FITS_SLOTS, bool)
         self._forget()
@@ -115,6 +118,52 @@ class PrefixCounter:
     def tables(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(counts at every byte of all words one behind the other, sizes)."""
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        short = sizes <= 4 * (RUN + self.reach)
+        if short.all():
+            return self._fill(raw)[1], sizes
+        near = np.cumsum(np.where(short, sizes, 0))
+        counts = self._fill([w for w, s in zip(raw, short.tolist(), strict=True) if s])[1] if short.any() else np.zeros(0, np.int32)
+        each = [counts[b - n : b] if s else self._long(w) for w, n, b, s in zip(raw, sizes.tolist(), near.tolist(), short.tolist(), strict=True)]
+        return np.concatenate(each), sizes
+
+    def _long(self, word: bytes) -> np.ndarray:
+        """Counts at every byte of a long word, whose runs are filled side by side.
+
+        Each run starts some bytes early, as if the word began there. A last token depends on
+        the text and on the last tokens of as many bytes before as the longest token has: once
+        these agree with the word's own, so do all that follow. Where they don't, the run is
+        filled again behind the word's own last tokens. A count is the length of the chain of
+        last tokens, added up by pointer doubling."""
+        early = 4 * self.reach
+        last = np.zeros(len(word), np.int64)
+        group = TABLE_BYTES // (RUN + early)
+        begins = list(range(0, len(word), RUN))
+        for g in range(0, len(begins), group):
+            own = begins[g : g + group]
+            pieces = [word[max(0, b - early) : b + RUN] for b in own]
+            filled, at = self._fill(pieces)[0], 0
+            for b, piece in zip(own, pieces, strict=True):
+                got = filled[at : at + len(piece)]
+                at += len(piece)
+                behind = len(piece) - len(word[b : b + RUN])  # bytes before the run
+                if b and (behind < early or not np.array_equal(got[behind - self.reach : behind], last[b - self.reach : b])):
+                    behind = self.reach
+                    got = self._fill([word[b - behind : b + RUN]], last[b - behind : b])[0]
+                last[b : b + RUN] = got[behind:]
+        count = np.ones(len(word), np.int32)
+        jump = np.arange(len(word)) - self.token_size[last]
+        live = np.flatnonzero(jump >= 0)
+        while len(live):
+            to = jump[live]
+            more, jump[live] = count[to], jump[to]
+            count[live] += more
+            live = live[jump[live] >= 0]
+        return count
+
+    def _fill(self, raw: list[bytes], given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(last tokens, counts) at every byte of all words one behind the other. ``given``: the
+        last tokens of the first bytes of a single word, whose counts then mean nothing."""
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         order = np.argsort(-sizes, kind="stable")  # longest first: active words are a prefix
         sizes_o = sizes[order]
         text = np.frombuffer(b"".join([raw[i] for i in order.tolist()]), np.uint8).astype(np.int64)
@@ -144,7 +193,9 @@ class PrefixCounter:
         first = np.searchsorted(end, np.arange(len(text) + 1))  # candidates of each end
         count, last = np.zeros(len(text), np.int32), np.zeros(len(text), np.int64)
         active = len(raw)
-        for e in range(int(sizes_o[0]) if len(sizes_o) else 0):
+        if given is not None:
+            last[: len(given)] = given
+        for e in range(0 if given is None else len(given), int(sizes_o[0]) if len(sizes_o) else 0):
             while sizes_o[active - 1] <= e:
                 active -= 1
             todo = begin[:active] + e
@@ -161,7 +212,7 @@ class PrefixCounter:
                 count[done] = np.where(whole[good], 1, count[np.maximum(before[good], 0)] + 1)
                 todo, pick = todo[~good], pick[~good] + 1
         back = np.argsort(order)
-        return gather(count, begin[back], sizes), sizes
+        return gather(last, begin[back], sizes), gather(count, begin[back], sizes)
 
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
