@@ -1,8 +1,9 @@
 """Storage that survives failures and repeats: staged replace, merged loads, bucketed tables,
-the loyalty state, and header discovery over many files."""
+the loyalty state, distinct sketches, and header discovery over many files."""
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import re
 import tempfile
@@ -12,10 +13,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, d, m, make_panel
-from tillroll.operators import loyalty
+from tillroll.operators import distinct, loyalty
 from tillroll.plans.catalog import P, analyses
 from tillroll.plans.inspect import plan_text
-from tillroll.sources import loyalty_state
+from tillroll.sources import distinct_state, loyalty_state
 from tillroll.sources.layout import trips_with_year, write_panel_tables
 from tillroll.sources.panel import csv_headers, panel_from_tpch, read_panel, read_typed_csv
 from tillroll.sources.schema import HOUSEHOLDS
@@ -201,3 +202,62 @@ def test_a_failed_load_leaves_the_state(spark):
     assert rows(loyalty_state.read_state(spark, root)) == before and loyalty_state.loads_in(spark, root) == {"a"}
     assert os.listdir(root) == ["v000000001"]
     assert loyalty_state.add_trips(_spread(spark, range(50, 90)), root, "b")
+
+
+# ---- distinct sketches ----
+
+
+def _many(spark, n, months=6):
+    """Trips of ``n`` households in each month, half of them in the next month too."""
+    ids = spark.range(n * months).select(
+        F.col("id").alias("tc_id"),
+        (F.col("id") % n + (F.col("id") / n).cast("int") * (n // 2)).alias("hh_id"),
+        F.add_months(F.lit(dt.date(2004, 1, 15)), (F.col("id") / n).cast("int")).alias("tc_date"),
+        (F.col("id") % 7).cast("string").alias("tc_retailer_code"),
+    )
+    return ids
+
+
+@pytest.mark.parametrize("lg_k", [10, 12, 14])
+def test_sketches_of_any_range_are_within_their_bound(spark, lg_k):
+    trips = _many(spark, 40_000)
+    state = distinct.month_sketches(trips, lg_k)
+    assert state.count() == 6
+    for first, last in ((None, None), (dt.date(2004, 2, 1), dt.date(2004, 4, 1)), (dt.date(2004, 6, 1), None), (None, dt.date(2004, 1, 1))):
+        exact = trips
+        if first:
+            exact = exact.filter(F.col("tc_date") >= first)
+        if last:
+            exact = exact.filter(F.trunc("tc_date", "MM") <= last)
+        want = exact.agg(F.countDistinct("hh_id"), F.countDistinct("tc_retailer_code")).first()
+        got = distinct.approx_distinct(state, first, last).first()
+        assert abs(got["n_households"] - want[0]) <= 5 * distinct.relative_error(lg_k) * want[0]
+        assert got["n_retailers"] == want[1]
+    none = distinct.approx_distinct(state, dt.date(2010, 1, 1)).first()
+    assert (none["n_households"], none["n_retailers"]) == (0, 0)
+    assert distinct.month_sketches(trips.limit(0)).count() == 0
+
+
+def test_sketch_state_of_loads_equals_the_whole(spark):
+    root = os.path.join(_scratch(), "sketches")
+    trips = _many(spark, 3000)
+    for k, name in enumerate(("a", "b", "c")):  # the loads cut across the months
+        part = trips.filter(F.col("tc_id") % 3 == k)
+        assert distinct_state.add_trips(part, root, name)
+        assert not distinct_state.add_trips(part, root, name)
+    month = F.col("month")
+    of_loads = distinct.approx_distinct(distinct_state.read_state(spark, root), by=month)
+    whole = distinct.approx_distinct(distinct.month_sketches(trips), by=month)
+    bound = 5 * distinct.relative_error()
+    for a, b in zip(rows(of_loads), rows(whole), strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) <= bound * b[1] and a[2] == b[2]
+    assert distinct_state.loads_in(spark, root) == {"a", "b", "c"}
+
+
+def test_sketches_of_odd_trips(spark):
+    trips = make_panel(spark, trips=[(1, 5, d("2004-03-02"), "A", m(1)), (2, 5, d("2004-03-09"), None, m(1)), (3, None, None, "B", m(1)), (3, None, None, "B", m(1)), (4, 6, None, "B", m(1))]).trips
+    state = distinct.month_sketches(trips)
+    assert rows(distinct.approx_distinct(state, by=F.col("month"))) == [(None, 1, 1), (dt.date(2004, 3, 1), 1, 1)]
+    assert rows(distinct.approx_distinct(state)) == [(2, 2)]
+    assert rows(distinct.approx_distinct(state, dt.date(2004, 1, 1))) == [(1, 1)]
+    assert rows(distinct.distinct_by_quarter(trips)) == [("2004-Q1", 1, 1, True, True)]

