@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_rows import EDGE, awkward, prose, words
-from tillroll.llm import exact_dedup, ngram_jaccard, span_dedup, suffix_dedup
+from tillroll.llm import common, exact_dedup, ngram_jaccard, span_dedup, suffix_dedup
 from tillroll.llm.components import components
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,6 +88,40 @@ def test_drop_near_copies_decides_by_row(spark):
     assert ngram_jaccard.drop_near_copies(awkward(spark, [])).collect() == []
 
 
+def test_jaccard_steps_hand_python_few_rows_at_a_time(spark, monkeypatch):
+    held = []
+    for name in ("checkpointed", "written"):
+        run = getattr(common, name)
+        monkeypatch.setattr(ngram_jaccard, name, lambda df, run=run: [held.append((df, spark.conf.get(common.BATCH_ROWS))), run(df)][1])
+    before = spark.conf.get(common.BATCH_ROWS)
+    ngram_jaccard.jaccard_components(awkward(spark, EDGE + noisy(5)))
+    python = [int(rows) for df, rows in held if "MapInArrow" in df._jdf.queryExecution().logical().toString()]
+    assert len(python) == 2 and max(python) <= 1000 and spark.conf.get(common.BATCH_ROWS) == before
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["rows"])
+
+    with common.small_batches(spark):
+        rows = spark.range(0, 2500, 1, 1).mapInArrow(sizes, "rows long").collect()
+    assert [r["rows"] for r in rows] == [1000, 1000, 500]
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="needs glibc")
+def test_released_caches_go_back_to_the_system():
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    cache = common.worker_cache("test")
+    cache["x"] = [np.ones(4000, np.uint8) for _ in range(30_000)]
+    above = np.ones(4000, np.uint8)  # keeps the top of the heap
+    held = resident()
+    common.release_caches()
+    assert not cache and len(above) == 4000
+    assert held - resident() > 60_000_000
+
+
 def test_exact_dedup_is_native(spark):
     plan = exact_dedup.exact_groups(awkward(spark, EDGE))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "rangepartitioning" in plan

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +36,14 @@ def worker_cache(name: str) -> dict:
 
 def release_caches() -> None:
     """Empty the worker's caches: for tasks that use none, since Spark hands them workers that
-    still hold what tasks of other operators have cached."""
+    still hold what tasks of other operators have cached. What has been freed goes back to the
+    system; allocators keep it otherwise, in workers that idle beside the executor's JVM."""
     for cache in _CACHES.values():
         cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -61,6 +68,23 @@ def _files_go(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+ARROW_ROWS = 1000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run in the block hand their Python tasks at most ``ARROW_ROWS`` rows at a time:
+    whole texts, and lists made of them, that the JVM and the worker both hold."""
+    before = spark.conf.get(BATCH_ROWS)
+    if not 0 < int(before) <= ARROW_ROWS:
+        spark.conf.set(BATCH_ROWS, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read back; ``df`` itself should not be run
     again (Spark would have to make its shuffle files anew)."""

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import checkpointed, id_and_text, keyed, release_caches, use_package, written
+from tillroll.llm.common import checkpointed, id_and_text, keyed, release_caches, small_batches, use_package, written
 from tillroll.llm.components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -118,29 +118,33 @@ def _class_of(tokens: np.ndarray) -> bytes:
 def _found(texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Of ``texts`` (doc_id, text, k1, k2) the rows (doc_id, k1, k2, n, cls) and the classes of
     equal sets (cls, root, component_id, compared_links)."""
-    use_package(texts.sparkSession)
+    spark = texts.sparkSession
+    use_package(spark)
     scheme = Scheme(num, den)
 
+    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, cls, keys = [], [], []
+        for text in batch.column("text").to_pylist():
+            tokens = shingle_set(text, words)
+            n.append(len(tokens))
+            cls.append(_class_of(tokens))
+            parts = scheme.keys(tokens)
+            keys.append(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        # half of cls as a number: cheaper to aggregate
+        h = np.frombuffer(b"".join(cls), np.int64)[::2]
+        return pa.RecordBatch.from_arrays(
+            [*map(batch.column, ("doc_id", "k1", "k2")), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(h), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+            names=["doc_id", "k1", "k2", "n", "cls", "h", "keys"],
+        )
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
-        for batch in batches:
-            n, cls, keys = [], [], []
-            for text in batch.column("text").to_pylist():
-                tokens = shingle_set(text, words)
-                n.append(len(tokens))
-                cls.append(_class_of(tokens))
-                parts = scheme.keys(tokens)
-                keys.append(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            # half of cls as a number: cheaper to aggregate
-            h = np.frombuffer(b"".join(cls), np.int64)[::2]
-            yield pa.RecordBatch.from_arrays(
-                [*map(batch.column, ("doc_id", "k1", "k2")), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(h), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "k1", "k2", "n", "cls", "h", "keys"],
-            )
-
-    with written(texts.mapInArrow(sets, "doc_id long, k1 long, k2 long, n long, cls binary, h long, keys array<long>")) as listed_parts:
+        yield from map(sets_of, batches)
+        release_caches()  # the JVM's joins come next
+
+    with small_batches(spark), written(texts.mapInArrow(sets, "doc_id long, k1 long, k2 long, n long, cls binary, h long, keys array<long>")) as listed_parts:
         made = checkpointed(listed_parts.drop("keys"))
         # coarse parts: which sets share a part with another row at all
         coarse = listed_parts.select(F.explode("keys").alias("key"), "h")
@@ -149,25 +153,30 @@ def _found(texts: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
     classes = checkpointed(made.where("n > 0").groupBy("cls", "h").agg(F.min("doc_id").alias("rep")))
     wanted = classes.join(near, "h", "left_semi").select(F.col("rep").alias("doc_id"), "cls")
 
-    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                tokens = shingle_set(text, words)
-                if _class_of(tokens) == cls:
-                    rows.append((cls, len(tokens), tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
-                names=["cls", "n", "tokens"],
-            )
+    def tokens_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            tokens = shingle_set(text, words)
+            if _class_of(tokens) == cls:
+                rows.append((cls, len(tokens), tokens.view(np.int64)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
+            names=["cls", "n", "tokens"],
+        )
+
+    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        yield from map(tokens_of, batches)
+        release_caches()
 
     by_null = F.coalesce("doc_id", F.lit(-(2**63)))
-    full = checkpointed(
-        texts.withColumn("id", by_null)
-        .join(wanted.select(by_null.alias("id"), "cls"), "id")
-        .select("cls", "text")
-        .mapInArrow(tokens_of, "cls binary, n long, tokens array<long>")
-    )
+    with small_batches(spark):
+        full = checkpointed(
+            texts.withColumn("id", by_null)
+            .join(wanted.select(by_null.alias("id"), "cls"), "id")
+            .select("cls", "text")
+            .mapInArrow(full_sets, "cls binary, n long, tokens array<long>")
+        )
 
     # token lists: of each set the shared tokens, rarest first, and of these only the head
     # in which a similar set must meet it
